@@ -5,9 +5,10 @@ counts. The sum over groups of the smaller count bounds the overlap of two sets
 points finds all partners of a text without looking at most others; surviving pairs are verified on the sets.
 
 One tree over a whole corpus would not prune, as a point's radius grows with its size, so the points are first dealt
-into blocks without losing a link: under any fixed order of shingles two sets of similarity t share one of their first
-n - ceil(t n) + 1 elements. The order puts shingles that many texts hold last, which keeps a common passage from
-joining blocks. Texts that share such an element, directly or over others, form a block; a large block is split into tiles
+into blocks, by groups too and without losing a link: sets of like size that differ in at most d elements, dealt into more than d
+groups, agree in some group altogether. A text's keys are the contents of its groups, and texts that share a key, directly or
+over others, form a block. Shingles that many texts hold are left out of the groups, which keeps a common passage
+from joining blocks; texts of little else have keys with them, too. A large block is split into tiles
 of pairs of chunks. Each block or tile has its own tree.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; a text of fewer words than
@@ -21,103 +22,234 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components, roots
+from tessera.llm.components import connected_components
 from tessera.llm.rtree import CountRTree, count_vectors, group_number, overlap
-from tessera.llm.wordhash import text_slices
+from tessera.llm.wordhash import mix, text_slices
 from tessera.session import materialise, ship
 
 #: Shingles that a task looks at together, in memory.
 CHUNK = 1 << 21
-#: A task reports a shingle that so many different sets of its chunk hold; of all reported, so many are ordered last.
-COMMON, MOST_COMMON = 8, 1 << 16
+#: A task reports a shingle that so many different sets of its chunk hold; of all reported, so many count as common.
+COMMON, MOST_COMMON = 3, 1 << 18
+#: Bits of a common shingle's place in the table of them.
+PLACE = 21
+#: Buckets of keys for each shuffle partition.
+BUCKETS = 2
 #: A tile's chunk has so many sets or so many shingles, or a 32nd of its block.
 TILE_SETS, TILE_SHINGLES, MOST_CHUNKS = 128, 1 << 21, 32
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[object, np.ndarray]]:
-    """(id, sorted distinct shingle hashes) of each row."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, sorted distinct shingle hashes of each) of some rows at a time."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for part in text_slices(batch.column(1), lower=True):
-            hashes, edge = part.windows(part.hashes(), words, short=True)
-            for k, i in enumerate(range(part.rows.start, part.rows.stop)):
-                yield ids[i], np.unique(hashes[edge[k] : edge[k + 1]])
+            shingles, edge = part.windows(part.hashes(), words, short=True)
+            yield ids[part.rows], [np.unique(shingles[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _common(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
-        size = 0
+    """Rows (shingle, n) of shingles that several different sets of a chunk hold."""
 
-        def flush() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(list(held.values())))
-            cuts = np.flatnonzero(np.diff(values, prepend=values[0] - np.uint64(1)))
-            counts = np.diff(cuts, append=len(values))
-            keep = counts >= COMMON
-            return pa.RecordBatch.from_arrays([pa.array(values[cuts[keep]].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "n"])
-
-        for _, shingles in _sets(batches, words):
-            if len(shingles) and (key := hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()) not in held:
-                held[key] = shingles
-                size += len(shingles)
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = {}, 0
+    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.sort(np.concatenate(held))
+        cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        counts = np.diff(cuts, append=len(values))
+        keep = counts >= COMMON
+        return pa.RecordBatch.from_arrays([pa.array(values[cuts[keep]].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["shingle", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, size = [], 0
+        for _, sets in _sets(batches, words):
+            for own in sets:
+                # the sum tells equal sets apart from others well enough for counting
+                if len(own) and (mark := int(own.sum())) not in seen:
+                    seen.add(mark)
+                    held.append(own)
+                    size += len(own)
+            if size >= CHUNK:
+                yield frequent(held)
+                seen, held, size = set(), [], 0
         if held:
-            yield flush()
+            yield frequent(held)
 
     return run
 
 
-def _signatures(words: int, num: int, den: int, common: np.ndarray):
-    """Rows (doc_id, n, digest, keys, links): keys are prefix elements that no smaller id of the chunk has, links the
-    smallest ids of the chunk that share one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
+def common_table(common: list[int]) -> np.ndarray:
+    """The common shingles at their places; where two share a place the first stays."""
+    table = np.zeros(1 << PLACE, np.uint64)
+    values = np.array(common[::-1], np.uint64)
+    table[(values >> np.uint64(64 - PLACE)).astype(np.int64)] = values
+    return table
+
+
+class Levels:
+    """Ranges of set sizes. A link's smaller set lies in some level, the larger in that or the next; ``groups`` of a level exceed
+    by ``slack`` + 1 the ``apart`` elements in which such sets may differ."""
+
+    def __init__(self, num: int, den: int):
+        lows = [1]
+        while lows[-1] < 1 << 40:
+            lows.append(max(-(-3 * lows[-1] // 2), den * lows[-1] // num + 1))
+        self.lows = np.array(lows)
+        smaller = self.lows[1:] - 1
+        self.most = den * smaller // num  # of the larger set
+        self.apart = (den - num) * (smaller + self.most) // (num + den)
+        self.slack = np.where(self.apart > 0, self.apart // 16 + 1, 0)
+        self.groups = self.apart + 1 + self.slack
+
+    def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, level) of each level in which a set of each size may have a partner."""
+        level = np.searchsorted(self.lows, sizes, "right") - 1
+        rows = np.flatnonzero(sizes > 0)
+        before = rows[(level[rows] > 0) & (sizes[rows] <= self.most[level[rows] - 1])]
+        return np.concatenate([rows, before]), np.concatenate([level[rows], level[before] - 1])
+
+
+def group_keys(sets: list[np.ndarray], levels: Levels, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the keys of each set."""
+    sizes = np.array([len(x) for x in sets])
+    row, level = levels.of(sizes)
+    if not len(row):
+        return row, np.zeros(0, np.uint64)
+
+    def keys(jobs: np.ndarray, rare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(job, key) and the number of empty groups of each job"""
+        values = np.concatenate([sets[i] for i in row[jobs]])
+        job = np.repeat(jobs, sizes[row[jobs]])
+        if rare:
+            keep = table[(values >> np.uint64(64 - PLACE)).astype(np.int64)] != values
+            values, job = values[keep], job[keep]
+        mixed = mix(values)
+        group = (mixed >> np.uint64(32)) * levels.groups[level[job]].astype(np.uint64) >> np.uint64(32)
+        place = job.astype(np.uint64) << np.uint64(32) | group
+        order = np.argsort(place, kind="stable")
+        place, mixed = place[order], mixed[order]
+        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
+        sums = np.add.reduceat(mixed, begin) if len(begin) else mixed
+        own = job[order][begin]
+        salt = (level[own].astype(np.uint64) * np.uint64(2) + np.uint64(rare)) << np.uint64(32) | place[begin] & np.uint64(0xFFFFFFFF)
+        empty = levels.groups[level] - np.bincount(own, minlength=len(row))
+        return own, mix(sums + mix(salt)), empty
+
+    own, found, empty = keys(np.arange(len(row)), True)
+    # where all groups in which two sets must agree may be empty ones, the common shingles are dealt, too
+    weak = np.flatnonzero(empty > levels.slack[level])
+    if len(weak):
+        also, more, bare = keys(weak, False)
+        own, found = np.concatenate([own, also]), np.concatenate([found, more])
+        hollow = weak[bare[weak] > levels.slack[level[weak]]]
+        own, found = np.concatenate([own, hollow]), np.concatenate([found, mix(level[hollow].astype(np.uint64) + np.uint64(1 << 62))])
+    return row[own], found
+
+
+_FIELDS = ["bucket", "first", "second", "digests"]
+_SHAPE = "bucket int, first binary, second binary, digests binary"
+
+
+def _first_of(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order with their nodes in order, and for each the first node of its key, and whether it is the first entry."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    lead = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    first = nodes[np.maximum.accumulate(np.where(lead, np.arange(len(keys)), 0))] if len(keys) else nodes
+    return keys, nodes, first, lead
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    apart = a != b
+    both = np.unique(np.stack([a[apart], b[apart]]), axis=1)
+    return both[0], both[1]
+
+
+def _keyed(words: int, num: int, den: int, table, buckets: int):
+    """Buckets of keys, each with the smallest id of the chunk that has it. A bucket below -buckets holds rows (id, size, digest), one
+    from -buckets to -1 pairs of ids of the chunk that share a key."""
 
-    def lists(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
-        order = np.argsort(owner, kind="stable")
-        edge = np.searchsorted(owner[order], np.arange(rows + 1))
-        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values[order].astype(np.int64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(num, den)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        keys, nodes, held, salt = [], [], 0, 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array([pack(x) for x in c], pa.binary()) for c in columns[1:])], names=_FIELDS)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, node, first, lead = _first_of(np.concatenate(keys), np.concatenate(nodes))
+            a, b = _pairs(node, first)
+            rows = [(-1 - salt % buckets, a.tobytes(), b.tobytes(), b"")] if len(a) else []
+            key, node = key[lead], node[lead]
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows += [(int(k), key[order[cuts[k] : cuts[k + 1]]].tobytes(), node[order[cuts[k] : cuts[k + 1]]].tobytes(), b"") for k in np.flatnonzero(np.diff(cuts))]
+            if rows:
+                yield batch_of(rows)
+
+        for ids, sets in _sets(batches, words):
+            sizes = np.array([len(x) for x in sets])
+            salt += len(ids) + int(sizes.sum())
+            known = np.array([x is not None for x in ids])
+            doc = np.array([x if x is not None else 0 for x in ids], np.int64)
+            digests = b"".join([_digest(x) for x in sets])
+            yield batch_of([(-1 - buckets - salt % buckets, np.stack([doc, known]).tobytes(), sizes.tobytes(), digests)])
+            row, key = group_keys([x if k else x[:0] for x, k in zip(sets, known, strict=True)], levels, table.value)
+            keys.append(key)
+            nodes.append(doc[row])
+            held += len(key)
+            if held >= CHUNK:
+                yield from flush()
+                keys, nodes, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _shared(buckets: int):
+    """Partitions come sorted by bucket. Rows (a, b) of ids that share a key, and (a, n, digest) of all texts."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, digests, prefixes = [], [], [], []
-        held = 0
+        unpack = zstandard.ZstdDecompressor().decompress
+        bucket: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], schema=schema)
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-            row = np.repeat(np.arange(len(ids)), [len(x) for x in prefixes])
-            node = np.array([x if x is not None else -1 for x in ids], np.int64)[row]
-            order = np.lexsort((node, keys))
-            keys, row, node = keys[order], row[order], node[order]
-            lead = np.diff(keys, prepend=keys[:1] + np.uint64(1)) != 0
-            first = np.maximum.accumulate(np.where(lead, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
-            same = node == node[first]
-            pairs = np.unique(np.stack([row[~same], node[first][~same]]), axis=1)
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(row[lead], keys[lead].view(np.int64), len(ids)), lists(pairs[0], pairs[1], len(ids))]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-        for doc, shingles in _sets(batches, words):
-            n = len(shingles)
-            length = n - -(-num * n // den) + 1 if n and doc is not None else 0
-            if length and len(common):
-                at = np.searchsorted(common, shingles)
-                at[at == len(common)] = 0
-                late = common[at] == shingles
-                shingles_in_order = np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
-            else:
-                shingles_in_order = shingles
-            ids.append(doc)
-            sizes.append(n)
-            digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if n else None)
-            prefixes.append(shingles_in_order[:length])
-            held += n
-            if held >= CHUNK or len(ids) >= 1 << 16:
-                yield flush()
-                ids, sizes, digests, prefixes, held = [], [], [], [], 0
-        if ids:
+            _, node, first, _ = _first_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return edges(*_pairs(node, first))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k = batch.column(0)[i].as_py()
+                one, two, digests = (unpack(batch.column(c)[i].as_py()) for c in (1, 2, 3))
+                if k < -buckets:
+                    doc, known = np.frombuffer(one, np.int64).reshape(2, -1)
+                    sizes = np.frombuffer(two, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=known == 0), pa.nulls(len(doc), pa.int64()), pa.array(sizes), pa.array([digests[j : j + 16] for j in range(0, len(digests), 16)], pa.binary())], schema=schema)
+                elif k < 0:
+                    yield edges(np.frombuffer(one, np.int64), np.frombuffer(two, np.int64))
+                else:
+                    if k != bucket:
+                        if held:
+                            yield flush()
+                        bucket, held = k, []
+                    held.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.int64)))
+        if held:
             yield flush()
 
     return run
@@ -126,7 +258,7 @@ def _signatures(words: int, num: int, den: int, common: np.ndarray):
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for _, s in _sets(iter([batch]), words)]
+            found = [s.tobytes() for _, sets in _sets(iter([batch]), words) for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(found, pa.binary())], names=["doc_id", "block", "chunk", "chunks", "shingles"])
 
     return run
@@ -191,19 +323,18 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     reported = texts.mapInArrow(_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # at most MOST_COMMON numbers reach the driver; which they are changes only the order, not the links
-    common = np.array([r[0] for r in reported.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").collect()], np.int64)
-    common = np.sort(common.view(np.uint64))
-    marks = materialise(texts.mapInArrow(_signatures(words, num, den, common), "doc_id long, n long, digest binary, keys array<long>, links array<long>"), "signatures")
-
-    # a key comes once from each chunk at most, so a window over it stays small
-    keys = marks.select("doc_id", F.explode("keys").alias("key"))
-    shared = keys.withColumn("first", F.min("doc_id").over(Window.partitionBy("key"))).where("doc_id != first").select("doc_id", "first").distinct()
-    within = marks.select("doc_id", F.explode("links").alias("first"))
-    blocks = materialise(connected_components(shared.union(within)), "blocks")
+    # at most MOST_COMMON numbers reach the driver; which they are changes only the blocks, not the links
+    top = reported.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toPandas()["shingle"]
+    table = spark.sparkContext.broadcast(common_table([x % (1 << 64) for x in top.tolist()]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = texts.mapInArrow(_keyed(words, num, den, table, n * BUCKETS), _SHAPE)
+    found = materialise(keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(n * BUCKETS), "a long, b long, n long, digest binary"), "keys")
+    marks = found.where("n is not null").select(F.col("a").alias("doc_id"), "n", "digest")
+    shared = found.where("b is not null").select("a", "b")
+    blocks = materialise(connected_components(shared), "blocks")
 
     # one row for each different set of a block; equal sets are linked as they are
-    members = marks.where("n > 0").select("doc_id", "n", "digest").join(blocks, F.col("doc_id") == F.col("node")).select("doc_id", "n", "digest", F.col("component").alias("block"))
+    members = marks.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(blocks, F.col("doc_id") == F.col("node")).select("doc_id", "n", "digest", F.col("component").alias("block"))
     kinds = materialise(members.groupBy("block", "digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "kinds")
     equal = members.join(kinds.select("block", "digest", "rep"), ["block", "digest"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     shape = kinds.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
@@ -214,10 +345,9 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     sets = rows.mapInArrow(_set_rows(words), "doc_id long, block long, chunk int, chunks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = sets.withColumn("other", other).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc_id", "shingles")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = tiles.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").mapInArrow(_join_tiles(num, den), "a long, b long")
-    found = connected_components(equal.union(links))
-    return marks.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    joined = connected_components(equal.union(links))
+    return marks.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

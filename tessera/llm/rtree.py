@@ -10,8 +10,8 @@ FANOUT = 16
 
 def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
     """For each set of 64-bit hashes, how many fall into each of ``groups`` (a power of two) groups."""
-    shift = np.uint64(64 - (groups.bit_length() - 1))
-    return np.stack([np.bincount((s >> shift).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+    last = np.uint64(groups - 1)
+    return np.stack([np.bincount((s & last).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
 
 
 def group_number(largest: int) -> int:
