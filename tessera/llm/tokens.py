@@ -14,6 +14,8 @@ null id comes first; an empty table makes no files and no rows."""
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.wordhash import byte_slices, mix
 from tessera.session import materialise, shared_path, ship
 
 #: The Arrow file format's magic, which begins and ends a file.
@@ -32,20 +35,42 @@ MAGIC = "ARROW1"
 FILE_IDS = 2 << 20
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE, BATCH = 2048, 256
-#: Words whose ids a worker remembers, and how many new ones are encoded at a time.
-MEMO, TOGETHER = 300_000, 4096
-
-_IRREGULAR = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r"(?= \S)")
+#: Places in a worker's table of known pieces, tries to find one, ids kept for them, and new pieces that are encoded at a time.
+PLACES, TRIES, KEPT, TOGETHER = 1 << 22, 8, 1 << 24, 4096
+
+_rng = np.random.Generator(np.random.PCG64(8))
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(int(_rng.integers(1, 1 << 62)) * 2 + 1)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _irregular(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts hold white space other than single blanks and line breaks between other characters."""
+    blank = _BLANK[data]
+    bad = blank & (data != 32) & (data != 10)
+    bad[1:] |= blank[1:] & blank[:-1]
+    begin, end = offsets[:-1][offsets[:-1] < offsets[1:]], offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    bad[begin] |= blank[begin]
+    bad[end] |= blank[end]
+    if (data >= 0xC2).any():
+        second, third = np.append(data[1:], np.uint8(0)), np.append(data[2:], np.zeros(min(2, len(data)), np.uint8))
+        bad |= (data == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        bad |= (data == 0xE1) & (second == 0x9A) & (third == 0x80)
+        bad |= (data == 0xE2) & ((second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)) | (second == 0x81) & (third == 0x9F))
+        bad |= (data == 0xE3) & (second == 0x80) & (third == 0x80)
+    return np.add.reduceat(np.append(bad, False).astype(np.int64), offsets[:-1]) * (offsets[1:] > offsets[:-1]) > 0 if len(offsets) > 1 else np.zeros(0, bool)
 
 
 class Encoder:
-    """Encodes with a tokenizer whose words are split before each single blank, as those of byte-level BPE are: a text's ids are
-    then those of its pieces, and a piece is encoded once. Other tokenizers encode whole texts."""
+    """Encodes with a tokenizer. Byte-level BPE splits a text before each blank that a word follows, at line breaks, and between a
+    letter and a mark that ends a word, whatever stands beside; so the ids of a text are those of such pieces, and a piece is
+    encoded once as long as it is remembered, by a hash of 64 bits. Texts with other white space, and all texts of other
+    tokenizers, are encoded whole."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,59 +80,123 @@ class Encoder:
         self.opens = np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[number] = token.startswith("Ġ")
-        import json
-
+        line = self.tokenizer.token_to_id("Ċ")
+        self.line = -1 if line is None else line
         about = json.loads(self.tokenizer.to_str())
         step = about.get("pre_tokenizer") or {}
-        self.by_piece = about.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space", True) and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in about.get("added_tokens", []))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces that follow a blank."""
-        plain = [p for p in pieces if " " not in p]
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            ids = self._ids(" " + " ".join(some))
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(some):
-                for p in some:
-                    self.later[p] = self._ids(" " + p).tobytes()
-                continue
-            whole, size = ids.tobytes(), self.kind.itemsize
-            edges = [*(cuts * size).tolist(), len(whole)]
-            self.later.update(zip(some, (whole[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-        for p in pieces:
-            if " " in p:
-                self.later[p] = self._ids(" " + p).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of numbers of ``kind``."""
-        if not self.by_piece:
-            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.later) + len(self.first) > MEMO:
-            self.later, self.first = {}, {}
-        split = []
-        for text in texts:
-            if _IRREGULAR.search(text):
-                parts = _CUT.split(text)
-                split.append([parts[0], *(p[1:] for p in parts[1:])] if parts[0] or len(parts) == 1 else ["", *(p[1:] for p in parts[1:])])
-            else:
-                split.append(text.split(" "))
-        later, first = self.later, self.first
-        missing = {p for parts in split for p in parts[1:] if p not in later}
-        self._learn(list(missing))
-        out = []
-        for parts in split:
-            head = parts[0]
-            if head not in first:
-                first[head] = self._ids(head).tobytes()
-            parts[0] = None
-            out.append(first[head] + b"".join([later[p] for p in parts[1:]]))
-        return out
+        self.by_piece = about.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space", True) and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in about.get("added_tokens", []))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(PLACES, np.uint64)
+        self.at, self.size = np.zeros(PLACES, np.int32), np.zeros(PLACES, np.int32)
+        self.ids, self.used, self.known = np.zeros(KEPT, self.kind), 0, 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where these ids are kept from now on."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(KEPT, len(ids)), self.kind)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new pieces are kept, and how many they are. Pieces after a blank are encoded in a row, as their ids tell where
+        each begins, others with line breaks between them."""
+        at, size = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, piece in enumerate(pieces):
+            kinds[0 if piece[0] == " " else 2 if piece == "\n" else 1].append(i)
+        for which, mine in enumerate(kinds):
+            for k in range(0, len(mine), TOGETHER):
+                some = np.array(mine[k : k + TOGETHER])
+                ids = self._encoded(("\n" if which == 1 else "").join(pieces[i] for i in some))
+                if which == 1:
+                    cuts = np.flatnonzero(ids == self.line)
+                    begin, end = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
+                else:
+                    begin = np.flatnonzero(self.opens[ids]) if which == 0 else np.zeros(1, np.int64)
+                    end = np.append(begin[1:], len(ids))
+                if len(begin) == len(some):
+                    at[some], size[some] = begin + self._keep(ids), end - begin
+                else:
+                    for i in some:
+                        own = self._encoded(pieces[i])
+                        at[i], size[i] = self._keep(own), len(own)
+        return at, size
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash in the table and whether it is there."""
+        place = (hashes & np.uint64(PLACES - 1)).astype(np.int64)
+        there = self.keys[place] == hashes
+        for _ in range(1, TRIES):
+            rest = np.flatnonzero(~there & (self.keys[place] != 0))
+            if not len(rest):
+                break
+            place[rest] = (place[rest] + 1) & (PLACES - 1)
+            there[rest] = self.keys[place[rest]] == hashes[rest]
+        return place, there
+
+    def _remember(self, hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        place = (hashes & np.uint64(PLACES - 1)).astype(np.int64)
+        left = np.arange(len(hashes))
+        for _ in range(TRIES):
+            free = left[self.keys[place[left]] == 0]
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.keys[place[put]], self.at[place[put]], self.size[place[put]] = hashes[put], at[put], size[put]
+            self.known += len(put)
+            left = np.setdiff1d(left, put, assume_unique=True)
+            if not len(left):
+                break
+            place[left] = (place[left] + 1) & (PLACES - 1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers): the ids of the texts data[offsets[i]:offsets[i+1]], each followed by ``end_id``, and how many each has."""
+        if self.known > PLACES // 2 or self.used > KEPT:
+            self._forget()
+        n = len(offsets) - 1
+        whole = _irregular(data, offsets) if self.by_piece else np.ones(n, bool)
+        opens = (data == 32) | (data == 10)
+        opens[1:] |= data[:-1] == 10
+        after = np.append(_BLANK[data[1:]], True) if len(data) else opens
+        after[offsets[1:][offsets[1:] > 0] - 1] = True
+        opens[1:] |= ((data[1:] == 46) | (data[1:] == 44)) & _LETTER[data[:-1]] & after[1:]
+        opens[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begin = np.flatnonzero(opens)
+        doc = np.searchsorted(offsets, begin, "right") - 1
+        lengths = np.diff(begin, append=len(data))
+        regular = ~whole[doc]
+        at, size = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
+        if len(begin):
+            powers = np.full(int(lengths.max()), _BASE, np.uint64)
+            powers[0] = 1
+            np.cumprod(powers, out=powers)
+            hashes = mix(np.add.reduceat(_BYTE[data] * powers[np.arange(len(data)) - np.repeat(begin, lengths)], begin)) | np.uint64(1 << 63)
+            place, there = self._find(hashes)
+            at, size = self.at[place], self.size[place]
+            new = np.flatnonzero(~there & regular)
+            if len(new):
+                own, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+                text = data.tobytes()
+                pieces = [text[a:b].decode() for a, b in zip(begin[new[first]].tolist(), (begin + lengths)[new[first]].tolist(), strict=True)]
+                where, number = self._learn(pieces)
+                at[new], size[new] = where[back], number[back]
+                self._remember(own, where, number)
+            size[~regular] = 0
+        # a text that is encoded whole counts as one piece; the end id is a piece of each text
+        ends = np.searchsorted(doc, np.arange(n), "right")
+        more_at, more_size = np.full(n, self._keep(np.array([end_id], self.kind)), np.int32), np.ones(n, np.int32)
+        for i in np.flatnonzero(whole):
+            ids = np.append(self._encoded(data[offsets[i] : offsets[i + 1]].tobytes().decode()), np.array(end_id, self.kind))
+            more_at[i], more_size[i] = self._keep(ids), len(ids)
+        at, size = np.insert(at, ends, more_at), np.insert(size, ends, more_size)
+        run = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(at - run[:-1], size) + np.arange(int(run[-1]))]
+        return ids, np.diff(run[np.append(0, ends + np.arange(1, n + 1))])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -158,27 +247,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         task, number = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], own.kind).tobytes()
         held, starts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            ids = np.frombuffer(b"".join(held), own.kind)
-            data = arrow_file(ids, starts, end_id, {"task": str(task), "number": str(number)}, sequence)
+            data = arrow_file(np.concatenate(held), starts, end_id, {"task": str(task), "number": str(number)}, sequence)
             number += 1
             return pa.RecordBatch.from_arrays([pa.array([data.removesuffix(MAGIC.encode())], pa.binary())], names=["file"])
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for k in range(0, batch.num_rows, 256):
-                texts = [x or "" for x in batch.column(1).slice(k, 256).to_pylist()]
-                for name, ids in zip(names[k : k + 256], own.encode(texts), strict=True):
-                    starts.append((name, size))
-                    held += (ids, end)
-                    size += len(ids) // own.kind.itemsize + 1
-                    if size >= FILE_IDS:
-                        yield flush()
-                        held, starts, size = [], [], 0
+            for rows, data, offsets in byte_slices(batch.column(1), 1 << 19):
+                ids, numbers = own.encode(data, offsets, end_id)
+                for name, begin in zip(names[rows], (size + np.cumsum(numbers) - numbers).tolist(), strict=True):
+                    starts.append((name, begin))
+                held.append(ids)
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield flush()
+                    held, starts, size = [], [], 0
         if held:
             yield flush()
 

@@ -108,8 +108,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool)
     return Words(data, start, end, np.searchsorted(start, offsets), rows)
 
 
-def text_slices(column: pa.Array, lower: bool, most: int = SLICE_BYTES) -> Iterator[Words]:
-    """The column's rows, null as empty, in slices of at most ``most`` bytes or one row."""
+def byte_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of the column, null as empty, in slices of at most ``most`` bytes or one row."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if not len(column):
         return
@@ -118,7 +118,12 @@ def text_slices(column: pa.Array, lower: bool, most: int = SLICE_BYTES) -> Itera
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        j = min(j, len(column))
-        yield find_words(data, offsets[i : j + 1], slice(i, j), lower)
+        j = min(len(column), max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
+        yield slice(i, j), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+
+
+def text_slices(column: pa.Array, lower: bool, most: int = SLICE_BYTES) -> Iterator[Words]:
+    """The column's rows, null as empty, in slices of at most ``most`` bytes or one row."""
+    for rows, data, offsets in byte_slices(column, most):
+        yield find_words(data, offsets, rows, lower)
