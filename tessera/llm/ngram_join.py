@@ -341,7 +341,8 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     wanted = F.greatest(F.least(F.lit(MOST_CHUNKS), F.ceil(F.col("sets") / TILE_SETS)), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     todo = kinds.join(shape.select("block", wanted.alias("chunks")), "block").select("rep", "block", F.pmod(F.xxhash64("digest"), "chunks").cast("int").alias("chunk"), "chunks")
 
-    rows = texts.join(todo, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "block", "chunk", "chunks")
+    # dealt out alike at every size: the texts once, the blocks' ids as the side that is held
+    rows = texts.join(todo.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "block", "chunk", "chunks")
     sets = rows.mapInArrow(_set_rows(words), "doc_id long, block long, chunk int, chunks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = sets.withColumn("other", other).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc_id", "shingles")
