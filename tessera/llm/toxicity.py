@@ -9,7 +9,8 @@ the words of texts that are not toxic, K fits how often such texts have any segm
 lambda S - ln(K n) nats of evidence. Evidence of the significant segments is summed up, and a logistic curve over it, fitted
 on counts by bin of all labelled texts, gives the score.
 
-What reaches the driver is bounded: MOST_TOKENS tokens and histograms of fixed length; all counts cover all labelled rows.
+A model is learned from at most MOST_LABELS labelled rows. What reaches the driver is bounded: MOST_TOKENS tokens and
+histograms of fixed length.
 
 Defined cases: a null or empty text has no words and scores as a text without segments; rows with a null label or id
 are not learned from; a label for an id that has no text is ignored, and repeated labels count repeatedly; without toxic
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise, ship
 
+#: Labelled rows from which a model is learned, at most.
+MOST_LABELS = 1 << 16
 #: Tokens of the model at most, the most telling ones.
 MOST_TOKENS = 1 << 15
 #: A token counts beyond this root of its likelihood-ratio statistic.
@@ -242,11 +245,13 @@ def _logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[floa
     return float(a), float(b)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Learn from all rows of ``labels`` (0 or 1) that have a text."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labels: int = MOST_LABELS) -> ToxicityModel:
+    """Learn from the rows of ``labels`` (0 or 1) that have a text; of more than ``most_labels`` from those with the smallest hashes."""
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
+    # a table of at most most_labels pairs of numbers, which every executor can hold
+    known = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(most_labels))
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     learn = texts.join(known, "label_id").select("text", "toxic")
     counted = learn.mapInArrow(_counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
