@@ -51,8 +51,8 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the gzip members; zero bytes between and after them are skipped."""
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, end, content) of the gzip members; zero bytes between and after them are skipped."""
     view, at = memoryview(data), 0
     while at < len(view):
         if view[at] == 0:
@@ -66,7 +66,7 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
             parts.append(unpacker.decompress(chunk))
             at += len(chunk)
         at -= len(unpacker.unused_data)
-        yield begin, b"".join(parts)
+        yield begin, at, b"".join(parts)
 
 
 def _url(url: str | None) -> str:
@@ -84,10 +84,10 @@ def arc_record(name: str, version: int, date: str, offset: int, url: str | None,
     return " ".join(values[x] for x in ARC_FIELDS[version]).encode() + b"\n" + content + b"\n"
 
 
-def parse_arc(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields by name, content) of the records of an archive; the version block sets the fields."""
+def parse_arc(parts: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, end, header fields by name, content) of the records of an archive; the version block sets the fields."""
     fields: list[str] | None = None
-    for offset, data in parts:
+    for offset, end, data in parts:
         line, _, rest = data.partition(b"\n")
         if line.startswith(b"filedesc://"):
             about = rest.split(b"\n", 2)
@@ -107,7 +107,7 @@ def parse_arc(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, dict[st
         length = int(header["Archive-length"])
         if len(rest) < length:
             raise ValueError(f"the record at {offset} has {len(rest)} bytes of {length}")
-        yield offset, header, rest[:length]
+        yield offset, end, header, rest[:length]
 
 
 def _packed(records: Iterator[bytes], opening) -> Iterator[pa.RecordBatch]:
@@ -171,14 +171,14 @@ def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
-    """(record, page_id, uri, ip, date, payload_digest, payload_bytes, head, payload) of each record; record is the place,
-    archive and offset. Without payloads, head and payload are null."""
+def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """(record, page_id, uri, ip, date, payload_digest, payload_bytes, length, member) of each record; record is the place,
+    archive and offset; length is that of its content; member is the record as it lies in the archive, packed, if ``whole``, else null."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record", "page_id", "uri", "ip", "date", "payload_digest", "payload_bytes", "head", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["record", "page_id", "uri", "ip", "date", "payload_digest", "payload_bytes", "length", "member"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         rows, held = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -186,18 +186,18 @@ def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                place = batch.column(0)[i].as_py().rsplit("/", 1)[-1]
-                for offset, header, content in parse_arc(members(batch.column(1)[i].as_py())):
-                    head, fields, payload = _http(content)
-                    rows.append((f"{place}#{offset}", _number(fields.get("x-page-id")), header["URL"], header["IP-address"], header["Archive-date"], digest(payload), len(payload), head if payloads else None, payload if payloads else None))
-                    held += len(payload) if payloads else 0
+                place, data = batch.column(0)[i].as_py().rsplit("/", 1)[-1], batch.column(1)[i].as_py()
+                for offset, end, header, content in parse_arc(members(data)):
+                    _, fields, payload = _http(content)
+                    rows.append((f"{place}#{offset}", _number(fields.get("x-page-id")), header["URL"], header["IP-address"], header["Archive-date"], digest(payload), len(payload), len(content), data[offset:end] if whole else None))
+                    held += end - offset if whole else 0
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield flush()
                         rows, held = [], 0
         if rows:
             yield flush()
 
-    return _read(spark, path).mapInArrow(run, "record string, page_id long, uri string, ip string, date string, payload_digest string, payload_bytes long, head binary, payload binary")
+    return _read(spark, path).mapInArrow(run, "record string, page_id long, uri string, ip string, date string, payload_digest string, payload_bytes long, length long, member binary")
 
 
 def record_id(record: str) -> str:
@@ -228,7 +228,7 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0)
     """Write the ARC archives under ``arc`` as WARC. Of records with equal payloads of at least ``least_bytes`` bytes the one
     with the largest id becomes the response, the others revisit records that refer to it."""
     ship(spark)
-    seen = read_arc(spark, arc, payloads=False).select("record", "page_id", "uri", "payload_digest", "payload_bytes")
+    seen = read_arc(spark, arc, whole=False).select("record", "page_id", "uri", "payload_digest", "payload_bytes")
     seen = materialise(seen.where(F.col("payload_bytes") >= least_bytes), "seen")
     last = seen.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record", "uri")).alias("last"), F.count("*").alias("n")).where("n > 1")
     refers = seen.join(last, ["payload_digest", "payload_bytes"]).where(F.col("record") != F.col("last.record")).select("record", F.col("last.record").alias("to_record"), F.col("last.uri").alias("to_uri"))
@@ -239,17 +239,18 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0)
                 for i in range(batch.num_rows):
                     row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                     fields = {"WARC-Record-ID": record_id(row["record"]), "WARC-Date": warc_date(row["date"]), "WARC-Target-URI": row["uri"], "WARC-IP-Address": row["ip"], "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "Content-Type": "application/http; msgtype=response"}
+                    content = zlib.decompress(row["member"], 31).split(b"\n", 1)[1][: row["length"]]
                     if row["to_record"] is None:
-                        data = warc_record("response", fields, row["head"] + row["payload"])
+                        data = warc_record("response", fields, content)
                     else:
                         fields |= {"WARC-Refers-To": record_id(row["to_record"]), "WARC-Refers-To-Target-URI": row["to_uri"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                        data = warc_record("revisit", fields, row["head"])
+                        data = warc_record("revisit", fields, _http(content)[0])
                     yield lambda name, size, data=data: data
 
         about = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
         yield from _packed(records(), lambda name: warc_record("warcinfo", {"WARC-Record-ID": record_id(name), "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Filename": f"{name}.warc.gz", "Content-Type": "application/warc-fields"}, about))
 
-    whole = read_arc(spark, arc, payloads=True).join(refers, "record", "left")
+    whole = read_arc(spark, arc, whole=True).join(refers, "record", "left")
     _write(whole.mapInArrow(run, "archive binary"), path)
 
 
@@ -262,7 +263,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for _, data in members(batch.column(1)[i].as_py()):
+                for _, _, data in members(batch.column(1)[i].as_py()):
                     fields, block = parse_warc(data)
                     if (kind := fields["warc-type"]) not in ("response", "revisit"):
                         continue
