@@ -29,6 +29,8 @@ from tessera.session import materialise, shared_path, ship
 
 #: Compressed bytes after which a new archive begins; a longer record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
+#: The gzip level of members.
+LEVEL = 4
 #: Bytes of payload after which a batch of parsed records is passed on.
 BATCH_BYTES = 4 << 20
 #: The namespace of record identifiers.
@@ -47,7 +49,7 @@ def digest(data: bytes) -> str:
 
 
 def _member(data: bytes) -> bytes:
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
