@@ -47,12 +47,14 @@ def listed_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     """(page_id, url, host, fetched, listed, lists, domain, since) of each capture: whether an entry was in force at its fetch date, the sorted
     lists with such an entry, and of these entries the longest domain and the earliest day since when one held."""
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(day_col).cast("date").alias("fetched"))
-    span = rows.agg(F.unix_date(F.min("fetched")).alias("first"), F.unix_date(F.max("fetched")).alias("last"))
+    # two numbers: the dates between which an entry can matter
+    first_day, last_day = rows.agg(F.unix_date(F.min("fetched")), F.unix_date(F.max("fetched"))).first()
     period = lambda day: F.floor(day / PERIOD_DAYS).cast("int")
-    intervals = validity_intervals(entries).join(F.broadcast(span))
-    first = period(F.greatest(F.unix_date("since"), F.col("first")))
-    last = period(F.least(F.coalesce(F.unix_date("until"), F.col("last")), F.col("last")))
-    dealt = intervals.where("unix_date(since) <= last and (until is null or unix_date(until) > first)").withColumn("period", F.explode(F.sequence(first, last))).drop("first", "last")
+    lowest, highest = F.lit(first_day).cast("int"), F.lit(last_day).cast("int")
+    first = period(F.greatest(F.unix_date("since"), lowest))
+    last = period(F.least(F.coalesce(F.unix_date("until"), highest), highest))
+    reached = (F.unix_date("since") <= highest) & (F.col("until").isNull() | (F.unix_date("until") > lowest))
+    dealt = validity_intervals(entries).where(reached).withColumn("period", F.explode(F.sequence(first, last)))
     keys = rows.where("host is not null and fetched is not null").withColumn("period", period(F.unix_date("fetched"))).select("page_id", "url", "fetched", "period", F.explode(domains_of(F.col("host"))).alias("domain"))
     hits = keys.join(dealt, ["domain", "period"]).where("since <= fetched and (until is null or fetched < until)")
     hits = hits.select("page_id", "url", "fetched", F.struct("list", "domain", "since").alias("hit"))
