@@ -6,8 +6,8 @@ points finds all partners of a text without looking at most others; surviving pa
 
 One tree over a whole corpus would not prune, as a point's radius grows with its size, so the points are first dealt
 into blocks, by groups too and without losing a link: sets of like size that differ in at most d elements, dealt into more than d
-groups, agree in some group altogether. A text's keys are the contents of its groups, and texts that share a key, directly or
-over others, form a block. Shingles that many texts hold are left out of the groups, which keeps a common passage
+groups, agree in some group altogether. A text's keys are the contents of its groups. Texts that share a key
+are joined where the bound on their points allows a link, so what forms a block is alike, directly or over others. Shingles that many texts hold are left out of the groups, which keeps a common passage
 from joining blocks; texts of little else have keys with them, too. A large block is split into tiles
 of pairs of chunks. Each block or tile has its own tree.
 
@@ -37,6 +37,9 @@ CHUNK = 1 << 21
 COMMON, MOST_COMMON = 3, 1 << 18
 #: Bits of a common shingle's place in the table of them.
 PLACE = 21
+#: Texts that share a key up to which each two are tried as a pair, and up to which they are compared together. A group of
+#: which a chunk alone has more than LOCAL, which is a large part of all texts, is joined without comparing.
+FEW, TOGETHER, LOCAL = 8, 4096, 256
 #: Buckets of keys for each shuffle partition.
 BUCKETS = 2
 #: A tile's chunk has so many sets or so many shingles, or a 32nd of its block.
@@ -105,7 +108,7 @@ class Levels:
         smaller = self.lows[1:] - 1
         self.most = den * smaller // num  # of the larger set
         self.apart = (den - num) * (smaller + self.most) // (num + den)
-        self.slack = np.where(self.apart > 0, self.apart // 16 + 1, 0)
+        self.slack = np.where(self.apart > 0, self.apart // 3 + 1, 0)
         self.groups = self.apart + 1 + self.slack
 
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,17 +156,35 @@ def group_keys(sets: list[np.ndarray], levels: Levels, table: np.ndarray) -> tup
     return row[own], found
 
 
-_FIELDS = ["bucket", "first", "second", "digests"]
-_SHAPE = "bucket int, first binary, second binary, digests binary"
+_FIELDS = ["bucket", "first", "second", "third", "fourth"]
+_SHAPE = "bucket int, first binary, second binary, third binary, fourth binary"
 
 
-def _first_of(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order with their nodes in order, and for each the first node of its key, and whether it is the first entry."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    lead = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-    first = nodes[np.maximum.accumulate(np.where(lead, np.arange(len(keys)), 0))] if len(keys) else nodes
-    return keys, nodes, first, lead
+class _Groups:
+    """Entries (key, node) in order of key and node; for each entry its group's first node and number of entries."""
+
+    def __init__(self, keys: np.ndarray, nodes: np.ndarray, joined: np.ndarray | None = None, most: int = TOGETHER):
+        order = np.lexsort((nodes, keys))
+        self.keys, self.nodes = keys[order], nodes[order]
+        self.lead = np.concatenate([[True], self.keys[1:] != self.keys[:-1]])[: len(keys)]
+        self.begin = np.flatnonzero(self.lead)
+        self.sizes = np.diff(self.begin, append=len(keys))
+        self.size = np.repeat(self.sizes, self.sizes)
+        self.first = np.repeat(self.nodes[self.begin], self.sizes)
+        # groups of which a member stands for others are large, whatever their size
+        marks = np.add.reduceat(joined[order], self.begin) > 0 if joined is not None and len(keys) else np.zeros(len(self.begin), bool)
+        self.many = (self.size > most) | np.repeat(marks, self.sizes)
+        self.some = ~self.many & (self.size > FEW)
+
+    def tried(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each two different nodes of the small groups."""
+        found = [np.zeros((2, 0), np.int64)]
+        last = np.repeat(self.begin + self.sizes, self.sizes)
+        place = np.arange(len(self.keys))
+        for step in range(1, FEW):
+            a = np.flatnonzero((self.size <= FEW) & ~self.many & (place + step < last))
+            found.append(np.stack([self.nodes[a], self.nodes[a + step]]))
+        return _pairs(*np.concatenate(found, axis=1))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +193,15 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def _point(shingles: np.ndarray) -> bytes:
+    """The count vector with a byte for each group; nothing if a count needs more."""
+    counts = count_vectors([shingles], group_number(len(shingles)))[0] if len(shingles) else np.zeros(0, np.int32)
+    return counts.astype(np.uint8).tobytes() if len(counts) and counts.max() < 256 else b""
+
+
 def _keyed(words: int, num: int, den: int, table, buckets: int):
-    """Buckets of keys, each with the smallest id of the chunk that has it. A bucket below -buckets holds rows (id, size, digest), one
-    from -buckets to -1 pairs of ids of the chunk that share a key."""
+    """Buckets of keys with the ids that have them; of many in the chunk only the first travels, marked. A bucket below -buckets holds rows
+    (id, size, digest, point), one from -buckets to -1 pairs of ids of the chunk of which the second is such a first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
@@ -186,14 +213,17 @@ def _keyed(words: int, num: int, den: int, table, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array([pack(x) for x in c], pa.binary()) for c in columns[1:])], names=_FIELDS)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, node, first, lead = _first_of(np.concatenate(keys), np.concatenate(nodes))
-            a, b = _pairs(node, first)
-            rows = [(-1 - salt % buckets, a.tobytes(), b.tobytes(), b"")] if len(a) else []
-            key, node = key[lead], node[lead]
+            g = _Groups(np.concatenate(keys), np.concatenate(nodes), most=LOCAL)
+            a, b = _pairs(g.nodes[g.many], g.first[g.many])
+            rows = [(-1 - salt % buckets, a.tobytes(), b.tobytes(), b"", b"")] if len(a) else []
+            keep = g.lead | ~g.many
+            key, node, joined = g.keys[keep], g.nodes[keep], g.many[keep].astype(np.uint8)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows += [(int(k), key[order[cuts[k] : cuts[k + 1]]].tobytes(), node[order[cuts[k] : cuts[k + 1]]].tobytes(), b"") for k in np.flatnonzero(np.diff(cuts))]
+            for k in np.flatnonzero(np.diff(cuts)):
+                mine = order[cuts[k] : cuts[k + 1]]
+                rows.append((int(k), key[mine].tobytes(), node[mine].tobytes(), joined[mine].tobytes(), b""))
             if rows:
                 yield batch_of(rows)
 
@@ -203,7 +233,9 @@ def _keyed(words: int, num: int, den: int, table, buckets: int):
             known = np.array([x is not None for x in ids])
             doc = np.array([x if x is not None else 0 for x in ids], np.int64)
             digests = b"".join([_digest(x) for x in sets])
-            yield batch_of([(-1 - buckets - salt % buckets, np.stack([doc, known]).tobytes(), sizes.tobytes(), digests)])
+            points = [_point(x) for x in sets]
+            lengths = np.array([len(x) for x in points], np.int64)
+            yield batch_of([(-1 - buckets - salt % buckets, np.stack([doc, known]).tobytes(), np.stack([sizes, lengths]).tobytes(), digests, b"".join(points))])
             row, key = group_keys([x if k else x[:0] for x, k in zip(sets, known, strict=True)], levels, table.value)
             keys.append(key)
             nodes.append(doc[row])
@@ -218,37 +250,111 @@ def _keyed(words: int, num: int, den: int, table, buckets: int):
 
 
 def _shared(buckets: int):
-    """Partitions come sorted by bucket. Rows (a, b) of ids that share a key, and (a, n, digest) of all texts."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+    """Partitions come sorted by bucket. Rows (0, a, b) of ids to be joined, (1, a, b) to be tried, (2, a, n, digest, point) of all texts,
+    and (3, key, b) of ids to be compared together."""
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("point", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         bucket: int | None = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], schema=schema)
+        def edges(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            nothing = [pa.nulls(len(a), schema.field(k).type) for k in (3, 4, 5)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), *nothing], schema=schema)
 
-        def flush() -> pa.RecordBatch:
-            _, node, first, _ = _first_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return edges(*_pairs(node, first))
+        def flush() -> Iterator[pa.RecordBatch]:
+            g = _Groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield edges(0, *_pairs(g.nodes[g.many], g.first[g.many]))
+            yield edges(1, *g.tried())
+            yield edges(3, g.keys[g.some].view(np.int64), g.nodes[g.some])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 k = batch.column(0)[i].as_py()
-                one, two, digests = (unpack(batch.column(c)[i].as_py()) for c in (1, 2, 3))
+                one, two, three, four = (unpack(batch.column(c)[i].as_py()) for c in (1, 2, 3, 4))
                 if k < -buckets:
                     doc, known = np.frombuffer(one, np.int64).reshape(2, -1)
-                    sizes = np.frombuffer(two, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=known == 0), pa.nulls(len(doc), pa.int64()), pa.array(sizes), pa.array([digests[j : j + 16] for j in range(0, len(digests), 16)], pa.binary())], schema=schema)
+                    sizes, lengths = np.frombuffer(two, np.int64).reshape(2, -1)
+                    ends = np.cumsum(lengths).tolist()
+                    points = [four[y - x : y] for x, y in zip(lengths.tolist(), ends, strict=True)]
+                    digests = [three[j : j + 16] for j in range(0, len(three), 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), 2, np.int32)), pa.array(doc, mask=known == 0), pa.nulls(len(doc), pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(points, pa.binary())], schema=schema)
                 elif k < 0:
-                    yield edges(np.frombuffer(one, np.int64), np.frombuffer(two, np.int64))
+                    yield edges(0, np.frombuffer(one, np.int64), np.frombuffer(two, np.int64))
                 else:
                     if k != bucket:
                         if held:
-                            yield flush()
+                            yield from flush()
                         bucket, held = k, []
-                    held.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.int64)))
+                    held.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.int64), np.frombuffer(three, np.uint8).astype(np.int64)))
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _possible(num: int, den: int):
+    """Rows (a, b, n, m, p, q) of ids, sizes and points: the pairs whose bound on the overlap allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, p, q in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                fits = num * max(n, m) <= den * min(n, m)
+                if fits and p and q:
+                    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (p, q))
+                    least = min(len(x), len(y))
+                    bound = int(np.minimum(x.reshape(-1, least).sum(0), y.reshape(-1, least).sum(0)).sum())
+                    fits = bound * (num + den) >= num * (n + m)
+                keep.append(fits)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def joined_by_bound(points: list[bytes], sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs that join those places whose bound allows a link, directly or over others. What is joined is compared only with what is not
+    yet, so a group of alike texts takes a pass or two."""
+    width = min((len(p) for p in points if p), default=1)
+    # a text without a point may be like any
+    matrix = np.stack([np.frombuffer(p, np.uint8).reshape(-1, width).sum(0, dtype=np.int32) if p else np.full(width, 1 << 20, np.int32) for p in points])
+    rest = np.arange(len(points))
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            found = np.full(len(rest), -1)
+            for x in range(0, len(front), 64):
+                for y in range(0, len(rest), 64):
+                    a, b = front[x : x + 64], rest[y : y + 64]
+                    bound = np.minimum(matrix[a][:, None], matrix[b][None]).sum(2)
+                    small, large = np.minimum.outer(sizes[a], sizes[b]), np.maximum.outer(sizes[a], sizes[b])
+                    fits = (bound * (num + den) >= num * (small + large)) & (num * large <= den * small)
+                    hit = fits.any(0)
+                    found[y : y + 64][hit] = a[fits.argmax(0)[hit]]
+            new = found >= 0
+            yield from zip(found[new].tolist(), rest[new].tolist(), strict=True)
+            front, rest = rest[new], rest[~new]
+
+
+def _compared(num: int, den: int):
+    """Partitions come sorted by key; rows (key, node, n, point). Pairs that join nodes of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            nodes, sizes, points = zip(*held, strict=True)
+            pairs = list(joined_by_bound(list(points), np.array(sizes), num, den))
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for k, node, n, point in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if k != key:
+                    if held:
+                        yield flush()
+                    key, held = k, []
+                held.append((node, n, point))
         if held:
             yield flush()
 
@@ -328,9 +434,14 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     table = spark.sparkContext.broadcast(common_table([x % (1 << 64) for x in top.tolist()]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.mapInArrow(_keyed(words, num, den, table, n * BUCKETS), _SHAPE)
-    found = materialise(keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(n * BUCKETS), "a long, b long, n long, digest binary"), "keys")
-    marks = found.where("n is not null").select(F.col("a").alias("doc_id"), "n", "digest")
-    shared = found.where("b is not null").select("a", "b")
+    found = materialise(keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(n * BUCKETS), "kind int, a long, b long, n long, digest binary, point binary"), "keys")
+    marks = found.where("kind = 2").select(F.col("a").alias("doc_id"), "n", "digest")
+    points = found.where("kind = 2 and a is not null").select("a", "n", "point").dropDuplicates(["a", "n", "point"])
+    tried = found.where("kind = 1").select("a", "b").distinct().join(points.select("a", "n", F.col("point").alias("p")).hint("shuffle_hash"), "a")
+    tried = tried.join(points.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")).hint("shuffle_hash"), "b").select("a", "b", "n", "m", "p", "q")
+    together = found.where("kind = 3").select(F.col("a").alias("key"), F.col("b").alias("a")).join(points.hint("shuffle_hash"), "a").select("key", "a", "n", "point")
+    compared = together.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(_compared(num, den), "a long, b long")
+    shared = found.where("kind = 0").select("a", "b").union(tried.mapInArrow(_possible(num, den), "a long, b long")).union(compared)
     blocks = materialise(connected_components(shared), "blocks")
 
     # one row for each different set of a block; equal sets are linked as they are
