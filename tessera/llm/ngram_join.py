@@ -32,7 +32,7 @@ from tessera.llm.wordhash import mix, text_slices
 from tessera.session import materialise, ship
 
 #: Shingles that a task looks at together, in memory.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: A task reports a shingle that so many different sets of its chunk hold; of all reported, so many count as common.
 COMMON, MOST_COMMON = 3, 1 << 18
 #: Bits of a common shingle's place in the table of them.

@@ -28,7 +28,7 @@ from tessera.session import ship
 #: Words whose hashes choose a minimiser.
 MINIMISER = 3
 #: Bytes of text of which a task looks for repeats alone.
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES = 3 << 20
 #: Buckets for each shuffle partition.
 BUCKETS = 2
 

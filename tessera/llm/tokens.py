@@ -36,7 +36,7 @@ FILE_IDS = 2 << 20
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE, BATCH = 2048, 256
 #: Places in a worker's table of known pieces, tries to find one, ids kept for them, and new pieces that are encoded at a time.
-PLACES, TRIES, KEPT, TOGETHER = 1 << 22, 8, 1 << 24, 4096
+PLACES, TRIES, KEPT, TOGETHER = 1 << 21, 8, 1 << 23, 4096
 
 _rng = np.random.Generator(np.random.PCG64(8))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

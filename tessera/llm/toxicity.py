@@ -44,7 +44,7 @@ MARGIN = 2.5
 #: Bytes of a word that are looked at.
 PREFIX = 8
 #: Words whose scores a worker remembers.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: Bins of the histograms and the largest value that they tell apart.
 BINS, MOST_EVIDENCE = 400, 200.0
 
