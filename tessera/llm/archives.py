@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import materialise, shared_path, ship
+from tessera.session import map_arrow, materialise, shared_path, ship
 
 #: Compressed bytes after which a new archive begins; a longer record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
@@ -159,7 +159,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
         yield from _packed(records(), lambda name: arc_version_block(f"{name}.arc.gz", version, date))
 
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(payload_col).cast("binary"))
-    _write(rows.mapInArrow(run, "archive binary"), path)
+    _write(rows.transform(map_arrow, run, "archive binary"), path)
 
 
 def _http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
@@ -199,7 +199,7 @@ def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
         if rows:
             yield flush()
 
-    return _read(spark, path).mapInArrow(run, "record string, page_id long, uri string, ip string, date string, payload_digest string, payload_bytes long, length long, member binary")
+    return _read(spark, path).transform(map_arrow, run, "record string, page_id long, uri string, ip string, date string, payload_digest string, payload_bytes long, length long, member binary")
 
 
 def record_id(record: str) -> str:
@@ -253,7 +253,7 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0)
         yield from _packed(records(), lambda name: warc_record("warcinfo", {"WARC-Record-ID": record_id(name), "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Filename": f"{name}.warc.gz", "Content-Type": "application/warc-fields"}, about))
 
     whole = read_arc(spark, arc, whole=True).join(refers, "record", "left")
-    _write(whole.mapInArrow(run, "archive binary"), path)
+    _write(whole.transform(map_arrow, run, "archive binary"), path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -279,7 +279,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["record_id", "page_id", "record_type", "refers_to_id", "payload_bytes", "payload_digest"])
 
-    return _read(spark, path).mapInArrow(run, "record_id string, page_id long, record_type string, refers_to_id string, payload_bytes long, payload_digest string")
+    return _read(spark, path).transform(map_arrow, run, "record_id string, page_id long, record_type string, refers_to_id string, payload_bytes long, payload_digest string")
 
 
 def pages_through_archives(pages: DataFrame, least_bytes: int = 0, version: int = 1) -> DataFrame:

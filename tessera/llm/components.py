@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise, ship
+from tessera.session import map_arrow, materialise, ship
 
 #: Edges that a task contracts at once before they are dealt out.
 LOCAL_EDGES = 1 << 20
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ship(edges.sparkSession)
     a, b = edges.columns
     now = edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    now = materialise(now.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    now = materialise(now.transform(map_arrow, _contract, "u long, v long").distinct(), "edges")
     for _ in range(most_rounds):
         if _are_stars(now):
             break
@@ -79,7 +79,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = materialise(small.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        now = materialise(small.transform(map_arrow, _contract, "u long, v long").distinct(), "edges")
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise, ship
+from tessera.session import map_arrow, materialise, ship
 
 #: Bytes of benchmark text in one automaton, about.
 BLOCK_BYTES = 8 << 20
@@ -146,7 +146,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         held = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
         last = k == blocks - 1
         schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>" if last else "doc_id long, text string, runs array<struct<first:int,end:int>>, items array<string>"
-        state = state.mapInArrow(_scan(held, window, last, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}"), schema)
+        state = state.transform(map_arrow, _scan(held, window, last, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}"), schema)
         if not last:
             state = materialise(state, "hits")
     return state

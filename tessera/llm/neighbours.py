@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise, ship
+from tessera.session import map_arrow, materialise, ship
 
 #: Vectors from which the partitions are learned, at most.
 SAMPLE = 8192
@@ -254,14 +254,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 50, id_col:
     # the bounded sample is of different vectors, the smallest by a hash of the vector
     sample = usable.groupBy(F.xxhash64("vector").alias("h")).agg(F.first("vector").alias("vector")).orderBy("h").limit(sample_size).select("vector").collect()
     model = spark.sparkContext.broadcast(fit_partitions(np.array([r[0] for r in sample])))
-    dealt = materialise(usable.mapInArrow(_dealt(model, k, dim, every), "kind int, part int, vec_id long, vector array<double>"), "dealt")
+    dealt = materialise(usable.transform(map_arrow, _dealt(model, k, dim, every), "kind int, part int, vec_id long, vector array<double>"), "dealt")
     # a row for each part
     sizes = dealt.where("kind = 0").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = dealt.join(F.broadcast(sizes), "part")
     block = F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("block", F.explode(block)).select("part", "block", "kind", "vec_id", "vector")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(n, "part", "block").sortWithinPartitions("part", "block", F.desc("kind")).mapInArrow(_searched(k), "query_id long, vec_id long, score double")
+    found = rows.repartition(n, "part", "block").sortWithinPartitions("part", "block", F.desc("kind")).transform(map_arrow, _searched(k), "query_id long, vec_id long, score double")
     # a query has k rows from each block that it visited
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.rtree import CountRTree, count_vectors, group_number, overlap
 from tessera.llm.wordhash import mix, text_slices
-from tessera.session import materialise, ship
+from tessera.session import map_arrow, materialise, ship
 
 #: Shingles that a task looks at together, in memory.
 CHUNK = 1 << 20
@@ -240,7 +240,7 @@ def _keyed(words: int, num: int, den: int, table, buckets: int):
             keys.append(key)
             nodes.append(doc[row])
             held += len(key)
-            if held >= CHUNK:
+            if held >= CHUNK // 2:
                 yield from flush()
                 keys, nodes, held = [], [], 0
         if held:
@@ -428,20 +428,20 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    reported = texts.mapInArrow(_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    reported = texts.transform(map_arrow, _common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # at most MOST_COMMON numbers reach the driver; which they are changes only the blocks, not the links
     top = reported.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toPandas()["shingle"]
     table = spark.sparkContext.broadcast(common_table([x % (1 << 64) for x in top.tolist()]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.mapInArrow(_keyed(words, num, den, table, n * BUCKETS), _SHAPE)
-    found = materialise(keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(n * BUCKETS), "kind int, a long, b long, n long, digest binary, point binary"), "keys")
+    keyed = texts.transform(map_arrow, _keyed(words, num, den, table, n * BUCKETS), _SHAPE)
+    found = materialise(keyed.repartition(n, "bucket").sortWithinPartitions("bucket").transform(map_arrow, _shared(n * BUCKETS), "kind int, a long, b long, n long, digest binary, point binary"), "keys")
     marks = found.where("kind = 2").select(F.col("a").alias("doc_id"), "n", "digest")
     points = found.where("kind = 2 and a is not null").select("a", "n", "point").dropDuplicates(["a", "n", "point"])
     tried = found.where("kind = 1").select("a", "b").distinct().join(points.select("a", "n", F.col("point").alias("p")).hint("shuffle_hash"), "a")
     tried = tried.join(points.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")).hint("shuffle_hash"), "b").select("a", "b", "n", "m", "p", "q")
     together = found.where("kind = 3").select(F.col("a").alias("key"), F.col("b").alias("a")).join(points.hint("shuffle_hash"), "a").select("key", "a", "n", "point")
-    compared = together.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(_compared(num, den), "a long, b long")
-    shared = found.where("kind = 0").select("a", "b").union(tried.mapInArrow(_possible(num, den), "a long, b long")).union(compared)
+    compared = together.repartition(n, "key").sortWithinPartitions("key", "a").transform(map_arrow, _compared(num, den), "a long, b long")
+    shared = found.where("kind = 0").select("a", "b").union(tried.transform(map_arrow, _possible(num, den), "a long, b long")).union(compared)
     blocks = materialise(connected_components(shared), "blocks")
 
     # one row for each different set of a block; equal sets are linked as they are
@@ -454,10 +454,10 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
 
     # dealt out alike at every size: the texts once, the blocks' ids as the side that is held
     rows = texts.join(todo.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "block", "chunk", "chunks")
-    sets = rows.mapInArrow(_set_rows(words), "doc_id long, block long, chunk int, chunks int, shingles binary")
+    sets = rows.transform(map_arrow, _set_rows(words), "doc_id long, block long, chunk int, chunks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = sets.withColumn("other", other).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc_id", "shingles")
-    links = tiles.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").mapInArrow(_join_tiles(num, den), "a long, b long")
+    links = tiles.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").transform(map_arrow, _join_tiles(num, den), "a long, b long")
     joined = connected_components(equal.union(links))
     return marks.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import Words, find_words, mix, text_slices
-from tessera.session import ship
+from tessera.session import map_arrow, ship
 
 #: Words whose hashes choose a minimiser.
 MINIMISER = 3
@@ -168,8 +168,8 @@ def repeated_ranges(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    packed = texts.mapInArrow(_packed(window, n * BUCKETS), _SHAPE)
-    covered = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(window), "doc_id long, first int, end int")
+    packed = texts.transform(map_arrow, _packed(window, n * BUCKETS), _SHAPE)
+    covered = packed.repartition(n, "bucket").sortWithinPartitions("bucket").transform(map_arrow, _counted(window), "doc_id long, first int, end int")
     return covered.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
 
 
@@ -198,4 +198,4 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     ranges = repeated_ranges(docs, window, id_col, text_col).withColumnRenamed("doc_id", "covered_id")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(ranges, F.col("doc_id") == F.col("covered_id"), "left").select("doc_id", "text", "ranges")
-    return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    return rows.transform(map_arrow, _kept, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))

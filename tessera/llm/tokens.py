@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import byte_slices, mix
-from tessera.session import materialise, shared_path, ship
+from tessera.session import map_arrow, materialise, shared_path, ship
 
 #: The Arrow file format's magic, which begins and ends a file.
 MAGIC = "ARROW1"
@@ -92,6 +92,10 @@ class Encoder:
         self.at, self.size = np.zeros(PLACES, np.int32), np.zeros(PLACES, np.int32)
         self.ids, self.used, self.known = np.zeros(KEPT, self.kind), 0, 0
 
+    def rest(self) -> None:
+        """Hold no tables until the next text."""
+        self.keys = self.at = self.size = self.ids = None
+
     def _keep(self, ids: np.ndarray) -> int:
         """Where these ids are kept from now on."""
         if self.used + len(ids) > len(self.ids):
@@ -156,7 +160,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, numbers): the ids of the texts data[offsets[i]:offsets[i+1]], each followed by ``end_id``, and how many each has."""
-        if self.known > PLACES // 2 or self.used > KEPT:
+        if self.keys is None or self.known > PLACES // 2 or self.used > KEPT:
             self._forget()
         n = len(offsets) - 1
         whole = _irregular(data, offsets) if self.by_piece else np.ones(n, bool)
@@ -268,10 +272,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     held, starts, size = [], [], 0
         if held:
             yield flush()
+        own.rest()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    files = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "file binary")
+    files = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").transform(map_arrow, run, "file binary")
     files.select(F.col("file").cast("string")).write.option("lineSep", MAGIC).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -291,7 +296,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    rows = materialise(files.mapInArrow(run, "doc_id long, place long, n_tokens long, ids_crc32 long, task long, number long, n_ids long"), "token-index")
+    rows = materialise(files.transform(map_arrow, run, "doc_id long, place long, n_tokens long, ids_crc32 long, task long, number long, n_ids long"), "token-index")
     # a row for each file
     sizes = rows.groupBy("task", "number").agg(F.first("n_ids").alias("n_ids"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

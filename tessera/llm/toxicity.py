@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise, ship
+from tessera.session import map_arrow, materialise, ship
 
 #: Labelled rows from which a model is learned, at most.
 MOST_LABELS = 1 << 16
@@ -165,17 +165,12 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.slope * math.log1p(evidence) + self.offset))))
 
 
-_memo: dict[str, dict[bytes, float]] = {}
-
-
-def _segment_rows(model, marker: str, passages: bool):
+def _segment_rows(model, passages: bool):
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ToxicityModel = model.value
-        if marker not in _memo:
-            _memo.clear()
-        memo = _memo.setdefault(marker, {})
+        memo: dict[bytes, float] = {}
         for batch in batches:
             sizes, most, scores, spans = [], [], [], []
             for value in batch.column(1):
@@ -254,9 +249,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(most_labels))
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     learn = texts.join(known, "label_id").select("text", "toxic")
-    counted = learn.mapInArrow(_counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = learn.transform(map_arrow, _counts, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = materialise(counted, "words")
-    per_token = counted.mapInArrow(_spread, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    per_token = counted.transform(map_arrow, _spread, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     clean, toxic = counted.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     model = ToxicityModel()
     if clean and toxic:
@@ -282,7 +277,7 @@ def _calibrate(model: ToxicityModel, counted: DataFrame, learn: DataFrame, clean
             scores = np.array([held.value.word_score(w.rstrip(b"$")) for w in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(steps, scores)), batch.column(1)], names=["bin", "clean"])
 
-    found = counted.where("clean > 0").mapInArrow(scored, "bin long, clean long").groupBy("bin").agg(F.sum("clean").alias("n")).collect()
+    found = counted.where("clean > 0").transform(map_arrow, scored, "bin long, clean long").groupBy("bin").agg(F.sum("clean").alias("n")).collect()
     counts = np.zeros(BINS + 1)
     for r in found:
         counts[r["bin"]] = r["n"]
@@ -294,9 +289,8 @@ def _calibrate(model: ToxicityModel, counted: DataFrame, learn: DataFrame, clean
     counts[np.searchsorted(steps, most)] += 1
     model.scale = _solved_scale(values, counts)
 
-    marker = f"{spark.sparkContext.applicationId}-fit-{held._jbroadcast.id()}"
     shape = "key int, n_words long, most double, evidence double"
-    rows = materialise(learn.mapInArrow(_segment_rows(held, marker, False), shape), "fit")
+    rows = materialise(learn.transform(map_arrow, _segment_rows(held, False), shape), "fit")
     bin_of = F.least(F.lit(BINS - 1), F.floor(F.col("most") * (BINS / MOST_EVIDENCE))).cast("int")
     hit = rows.where("key = 0 and n_words > 0").agg(F.count("*"), F.sum((F.col("most") > 0).cast("long")), F.avg("n_words")).first()
     # P(some segment of at least the least score above nought) = 1 - exp(-K n exp(-lambda s))
@@ -304,7 +298,7 @@ def _calibrate(model: ToxicityModel, counted: DataFrame, learn: DataFrame, clean
     least = max(0.1, float(np.median([w - model.margin for w in model.weights.values() if w > model.margin] or [1.0])) / 2)
     model.k = min(1.0, max(1e-9, -math.log(1 - share) / max(1.0, hit[2] or 1.0) * math.exp(min(50.0, model.scale * least))))
     held = spark.sparkContext.broadcast(model)
-    rows = learn.mapInArrow(_segment_rows(held, f"{marker}-k", False), shape)
+    rows = learn.transform(map_arrow, _segment_rows(held, False), shape)
     bin_of = F.least(F.lit(BINS - 1), F.floor(F.log1p("evidence") * (BINS / math.log1p(MOST_EVIDENCE * 10)))).cast("int")
     table = rows.groupBy(bin_of.alias("bin"), "key").count().collect()
     toxic, other = np.zeros(BINS), np.zeros(BINS)
@@ -322,7 +316,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     held = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     shape = "key long, n_words long, most double, evidence double, score double, passages array<struct<start:int,end:int,evidence:double>>"
-    found = rows.mapInArrow(_segment_rows(held, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}", True), shape)
+    found = rows.transform(map_arrow, _segment_rows(held, True), shape)
     return found.select(F.col("key").alias("doc_id"), "n_words", "score", "passages")
 
 
@@ -331,7 +325,7 @@ def not_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thr
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    run = _segment_rows(held, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}", False)
+    run = _segment_rows(held, False)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
