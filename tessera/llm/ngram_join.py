@@ -251,7 +251,7 @@ def _keyed(words: int, num: int, den: int, table, buckets: int):
 
 def _shared(buckets: int):
     """Partitions come sorted by bucket. Rows (0, a, b) of ids to be joined, (1, a, b) to be tried, (2, a, n, digest, point) of all texts,
-    and (3, key, b) of ids to be compared together."""
+    and (3, key, b, first id of the key) of ids to be compared together."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("point", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,15 +259,15 @@ def _shared(buckets: int):
         bucket: int | None = None
         held: list[tuple[np.ndarray, ...]] = []
 
-        def edges(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            nothing = [pa.nulls(len(a), schema.field(k).type) for k in (3, 4, 5)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), *nothing], schema=schema)
+        def edges(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+            rest = [pa.nulls(len(a), pa.int64()) if n is None else pa.array(n), *(pa.nulls(len(a), pa.binary()) for _ in range(2))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), *rest], schema=schema)
 
         def flush() -> Iterator[pa.RecordBatch]:
             g = _Groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield edges(0, *_pairs(g.nodes[g.many], g.first[g.many]))
             yield edges(1, *g.tried())
-            yield edges(3, g.keys[g.some].view(np.int64), g.nodes[g.some])
+            yield edges(3, g.keys[g.some].view(np.int64), g.nodes[g.some], g.first[g.some])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -338,22 +338,36 @@ def joined_by_bound(points: list[bytes], sizes: np.ndarray, num: int, den: int)
 
 
 def _compared(num: int, den: int):
-    """Partitions come sorted by key; rows (key, node, n, point). Pairs that join nodes of a key."""
+    """Partitions come sorted by the first id of a key, and key; rows (first, key, node, n, point). Pairs that join nodes, of which keys with the same
+    first id give no more than it takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, parent = None, [], {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
         def flush() -> pa.RecordBatch:
             nodes, sizes, points = zip(*held, strict=True)
-            pairs = list(joined_by_bound(list(points), np.array(sizes), num, den))
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            pairs = []
+            if len({find(x) for x in nodes}) > 1:
+                for i, j in joined_by_bound(list(points), np.array(sizes), num, den):
+                    if (x := find(nodes[i])) != (y := find(nodes[j])):
+                        parent[x] = y
+                        pairs.append((nodes[i], nodes[j]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for k, node, n, point in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if k != key:
+            for first, k, node, n, point in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (first, k) != key:
                     if held:
                         yield flush()
-                    key, held = k, []
+                        if first != key[0]:
+                            parent.clear()
+                    key, held = (first, k), []
                 held.append((node, n, point))
         if held:
             yield flush()
@@ -439,8 +453,10 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     points = found.where("kind = 2 and a is not null").select("a", "n", "point").dropDuplicates(["a", "n", "point"])
     tried = found.where("kind = 1").select("a", "b").distinct().join(points.select("a", "n", F.col("point").alias("p")).hint("shuffle_hash"), "a")
     tried = tried.join(points.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")).hint("shuffle_hash"), "b").select("a", "b", "n", "m", "p", "q")
-    together = found.where("kind = 3").select(F.col("a").alias("key"), F.col("b").alias("a")).join(points.hint("shuffle_hash"), "a").select("key", "a", "n", "point")
-    compared = together.repartition(n, "key").sortWithinPartitions("key", "a").transform(map_arrow, _compared(num, den), "a long, b long")
+    together = found.where("kind = 3").select(F.col("n").alias("first"), F.col("a").alias("key"), F.col("b").alias("a")).join(points.hint("shuffle_hash"), "a")
+    # keys of one group of copies have few first ids, and meet in a few tasks that each join the group once
+    together = together.select("first", "key", "a", "n", "point").repartition(n, "first", F.pmod("key", F.lit(4)))
+    compared = together.sortWithinPartitions("first", "key", "a").transform(map_arrow, _compared(num, den), "a long, b long")
     shared = found.where("kind = 0").select("a", "b").union(tried.transform(map_arrow, _possible(num, den), "a long, b long")).union(compared)
     blocks = materialise(connected_components(shared), "blocks")
 
