@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Names of months.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -39,12 +40,12 @@ def normalised(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkc_udf(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def similarity_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     """The ratio of matching blocks, which depends on the order: a is the earlier text."""
     found = []
