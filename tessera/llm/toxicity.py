@@ -131,7 +131,7 @@ class ToxicityModel:
     scale: float = 1.0  # lambda
     k: float = 1.0
     slope: float = 0.0
-    offset: float = 0.0
+    offset: float = -2.0  # with nothing learned no text is called toxic
 
     def word_score(self, word: bytes) -> float:
         """The most telling token decides: the largest ratio above nought, else the smallest below."""
