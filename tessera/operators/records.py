@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import format_amount, valid_date
 from tessera.functions.text import category_slug, normalised, normalised_for_copies, similarity_udf, strip
+from tessera.session import ship
 
 ACTIVITIES = ["GENERATION", "COMPLETION", "NORMALIZATION"]
 CURRENCIES = ["EUR", "USD", "GBP"]
@@ -94,6 +95,7 @@ def exact_copies(rows: DataFrame, id_col: str, content: list[str], seq: str) ->
 def near_copies(rows: DataFrame, id_col: str, block: list[str], text: str, threshold: float = 0.93) -> DataFrame:
     """(id_a, id_b, similarity) of texts in one block, a before b, whose ratio reaches the threshold. Lengths too
     different for it are ruled out before the ratio is computed."""
+    ship(rows.sparkSession)  # the ratio is computed in Python workers
     own = rows.select(*block, F.col(id_col).alias("id"), normalised_for_copies(F.col(text)).alias("s")).where("s != ''").withColumn("n", F.length("s"))
     a, b = (own.select(*block, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "n"))) for x in ("a", "b"))
     pairs = a.join(b, block).where((F.col("id_a") < F.col("id_b")) & (2 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
@@ -131,3 +133,19 @@ def references_contained(text: Column, references: Column) -> Column:
     """All normalised references are part of the normalised text."""
     own = normalised(text)
     return F.forall(references, lambda r: (normalised(r) != "") & F.contains(own, normalised(r)))
+
+
+def contained_items(items: DataFrame, rows: DataFrame, item_id: str, item: str, row_id: str, text: str, most_bytes: int = 1 << 24) -> DataFrame:
+    """(item_id, row_id) of items, a query set, that are part of a row's text, whatever the case. Items are broadcast in blocks of at most ``most_bytes``
+    (an item beyond that alone), and each block is searched in all rows, so the set may have any size."""
+    own = items.where(F.col(item).isNotNull()).select(item_id, F.lower(item).alias("_item"))
+    total = own.agg(F.sum(F.octet_length("_item") + 64)).first()[0] or 0
+    blocks = 1 if total <= most_bytes else 2 * int(total // most_bytes + 1)  # twice as many, as digests fill them unevenly
+    out = None
+    for k in range(blocks):
+        part = own.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k) if blocks > 1 else own
+        every = part.agg(F.collect_list(F.struct(item_id, "_item")).alias("_items"))
+        low = rows.select(row_id, F.lower(text).alias("_low")).join(F.broadcast(every))
+        found = low.select(row_id, F.explode(F.filter("_items", lambda i: F.contains(F.col("_low"), i["_item"]))).alias("_i")).select(f"_i.{item_id}", row_id)
+        out = found if out is None else out.unionByName(found)
+    return out

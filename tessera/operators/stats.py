@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import pct_change
 from tessera.functions.text import ngrams, tokens
+from tessera.session import materialise
 
 
 def describe(c: str) -> list[Column]:
@@ -20,22 +21,52 @@ def describe_by(rows: DataFrame, key: str, measures: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("runs"), *(x for m in measures for x in describe(m)))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number from 1 in an order of all rows. Ranges of the order are sorted apart and written; only the number of rows of each
+    range is summed up, so no task sees all rows, and a lost executor cannot shift ranges. Keys that tie are numbered in any order."""
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = materialise(sorted_rows.select("*", F.spark_partition_id().alias("_range"), at.alias("_at")), "ordinals")
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return kept.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
 def with_ordinals(rows: DataFrame, order: list[str], cycle: int = 6) -> DataFrame:
-    """run from 1, its cycle, and its place in the cycle. The order is over all rows, so one task numbers them: for logs of one
-    device. Others give the number when they write."""
-    run = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("run", run).withColumn("cycle", F.ceil(F.col("run") / cycle).cast("int")).withColumn("place", ((F.col("run") - 1) % cycle).cast("int"))
+    """run from 1, its cycle, and its place in the cycle."""
+    found = numbered(rows, order, "run")
+    return found.withColumn("cycle", F.ceil(F.col("run") / cycle).cast("int")).withColumn("place", ((F.col("run") - 1) % cycle).cast("int"))
 
 
 def first_last(rows: DataFrame, seq: str, measures: list[str], k: int, by: list[str] | None = None) -> DataFrame:
-    """Mean of the first and of the last ``k`` rows of each measure and the change in per cent (null from nought)."""
-    by = by or []
-    up, down = (F.row_number().over(Window.partitionBy(*by).orderBy(x)) for x in (F.col(seq), F.col(seq).desc()))
-    marked = rows.select(*by, *measures, up.alias("_up"), down.alias("_down")).where(f"_up <= {k} or _down <= {k}")
-    sums = marked.groupBy(*by).agg(*(x for m in measures for x in (F.avg(F.when(F.col("_up") <= k, F.col(m))).alias(f"{m}_first"), F.avg(F.when(F.col("_down") <= k, F.col(m))).alias(f"{m}_last"))))
+    """Mean of the first and of the last ``k`` rows of each measure and the change in per cent (null from nought). Each task keeps ``k`` rows of a group
+    before anything is shuffled."""
+    by, ends = by or [], []
+    for end, order in (("first", F.col(seq).asc()), ("last", F.col(seq).desc())):
+        top = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(f"_place <= {k}") if by else rows.orderBy(order).limit(k)
+        ends.append(top.select(*by, *measures, F.lit(end).alias("_end")))
+    of = lambda m, end: F.avg(F.when(F.col("_end") == end, F.col(m))).alias(f"{m}_{end}")
+    sums = ends[0].unionByName(ends[1]).groupBy(*by).agg(*(of(m, end) for m in measures for end in ("first", "last")))
     return sums.select(*by, *(x for m in measures for x in (F.round(f"{m}_first", 6).alias(f"{m}_first"), F.round(f"{m}_last", 6).alias(f"{m}_last"), F.round(pct_change(F.col(f"{m}_first"), F.col(f"{m}_last")), 6).alias(f"{m}_change_pct"))))
 
 
+def even_sample(rows: DataFrame, id_col: str, seq: str, known: list[str], n: int) -> DataFrame:
+    """(id, known): a sample of ``n`` rows, numbered from 1 by ``seq``. Known ids come first, in their order; then rows at even distances, of which three
+    times as many as needed and ten more are named and the first are taken, so controls are from the first part; then the first other rows."""
+    spark, is_known = rows.sparkSession, F.coalesce(F.col(id_col).isin(known), F.lit(False))
+    own = rows.select(id_col, seq, is_known.alias("known"))
+    order = F.array_position(F.array(*(F.lit(x) for x in known)) if known else F.array().cast("array<string>"), F.col(id_col))
+    first = own.where("known").orderBy(order).limit(n)
+    sizes = own.agg(F.max(seq).alias("total"), F.count_if("known").alias("found")).first()
+    total, needed = sizes.total or 0, max(0, n - sizes.found)
+    last = needed * 3 + 9
+    points = spark.range(last + 1).select((F.bround(F.col("id") * (total - 1) / last).cast("long") + 1).alias(seq)) if needed != 1 else spark.range(1).select(F.lit(total // 2 + 1).alias(seq))
+    even = own.join(F.broadcast(points.distinct()), seq).where("not known").select(id_col, seq, F.lit(1).alias("turn"))
+    other = own.where("not known").orderBy(seq).limit(2 * n).select(id_col, seq, F.lit(2).alias("turn"))
+    controls = even.unionByName(other).groupBy(id_col, seq).agg(F.min("turn").alias("turn")).orderBy("turn", seq).limit(needed)
+    return first.select(id_col, "known").unionByName(controls.select(id_col, F.lit(False).alias("known")))
+
+
 def slopes(rows: DataFrame, seq: str, measures: list[str], by: list[str] | None = None) -> DataFrame:
     """Least-squares slope of each measure over ``seq``; 0 if it has none."""
     return rows.groupBy(*(by or [])).agg(*(F.round(F.coalesce(F.regr_slope(m, seq), F.lit(0.0)), 6).alias(f"{m}_slope") for m in measures))

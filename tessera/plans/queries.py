@@ -246,11 +246,7 @@ def rouge_plain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def alignment_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    # the items are the stated query set; each document is searched for all of them
-    every = items.agg(F.collect_list(F.struct("item_id", F.lower("text").alias("t"))).alias("items"))
-    found = docs.join(F.broadcast(every)).select("doc_id", F.explode(F.filter("items", lambda i: F.contains(F.lower("text"), i["t"]))).alias("i"))
-    return found.select("i.item_id", "doc_id")
+    return R.contained_items(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
 @query(f"WITH {REPLIES} SELECT conv_id, turn, lower(trim(reference)) = lower(trim(prediction)) AS same FROM replies")
