@@ -1,11 +1,16 @@
-"""The two alternatives of a generated reply, found with built-in expressions only."""
+"""The two alternatives of a generated reply: by built-in expressions, or, where markers must be weighed by their places, by an Arrow function."""
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions.text import normalised, strip
 
@@ -115,3 +120,69 @@ def exact_pair(items: Column, references: Column) -> Column:
     """The share of two references met by alternatives of the same normalised text, in the better order."""
     same = lambda i, j: F.coalesce((normalised(F.get(items, i)) == normalised(F.get(references, j))) & (normalised(F.get(items, i)) != ""), F.lit(False)).cast("double")
     return F.greatest(same(0, 0) + same(1, 1), same(0, 1) + same(1, 0)) / 2
+
+
+# How a line of Markdown may begin, and the names of alternatives there.
+LINE_START = r"^[ \t]*(?:>[ \t]*)?(?:#{1,6}[ \t]*)?(?:[-+*][ \t]+)?(?:\*\*|__)?[ \t]*"
+MARKDOWN_NAMES = r"(?:alternative|option|normalized[ \t]+description|description|bank[- \t]+transfer[ \t]+description)"
+CLOSE = r"[ \t]*(?:(?:\*\*|__)[ \t]*)?[.):\-](?:[ \t]*(?:\*\*|__))?[ \t]*"
+MARKERS = {"named": rf"(?im){LINE_START}{MARKDOWN_NAMES}[ \t]*(?P<number>[12])(?:[ \t]*\([^)\r\n]{{1,60}}\))?{CLOSE}", "numbered": rf"(?im){LINE_START}(?P<number>[12]){CLOSE}"}
+MARKDOWN_COMMENTARY = rf"(?im){LINE_START}(?:explanation|reasoning|notes?|both[ \t]+(?:descriptions|alternatives)).*$"
+MARKDOWN_MARKS = [r"^\s*[-*•]\s+", r"^\s*\d+\s*[.):\-](?:[ \t]+|$)", rf"^\s*{LOOSE_NAMES}\s*\d+{MARK}", rf"^\s*(?:normalized\s+description|description)\s*\d+{MARK}", r"^\s*```(?:text)?[ \t]*(?:\r?\n)?", r"(?:\r?\n)?[ \t]*```\s*$"]
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", text).lower()).split())
+
+
+def _markdown_item(text: str) -> str:
+    """Without list marks and a fence around it, each once, and without commentary; emphasis stays."""
+    text = text.strip()
+    for mark in MARKDOWN_MARKS:
+        text = re.sub(mark, "", text, flags=re.I)
+    return re.split(MARKDOWN_COMMENTARY, text.strip(), maxsplit=1)[0].strip()
+
+
+def _between_markers(text: str) -> list[str]:
+    """What follows the earliest marker 1 whose next marker of its kind is a 2, and what follows that 2, both not empty; without such a pair
+    what follows the earliest marker 1. A text ends where any marker or commentary begins, but for the first of a pair, which ends at its 2."""
+    hits = {kind: list(re.finditer(pattern, text)) for kind, pattern in MARKERS.items()}
+    stops = sorted(x.start() for own in (*hits.values(), re.finditer(MARKDOWN_COMMENTARY, text)) for x in own)
+    end = lambda hit: next((s for s in stops if s >= hit.end() and s > hit.start()), len(text))
+    pairs, singles = [], []
+    for own in hits.values():
+        for a, b in zip(own, [*own[1:], None], strict=False):
+            if a["number"] != "1":
+                continue
+            singles.append((a.start(), end(a), [_markdown_item(text[a.end() : end(a)])]))
+            if b and b["number"] == "2":
+                pairs.append((a.start(), end(b), [_markdown_item(text[a.end() : b.start()]), _markdown_item(text[b.end() : end(b)])]))
+    whole = sorted(x for x in pairs if all(x[2])) or sorted(x for x in singles if all(x[2]))
+    return whole[0][2] if whole else []
+
+
+def markdown_alternatives(text: str | None) -> list[str]:
+    """As ``alternatives`` for replies with Markdown: markers of two kinds, of which the earliest whole pair counts, even if one breaks off later."""
+    text = (text or "").strip()
+    if text.startswith("[") and text.endswith("]"):
+        try:
+            return [x for x in (_markdown_item(str(x)) for x in json.loads(text) if str(x).strip()) if x][:2]
+        except json.JSONDecodeError:
+            pass
+    if found := _between_markers(text):
+        return found
+    kept = []
+    for line in map(_markdown_item, text.splitlines()):
+        bare = re.sub(r"^\s*[-+]\s+", "", re.sub(r"[*_`#>]", "", line).strip())
+        label = re.match(rf"\s*(?:{'|'.join(LABELS)})\s*:", bare, re.I)
+        if line and not re.fullmatch(r"```(?:text)?", line, re.I) and not label and _plain(bare) not in HEADERS + MORE_HEADERS:
+            kept.append(line)
+    if len(kept) == 1:
+        parts = [x for x in map(_markdown_item, re.split(r"[ \t]*\|[ \t]*", kept[0])) if x]
+        return parts[:2] if len(parts) > 1 else kept
+    return kept if len(kept) == 2 else []
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def markdown_alternatives_udf(text: pa.Array) -> pa.Array:
+    return pa.array([markdown_alternatives(x) for x in text.to_pylist()], pa.list_(pa.string()))

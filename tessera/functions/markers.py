@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,9 +24,23 @@ CUE_REACH = 24
 MONTH_NUMBERS = {name[:k]: n for n, name in enumerate(MONTHS, 1) for k in (3, len(name))} | {"sept": 9}
 _month = re.compile(rf"\b(?:{'|'.join(sorted(MONTH_NUMBERS, key=len, reverse=True))})\b", re.I)
 _cue = re.compile(rf"{_month.pattern}|\bq[1-4]\b|\b(?:year|term|semester|installment|instalment)\b", re.I)
-_code_first = re.compile(rf"\b(?P<code>{CODES})[ \t]*(?P<number>{NUMBER})(?![\d.,])", re.I)
-_number_first = re.compile(rf"(?<![\d.,])(?P<number>{NUMBER})[ \t]*(?P<code>{CODES})\b", re.I)
-_code_before, _code_after = re.compile(rf"\b{CODES}[ \t]*\Z", re.I), re.compile(rf"[ \t]*{CODES}\b", re.I)
+_context = re.compile(rf"{YEAR}|{ISO_DATE}|\b(?:month|monthly|period|term|semester|quarter|due)\b", re.I)
+
+
+class Style(NamedTuple):
+    """How currencies are written: the pattern of one, what may not touch it, and how far from a year one is looked for."""
+
+    code: str
+    before: str
+    after: str
+    reach: int
+
+
+CODES_ONLY = Style(CODES, r"\b", r"\b", 8)
+WITH_SIGNS = Style(r"(?:EUR|USD|GBP|€|\$|£)", "(?<![A-Za-z])", "(?![A-Za-z])", 10)
+SIGNS = {"€": "EUR", "$": "USD", "£": "GBP"}
+#: How many characters around a month may hold a word or number that makes it one.
+MONTH_REACH = 20
 
 
 def amount_of(number: str) -> float:
@@ -43,53 +58,82 @@ def _meant_as_year(text: str, start: int, end: int, known: set[int]) -> bool:
     return int(text[start:end]) in known or bool(_cue.search(text[max(0, start - CUE_REACH) : end + CUE_REACH]))
 
 
-def money_in(text: str | None, known_years: set[int]) -> list[tuple[str, float]]:
-    """(currency, amount) in the lines of a text: first those of a line that begin with the code, then those that end with it and overlap none.
-    A year before a code is no amount if it is known or words near it speak of time."""
+def money_in(text: str | None, known_years: set[int], style: Style = CODES_ONLY) -> list[tuple[str, float]]:
+    """(currency, amount) in the lines of a text: first those of a line that begin with the currency, then those that end with it and overlap none.
+    A year before a currency is no amount if it is known or words near it speak of time."""
+    first = rf"{style.before}(?P<code>{style.code})[ \t]*(?P<number>{NUMBER})(?![\d.,])"
+    last = rf"(?<![\d.,])(?P<number>{NUMBER})[ \t]*(?P<code>{style.code}){style.after}"
     found = []
     for line in (text or "").splitlines():
-        taken = []
-        for hit in _code_first.finditer(line):
-            taken.append(range(*hit.span()))
-            found.append((hit["code"].upper(), amount_of(hit["number"])))
-        for hit in _number_first.finditer(line):
-            start, end = hit.span("number")
-            apart = all(hit.end() <= t.start or hit.start() >= t.stop for t in taken)
-            year = re.fullmatch(r"20\d{2}", hit["number"]) and _meant_as_year(line, start, end, known_years)
-            if apart and not year:
-                found.append((hit["code"].upper(), amount_of(hit["number"])))
+        sure = list(re.finditer(first, line, re.I))
+        apart = [x for x in re.finditer(last, line, re.I) if all(x.end() <= s.start() or x.start() >= s.end() for s in sure)]
+        years = [x for x in apart if re.fullmatch(r"20\d{2}", x["number"]) and _meant_as_year(line, *x.span("number"), known_years)]
+        found += [(SIGNS.get(x["code"], x["code"].upper()), amount_of(x["number"])) for x in sure + apart if x not in years]
     return found
 
 
-def times_in(text: str | None, known_years: set[int]) -> set[str]:
-    """Quarters, months, instalments and years in a text. A year after a code is money; before a code it must be known or words near it speak of time."""
+def times_in(text: str | None, known_years: set[int], style: Style = CODES_ONLY, months: set[int] | None = None) -> set[str]:
+    """Quarters, months, instalments and years in a text. A year after a currency is money; before one it must be known or words near it speak of time.
+    With ``months`` a month must be among them or near a year or a word of time, as names of people may be like months."""
     low = (text or "").lower()
-    found = {f"quarter:{x}" for x in re.findall(r"\bq([1-4])\b", low)} | {f"month:{MONTH_NUMBERS[x]}" for x in _month.findall(low)}
+    found = {f"quarter:{x}" for x in re.findall(r"\bq([1-4])\b", low)}
     found |= {f"installment:{name}" for name, words in ORDINALS.items() if re.search(rf"\b(?:{words})\s+(?:installment|instalment)\b", low)}
+    for hit in _month.finditer(low):
+        number = MONTH_NUMBERS[hit[0]]
+        if months is None or number in months or _context.search(low[max(0, hit.start() - MONTH_REACH) : hit.end() + MONTH_REACH]):
+            found.add(f"month:{number}")
     for year, month in re.findall(ISO_DATE, low):
         found |= {f"year:{year}", f"month:{int(month)}"}
     for hit in re.finditer(YEAR, low):
         start, end = hit.span()
-        if _code_before.search(low[max(0, start - 8) : start]):
-            continue
-        if not _code_after.match(low[end : end + 8]) or _meant_as_year(low, start, end, known_years):
+        priced = re.search(rf"{style.before}{style.code}[ \t]*\Z", low[max(0, start - style.reach) : start], re.I)
+        doubtful = re.match(rf"[ \t]*{style.code}{style.after}", low[end : end + style.reach], re.I)
+        if not priced and (not doubtful or _meant_as_year(low, start, end, known_years)):
             found.add(f"year:{hit[0]}")
     return found
 
 
+def _set(values: list[int] | None) -> set[int]:
+    return set(values or ())
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def times_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
     pairs = zip(text.to_pylist(), known_years.to_pylist(), strict=True)
-    return pa.array([sorted(times_in(t, set(y or ()))) for t, y in pairs], pa.list_(pa.string()))
+    return pa.array([sorted(times_in(t, _set(y))) for t, y in pairs], pa.list_(pa.string()))
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("currency", StringType()), StructField("amount", DoubleType())])))
-def money_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
+@F.arrow_udf(ArrayType(StringType()))
+def times_with_signs_udf(text: pa.Array, known_years: pa.Array, months: pa.Array) -> pa.Array:
+    """Null months: every month counts."""
+    rows = zip(text.to_pylist(), known_years.to_pylist(), months.to_pylist(), strict=True)
+    return pa.array([sorted(times_in(t, _set(y), WITH_SIGNS, None if m is None else set(m))) for t, y, m in rows], pa.list_(pa.string()))
+
+
+def _amounts(text: pa.Array, known_years: pa.Array, style: Style) -> pa.Array:
     pairs = zip(text.to_pylist(), known_years.to_pylist(), strict=True)
     kind = pa.list_(pa.struct([("currency", pa.string()), ("amount", pa.float64())]))
-    return pa.array([[{"currency": c, "amount": a} for c, a in money_in(t, set(y or ()))] for t, y in pairs], kind)
+    return pa.array([[{"currency": c, "amount": a} for c, a in money_in(t, _set(y), style)] for t, y in pairs], kind)
+
+
+AMOUNTS = ArrayType(StructType([StructField("currency", StringType()), StructField("amount", DoubleType())]))
+
+
+@F.arrow_udf(AMOUNTS)
+def money_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
+    return _amounts(text, known_years, CODES_ONLY)
+
+
+@F.arrow_udf(AMOUNTS)
+def money_with_signs_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
+    return _amounts(text, known_years, WITH_SIGNS)
 
 
 def years_of(times: Column) -> Column:
     """The years among markers."""
     return F.transform(F.filter(times, lambda x: x.startswith("year:")), lambda x: F.substring(x, 6, 4).cast("int"))
+
+
+def months_of(times: Column) -> Column:
+    """The months among markers."""
+    return F.transform(F.filter(times, lambda x: x.startswith("month:")), lambda x: F.substring(x, 7, 2).cast("int"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.alternatives import alternatives
-from tessera.functions.markers import money_udf, times_udf, years_of
+from tessera.functions.alternatives import alternatives, markdown_alternatives_udf
+from tessera.functions.markers import SIGNS, money_udf, money_with_signs_udf, months_of, times_udf, times_with_signs_udf, years_of
 from tessera.functions.text import contains_normalised, normalised, strip
 from tessera.session import ship
 
@@ -14,19 +14,24 @@ from tessera.session import ship
 OFF, OFF_SHARE = 0.011, 1e-9
 
 
-def consistency(records: DataFrame, reply: str) -> DataFrame:
+def consistency(records: DataFrame, reply: str, signs: bool = False) -> DataFrame:
     """``records`` with flags on the whole reply: ``currency_consistent``, ``amount_consistent``, ``temporal_consistent``,
     ``structured_consistent`` (all three, and an alternative was found), ``beneficiary_mentioned``, ``calendar_reflected`` (null without a calendar).
-    A null reply says nothing, so nothing in it is wrong, but it has no alternative. Temporary columns begin with ``_c_``."""
+    A null reply says nothing, so nothing in it is wrong, but it has no alternative. Temporary columns begin with ``_c_``.
+    With ``signs``, for replies with Markdown: signs of currencies count, and names of months only if the record has them or words near them speak of time."""
     ship(records.sparkSession)  # the functions run in Python workers
     none, calendar = F.array().cast("array<int>"), F.col("calendar_context")
     events = [F.when(calendar.isNotNull(), F.col(f"calendar_context.{x}")) for x in ("event_title", "event_date", "event_category")]
     given = F.concat_ws(" ", "reference_period", *events)
     source = F.concat_ws(" ", "operation_category", "beneficiary", "reference_period", "input_text", *events)
-    rows = records.withColumn("_c_text", strip(F.coalesce(F.col(reply), F.lit("")))).withColumn("_c_given", times_udf(given, none))
-    rows = rows.withColumn("_c_allowed", F.array_union("_c_given", times_udf(source, years_of(F.col("_c_given"))))).withColumn("_c_years", years_of(F.col("_c_allowed")))
-    rows = rows.withColumns({"_c_times": times_udf("_c_text", "_c_years"), "_c_money": money_udf("_c_text", "_c_years"), "_c_event": times_udf(events[1], none)})
-    codes = F.regexp_extract_all(F.upper("_c_text"), F.lit(r"(?U)\b(?:EUR|USD|GBP)\b"), 0)
+    every = F.lit(None).cast("array<int>")
+    times = (lambda text, years, months: times_with_signs_udf(text, years, months)) if signs else (lambda text, years, _: times_udf(text, years))
+    rows = records.withColumn("_c_text", strip(F.coalesce(F.col(reply), F.lit("")))).withColumn("_c_given", times(given, none, every))
+    rows = rows.withColumn("_c_allowed", F.array_union("_c_given", times(source, years_of(F.col("_c_given")), months_of(F.col("_c_given")))))
+    rows = rows.withColumn("_c_years", years_of(F.col("_c_allowed")))
+    rows = rows.withColumns({"_c_times": times(F.col("_c_text"), F.col("_c_years"), months_of(F.col("_c_allowed"))), "_c_money": (money_with_signs_udf if signs else money_udf)("_c_text", "_c_years"), "_c_event": times(events[1], none, every)})
+    codes = F.regexp_extract_all(F.upper("_c_text"), F.lit(r"(?U)(?<![A-Z])(?:EUR|USD|GBP|[€$£])(?![A-Z])" if signs else r"(?U)\b(?:EUR|USD|GBP)\b"), 0)
+    codes = F.transform(codes, lambda x: F.coalesce(*(F.when(x == sign, code) for sign, code in SIGNS.items()), x))
     wanted, amount = F.upper("currency"), F.col("amount").cast("double")
     near = lambda x: F.abs(x - amount) <= F.greatest(F.lit(OFF), OFF_SHARE * F.greatest(F.abs(x), F.abs(amount)))
     titles = F.filter(F.split(normalised(events[0]), " "), lambda x: F.length(x) >= 4)
@@ -40,5 +45,5 @@ def consistency(records: DataFrame, reply: str) -> DataFrame:
             "calendar_reflected": F.when(calendar.isNotNull(), F.coalesce(said, F.lit(False))),
         }
     )
-    fine = F.col("currency_consistent") & F.col("amount_consistent") & F.col("temporal_consistent") & (F.size(alternatives(F.col(reply))) > 0)
+    fine = F.col("currency_consistent") & F.col("amount_consistent") & F.col("temporal_consistent") & (F.size(markdown_alternatives_udf(reply) if signs else alternatives(F.col(reply))) > 0)
     return rows.withColumn("structured_consistent", fine).drop("_c_text", "_c_given", "_c_allowed", "_c_years", "_c_times", "_c_money", "_c_event")

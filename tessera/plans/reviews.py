@@ -104,6 +104,14 @@ def alternatives_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id_example", F.size("a").alias("n"), F.array_join("a", " // ").alias("found"))
 
 
+@query()
+def alternatives_in_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the rules for Markdown, by which the 1 of ``1-URGENT`` at the start of a line is a marker."""
+    ship(spark)
+    rows = written(spark, sf_dir).withColumn("a", A.markdown_alternatives_udf("reply"))
+    return rows.select("id_example", F.size("a").alias("n"), F.array_join("a", " // ").alias("found"))
+
+
 @query(f"WITH {WRITTEN}, {_LOOSE_SQL} SELECT id_example, CAST(len(a) AS INTEGER) AS n, array_to_string(a, ' // ') AS found FROM loose")
 def alternatives_loosely(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(spark, sf_dir).withColumn("a", A.alternatives_loose(F.col("reply")))
@@ -173,17 +181,31 @@ def rouge_stemmed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = """said AS (SELECT *, CASE WHEN seq % 5 = 0 THEN amount + 1 ELSE amount END AS said_amount, CASE WHEN seq % 7 = 0 THEN 'USD' ELSE currency END AS said_currency FROM rec)"""
 
 
-@query(f"""WITH {RECORDS}, {_SAID} SELECT id_example, said_currency NOT IN ('EUR', 'USD', 'GBP') OR said_currency = currency AS currency_consistent,
+_CONSISTENT = f"""WITH {RECORDS}, {_SAID} SELECT id_example, said_currency NOT IN ('EUR', 'USD', 'GBP') OR said_currency = currency AS currency_consistent,
   said_currency NOT IN ('EUR', 'USD', 'GBP') OR (said_currency = currency AND seq % 5 <> 0) AS amount_consistent, seq % 11 <> 0 AND seq % 6 <> 0 AS temporal_consistent, true AS beneficiary_mentioned,
   CASE WHEN has_calendar THEN true END AS calendar_reflected,
-  (said_currency NOT IN ('EUR', 'USD', 'GBP') OR (said_currency = currency AND seq % 5 <> 0)) AND seq % 11 <> 0 AND seq % 6 <> 0 AS structured_consistent FROM said""")
-def structured_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+  (said_currency NOT IN ('EUR', 'USD', 'GBP') OR (said_currency = currency AND seq % 5 <> 0)) AND seq % 11 <> 0 AND seq % 6 <> 0 AS structured_consistent FROM said"""
+
+
+def _consistent(spark: SparkSession, sf_dir: str, signs: bool) -> DataFrame:
     """Replies of which some have another amount, currency or period than their record. The SQL knows which."""
     k = F.col("seq")
     amount, currency = F.when(k % 5 == 0, F.col("amount") + 1).otherwise(F.col("amount")), F.when(k % 7 == 0, "USD").otherwise(F.col("currency"))
+    if signs:
+        currency = F.when(currency == "EUR", "€").when(currency == "USD", "$").when(currency == "GBP", "£").otherwise(currency)
     text = F.concat(F.lit("1. Payment due to "), "beneficiary", F.lit("\n2. Sent "), N.format_amount(amount), F.lit(" "), currency, F.lit(" for "), "reference_period", F.when(k % 11 == 0, " in 2031").otherwise(""), F.when(k % 6 == 0, ", final installment").otherwise(""))
     flags = ["currency_consistent", "amount_consistent", "temporal_consistent", "beneficiary_mentioned", "calendar_reflected", "structured_consistent"]
-    return consistency(transfer_records(spark, sf_dir).withColumn("reply", text), "reply").select("id_example", *flags)
+    return consistency(transfer_records(spark, sf_dir).withColumn("reply", text), "reply", signs).select("id_example", *flags)
+
+
+@query(_CONSISTENT)
+def structured_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consistent(spark, sf_dir, False)
+
+
+@query(_CONSISTENT)
+def structured_consistency_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consistent(spark, sf_dir, True)
 
 
 def _has(words: list[str]) -> str:
