@@ -60,8 +60,9 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Each ``n`` words in a row, joined. ``words`` is computed once, not for each of them."""
+    each = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return words if n == 1 else F.get(F.transform(F.array(words), each), 0)
 
 
 def lines(c: Column) -> Column:
