@@ -1,9 +1,11 @@
 """Toxicity by maximum-scoring segments.
 
-Words are counted in toxic and in other labelled texts, once for each text that holds them. Tokens, which are short words and beginnings of words, get their log-odds
+Words are counted in toxic and in other labelled texts, once for each text that holds them. Tokens, which are whole words and beginnings of words, get their log-odds
 ratio between the two under an informative Dirichlet prior with the frequencies of the whole; a token counts if its
-signed root of the likelihood ratio is large. A word's score is that of its most telling token less a margin, so that ordinary
-text scores below nought on average. The scan of Ruzzo and Tompa finds all maximal segments of a text in linear time.
+signed root of the likelihood ratio is large. A word's score is that of the whole word less a margin, or, if that does not count, of the most telling
+of its beginnings, so that ordinary text scores below nought on average. A whole word that does not count by itself but whose counts
+contradict its beginnings keeps its own ratio. Runs of scripts that are written without blanks, and runs of more than LONG bytes, are read as
+overlapping windows, one from each character on, in place of words. The scan of Ruzzo and Tompa finds all maximal segments of a text in linear time.
 Their scores are calibrated by the extreme-value law of Karlin and Altschul: lambda solves sum p exp(lambda s) = 1 over
 the words of texts that are not toxic, K fits how often such texts have any segment, and a segment in a text of n words has
 lambda S - ln(K n) nats of evidence. Evidence of the significant segments is summed up, and a logistic curve over it, fitted
@@ -41,29 +43,67 @@ LEAST_Z = 5.0
 PRIOR = 1000.0
 #: What a word must exceed on the log-odds scale to add to a segment.
 MARGIN = 2.5
-#: Bytes of a word that are looked at.
+#: Bytes of the longest beginning that is a token, and of a window, which is filled up to a whole character.
 PREFIX = 8
+#: Bytes of the shortest beginning that is a token.
+LEAST_PREFIX = 4
+#: Bytes of the longest run that is read as one word.
+LONG = 64
 #: Words whose scores a worker remembers.
 MEMO = 1 << 17
 #: Bins of the histograms and the largest value that they tell apart.
 BINS, MOST_EVIDENCE = 400, 200.0
 
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Characters of scripts without blanks: Thai and Lao, Myanmar, Khmer, kana, Han, half-width kana.
+_CHAR = rb"(?:\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3\x80[\x85-\x87]|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab\xbd\xbe][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2})"
+_UNSPACED = re.compile(_CHAR)
+_WORD = re.compile(rb"[^ ]+")
+_RUN = re.compile(rb"(" + _CHAR + rb"+)|(?:(?!" + _CHAR + rb")[^ ])+")
+
+
+def _windows(run: bytes) -> Iterator[tuple[int, int]]:
+    """Spans from each character on, the last ones left out that are shorter than a token; together they cover the run."""
+    for begin in range(len(run)):
+        if run[begin] & 0xC0 == 0x80:
+            continue
+        if begin and len(run) - begin < LEAST_PREFIX:
+            break
+        end = min(begin + PREFIX, len(run))
+        while end < len(run) and run[end] & 0xC0 == 0x80:
+            end += 1
+        yield begin, end
+
+
+def places_of(text: bytes) -> list[tuple[int, int]]:
+    """The spans of the words and windows of a text, in bytes."""
+    plain = text.translate(_NORMAL)
+    spaced = text.isascii() or not _UNSPACED.search(plain)
+    out = []
+    for m in (_WORD if spaced else _RUN).finditer(plain):
+        at, end = m.span()
+        if end - at > LONG or not spaced and m[1]:
+            out += [(at + a, at + b) for a, b in _windows(m[0])]
+        else:
+            out.append((at, end))
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_NORMAL).split()
+    plain = text.translate(_NORMAL)
+    words = plain.split()
+    if words and (max(map(len, words)) > LONG or not text.isascii() and _UNSPACED.search(plain)):
+        return [plain[a:b] for a, b in places_of(text)]
+    return words
 
 
-def stem(word: bytes) -> bytes:
-    """What is counted of a word: all of it with an end mark if short, else its beginning."""
-    return word + b"$" if len(word) <= PREFIX else word[:PREFIX]
+def beginnings(word: bytes) -> list[bytes]:
+    return [word[:n] for n in range(LEAST_PREFIX, min(len(word), PREFIX) + 1)]
 
 
-def tokens(counted: bytes) -> list[bytes]:
-    """The tokens of a counted word: itself, and its beginnings of four bytes and more."""
-    return [counted, *(counted[:n] for n in range(4, len(counted.rstrip(b"$"))))]
+def tokens(word: bytes) -> list[bytes]:
+    """The tokens of a word: all of it with an end mark, and its beginnings."""
+    return [word + b"$", *beginnings(word)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +115,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            held[toxic].update({stem(w) for w in words_of((text.as_py() or "").encode())})
+            held[toxic].update(set(words_of((text.as_py() or "").encode())))
             if len(held[0]) + len(held[1]) > MEMO:
                 yield flush()
                 held[0].clear()
@@ -133,12 +173,17 @@ class ToxicityModel:
     slope: float = 0.0
     offset: float = -2.0  # with nothing learned no text is called toxic
 
-    def word_score(self, word: bytes) -> float:
-        """The most telling token decides: the largest ratio above nought, else the smallest below."""
-        found = [self.weights[t] for t in tokens(stem(word)) if t in self.weights]
+    def backed_off(self, word: bytes) -> float | None:
+        """The ratio of the most telling beginning: the largest above nought, else the smallest below; None if none counts."""
+        found = [self.weights[t] for t in beginnings(word) if t in self.weights]
         if not found:
-            return -self.margin
-        return (most if (most := max(found)) > 0 else min(found)) - self.margin
+            return None
+        return most if (most := max(found)) > 0 else min(found)
+
+    def word_score(self, word: bytes) -> float:
+        """The whole word decides, else its beginnings."""
+        own = self.weights.get(word + b"$")
+        return (own if own is not None else self.backed_off(word) or 0.0) - self.margin
 
     def segments(self, words: list[bytes], memo: dict[bytes, float]) -> list[tuple[int, int, float]]:
         for w in words:
@@ -197,12 +242,13 @@ def _segment_rows(model, passages: bool):
 def _passages(text: bytes, segments: list[tuple[int, int, float]]) -> list[dict]:
     if not segments:
         return []
-    places = [m.span() for m in _WORD.finditer(text.lower())]
+    places = places_of(text)
     out, at, characters = [], 0, 0
     for a, b, evidence in segments:
         span = []
         for byte in (places[a][0], places[b - 1][1]):
-            characters += len(text[at:byte].decode())
+            # windows overlap, so a passage may begin before the end of the one before
+            characters += len(text[at:byte].decode()) if byte >= at else -len(text[byte:at].decode())
             at = byte
             span.append(characters)
         out.append({"start": span[0], "end": span[1], "evidence": evidence})
@@ -263,10 +309,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         strength = F.sqrt(2 * F.greatest(F.lit(0.0), part("clean", clean) + part("toxic", toxic)))
         telling = per_token.select("token", ratio.alias("ratio"), strength.alias("z")).where(F.col("z") > LEAST_Z)
         model.weights = {bytes(r["token"]): r["ratio"] for r in telling.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()}
+        model.weights |= _exceptions(model, counted, clean, toxic)
         _calibrate(model, counted, texts.join(known, "label_id").select("toxic", "text"), float(clean))
     return model
 
 
+def _exceptions(model: ToxicityModel, counted: DataFrame, clean: int, toxic: int) -> dict[bytes, float]:
+    """The ratios of whole words that do not count by themselves and whose counts contradict their beginnings, MOST_TOKENS at most."""
+    held = counted.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: ToxicityModel = held.value
+        for batch in batches:
+            rows = []
+            for word, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if word + b"$" in own.weights or (ratio := own.backed_off(word)) is None:
+                    continue
+                share = 1 / (1 + clean / toxic * math.exp(-ratio))
+                z = math.sqrt(2 * max(0.0, sum(x * math.log(x / ((c + t) * p)) for x, p in ((t, share), (c, 1 - share)) if x)))
+                if z > LEAST_Z:
+                    alpha = PRIOR * (c + t) / (clean + toxic)
+                    x, y = t + alpha, c + alpha
+                    rows.append((word + b"$", math.log(x / (toxic + PRIOR - x)) - math.log(y / (clean + PRIOR - y)), z))
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.binary(), pa.float64(), pa.float64()), strict=True)], names=["token", "ratio", "z"])
+
+    found = counted.transform(map_arrow, run, "token binary, ratio double, z double")
+    return {bytes(r["token"]): r["ratio"] for r in found.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()}
+
+
 def _calibrate(model: ToxicityModel, counted: DataFrame, learn: DataFrame, clean: float) -> None:
     spark = learn.sparkSession
     held = spark.sparkContext.broadcast(model)
@@ -274,7 +345,7 @@ def _calibrate(model: ToxicityModel, counted: DataFrame, learn: DataFrame, clean
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([held.value.word_score(w.rstrip(b"$")) for w in batch.column(0).to_pylist()])
+            scores = np.array([held.value.word_score(w) for w in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(steps, scores)), batch.column(1)], names=["bin", "clean"])
 
     found = counted.where("clean > 0").transform(map_arrow, scored, "bin long, clean long").groupBy("bin").agg(F.sum("clean").alias("n")).collect()
