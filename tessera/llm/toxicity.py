@@ -142,13 +142,14 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def maximal_segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
+def maximal_segments(hits: list[tuple[int, float]], gap: float | list[float]) -> list[tuple[int, int, float]]:
     """(first, end, score) of all maximal-scoring segments. hits: places and scores above nought, in order; every other place
-    scores ``-gap`` on average. The algorithm of Ruzzo and Tompa, with stretches between hits as one step."""
+    scores ``-gap``, or ``gap`` has for each hit what the places since the one before cost together. The algorithm of Ruzzo
+    and Tompa, with stretches between hits as one step."""
     out: list[list] = []  # first, end, cumulative score before, cumulative score after
     total, place = 0.0, 0
-    for at, score in hits:
-        total -= gap * (at - place)
+    for k, (at, score) in enumerate(hits):
+        total -= gap[k] if isinstance(gap, list) else gap * (at - place)
         new = [at, at + 1, total, total + score]
         total += score
         place = at + 1
@@ -198,8 +199,8 @@ class ToxicityModel:
         above = np.flatnonzero(scores > 0)
         if not len(above):
             return []
-        low = -scores[scores <= 0].mean() if len(above) < len(scores) else self.margin
-        return maximal_segments([(int(i), float(scores[i])) for i in above], low)
+        costs = np.diff(np.cumsum(np.maximum(-scores, 0.0))[above], prepend=0.0)
+        return maximal_segments(list(zip(above.tolist(), scores[above].tolist(), strict=True)), costs.tolist())
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """Nats of the significant segments: those of which chance gives less than one."""

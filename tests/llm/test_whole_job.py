@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.llm.toxicity import fit_toxicity, places_of, score_toxicity, words_of
+import pytest
+
+from tessera.llm.toxicity import ToxicityModel, fit_toxicity, places_of, score_toxicity, words_of
 
 
 def _scored(spark, rows, toxic_ids, asked):
@@ -50,3 +52,21 @@ def test_words_cover_a_text():
         covered = {k for a, b in places_of(data) for k in range(a, b)}
         assert covered == {k for k, c in enumerate(data) if c >= 128 or chr(c).isalnum()}
         assert all(data[a:b].decode() for a, b in places_of(data)) and max((b - a for a, b in places_of(data)), default=0) <= 64
+
+
+def test_segments_scan_the_real_scores():
+    model = ToxicityModel(weights={b"bad$": 6.0, b"fine$": -6.0})
+    rng = random.Random(7)
+    for _ in range(200):
+        words = [rng.choice([b"bad", b"fine", b"so", b"so", b"so"]) for _ in range(rng.randint(1, 40))]
+        scores = [model.word_score(w) for w in words]
+
+        def maximal(a, b):
+            """The best part of the range, the shortest of equals, then the same on both its sides, as the paper defines it."""
+            parts = [(sum(scores[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+            if not parts or (best := max(parts))[0] <= 0:
+                return []
+            _, _, i, j = best
+            return [*maximal(a, i), (i, j, pytest.approx(best[0])), *maximal(j, b)]
+
+        assert model.segments(words, {}) == maximal(0, len(words))
