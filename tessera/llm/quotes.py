@@ -3,6 +3,8 @@
 Lines that begin with ``>`` are quoted, as deep as there are such marks. Neighbouring lines of one depth form a passage. Its
 text is normalised, to lower-case letters and digits with single blanks, and hashed; the same is done with what a message itself says: the
 whole, each paragraph and each line. A passage comes from the first message of the conversation that says it, if that is an earlier one.
+A passage that no earlier message says as one of these is looked for by its paragraphs, and a paragraph that is not found by its lines, so that any choice
+of whole lines of a message is found; each part has its own source.
 A message replies to the latest message of which it quotes a passage at its smallest depth that is found; others begin a thread.
 Conversations are then ordered by thread and turn, with the quotes taken out.
 
@@ -42,27 +44,50 @@ def unquoted(text: Column) -> Column:
 
 
 def quoted_passages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, depth, line, passage) of each quoted passage, line being its first line's number from 0."""
+    """(conv_id, turn, message, depth, line, passage) of each quoted passage, line being its first line's number from 0."""
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?m)" + _MARKS)).distinct()
     lines = rows.select("conv_id", "turn", F.xxhash64("text").alias("message"), F.posexplode(_lines(F.col("text"))).alias("line", "said"))
     lines = lines.where(F.col("said").rlike(_MARKS)).withColumn("depth", _depth(F.col("said"))).withColumn("said", F.regexp_replace("said", _MARKS + r"[ \t]?", ""))
     run = F.col("line") - F.row_number().over(Window.partitionBy("conv_id", "turn", "message", "depth").orderBy("line"))
     passages = lines.withColumn("run", run).groupBy("conv_id", "turn", "message", "depth", "run").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("all"))
-    return passages.select("conv_id", "turn", "depth", "line", F.array_join(F.transform("all", lambda x: x["said"]), "\n").alias("passage"))
+    return passages.select("conv_id", "turn", "message", "depth", "line", F.array_join(F.transform("all", lambda x: x["said"]), "\n").alias("passage"))
+
+
+def _parts(passages: DataFrame) -> DataFrame:
+    """The passages with (level, paragraph, offset, part): a row for the whole, each paragraph and each line, offset being its first line's number in the passage."""
+    none = F.lit(-1)
+    blank = lambda x: F.trim(F.translate(x, "\t", " ")) == ""
+    numbered = F.transform("said", lambda x, i: F.struct(i.alias("at"), x.alias("text")))
+    rows = passages.withColumn("said", F.split("passage", "\n"))
+    whole = rows.select("*", F.lit(0).alias("level"), none.alias("paragraph"), F.lit(0).alias("offset"), F.col("passage").alias("part")).drop("said")
+    lines = rows.where(F.size("said") > 1).select("*", F.explode(numbered).alias("one")).select("*", F.col("one.at").alias("offset"), F.col("one.text").alias("text"))
+    run = Window.partitionBy("conv_id", "turn", "message", "depth", "line").orderBy("offset")
+    lines = lines.withColumn("paragraph", F.sum(blank(F.col("text")).cast("int")).over(run).cast("int")).where(~blank(F.col("text")))
+    per_line = lines.select("conv_id", "turn", "message", "depth", "line", "passage", F.lit(2).alias("level"), "paragraph", "offset", F.col("text").alias("part"))
+    paragraphs = lines.groupBy("conv_id", "turn", "message", "depth", "line", "passage", "paragraph").agg(F.min("offset").alias("offset"), F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("all"))
+    paragraphs = paragraphs.select("conv_id", "turn", "message", "depth", "line", "passage", F.lit(1).alias("level"), "paragraph", "offset", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("part"))
+    return whole.unionByName(paragraphs).unionByName(per_line)
 
 
 def linked_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, depth, line, passage, source) of each quoted passage; source is the turn that it comes from, null if not found."""
+    """(conv_id, turn, depth, line, passage, source) of each quoted passage, or of its paragraphs or lines where it is not found as one;
+    source is the turn that it comes from, null if not found."""
     key = lambda text: F.sha2(_normal(text), 256)
-    asked = quoted_passages(messages, conv_col, turn_col, text_col).withColumn("key", key(F.col("passage"))).withColumn("bare", F.length(_normal(F.col("passage"))) == 0)
+    asked = _parts(quoted_passages(messages, conv_col, turn_col, text_col)).withColumn("key", key(F.col("part"))).withColumn("bare", F.length(_normal(F.col("part"))) == 0)
     own = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), unquoted(F.col(text_col)).alias("body")).where("conv_id is not null and turn is not null and body != ''")
     parts = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), _lines(F.col("body"))))
     said = own.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, _normal))).alias("part")).where("part != ''")
     # only passages that are asked for can be sources
     wanted = asked.where("not bare").select("conv_id", "key").distinct()
     first = said.select("conv_id", F.sha2("part", 256).alias("key"), "turn").join(wanted, ["conv_id", "key"], "left_semi").groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
-    joined = asked.join(first, ["conv_id", "key"], "left")
-    return joined.select("conv_id", "turn", "depth", "line", "passage", F.when(~F.col("bare") & (F.col("source") < F.col("turn")), F.col("source")).alias("source"))
+    joined = asked.join(first, ["conv_id", "key"], "left").withColumn("source", F.when(~F.col("bare") & (F.col("source") < F.col("turn")), F.col("source")))
+    # of each line that one asks for, the largest part that is found counts, else the passage as a whole
+    found = F.col("source").isNotNull()
+    within = Window.partitionBy("conv_id", "turn", "message", "depth", "line")
+    above = Window.partitionBy("conv_id", "turn", "message", "depth", "line", "paragraph")
+    joined = joined.withColumn("whole", F.max(found & (F.col("level") == 0)).over(within)).withColumn("paragraphs", F.max(found & (F.col("level") == 1)).over(above)).withColumn("any", F.max(found).over(within))
+    kept = (F.col("level") == 0) & (F.col("whole") | ~F.col("any")) | ~F.col("whole") & found & ((F.col("level") == 1) | (F.col("level") == 2) & ~F.col("paragraphs"))
+    return joined.where(kept).select("conv_id", "turn", "depth", (F.col("line") + F.col("offset")).alias("line"), F.col("part").alias("passage"), "source")
 
 
 def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most_rounds: int = 40) -> DataFrame:

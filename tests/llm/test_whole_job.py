@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.llm.quotes import linked_quotes, reply_ordered
 from tessera.llm.toxicity import ToxicityModel, fit_toxicity, places_of, score_toxicity, words_of
 
 
@@ -70,3 +71,25 @@ def test_segments_scan_the_real_scores():
             return [*maximal(a, i), (i, j, pytest.approx(best[0])), *maximal(j, b)]
 
         assert model.segments(words, {}) == maximal(0, len(words))
+
+
+def test_quotes_of_parts(spark):
+    rows = [
+        (1, 0, "user", "a\nb\nc"),
+        (1, 1, "assistant", "> a\n> b\nok"),
+        (2, 0, "user", "p one\np more\n\nq two\n\nr three"),
+        (2, 1, "assistant", "> p one\n> p more\n>\n> r three\nyes"),
+        (2, 2, "user", "> yes\n> more than was said\nwell"),
+        (2, 3, "assistant", "> q two\n>\n> well\nboth"),
+        (2, 4, "user", "> not said\n> at all\nno"),
+        (3, 0, "user", "x\ny"),
+        (3, 1, "user", "x"),
+        (3, 2, "user", "> x\n> y\nwhole"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.sources) for r in reply_ordered(messages).collect()}
+    assert got[1, 1] == (0, 0, [0])
+    assert [got[2, t] for t in range(5)] == [(None, 0, []), (0, 0, [0]), (1, 0, [1]), (2, 0, [0, 2]), (None, 4, [])]
+    assert got[3, 2] == (0, 0, [0])
+    links = {(r.conv_id, r.turn, r.line, r.passage, r.source) for r in linked_quotes(messages).collect()}
+    assert {x for x in links if x[:2] in ((2, 1), (2, 4), (3, 2))} == {(2, 1, 0, "p one\np more", 0), (2, 1, 3, "r three", 0), (2, 4, 0, "not said\nat all", None), (3, 2, 0, "x\ny", 0)}
