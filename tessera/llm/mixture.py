@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
 
 def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, end, used) for each source of ``budgets`` (source, low, cap, budget): ``end`` is the first hash at which
-    the running sum of sizes up to ``cap`` of hashes from ``low`` on would pass the budget, ``used`` the sum below it."""
+    the running sum of sizes up to ``cap`` of hashes from ``low`` on would pass the budget, ``used`` the sum below it, nought if
+    the first document passes it already. Sources without such documents have no row."""
     held = rows.join(budgets, rows["source"].eqNullSafe(budgets["source"])).select(budgets["source"].alias("source"), "h", "size", "low", "cap", "budget").where("size > 0 and size <= cap and h >= low and budget >= 1")
     spent = F.lit(0.0)
     shift = 63
@@ -62,8 +63,9 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     last = held.withColumn("run", run).where("run > budget").groupBy("source").agg(F.min("h").alias("end"))
     used = rows.join(budgets, rows["source"].eqNullSafe(budgets["source"])).select(budgets["source"].alias("source"), "h", "size", "low", "cap", "budget")
     limits = last.select(F.col("source").alias("s"), "end")
-    below = used.join(limits, used["source"].eqNullSafe(limits["s"]), "left").where("size <= cap and h >= low and budget >= 1 and (end is null or h < end)")
-    return below.groupBy("source").agg(F.sum("size").cast("double").alias("used"), F.first("end").alias("end")).select("source", F.coalesce("end", F.lit((1 << 63) - 1)).alias("end"), "used")
+    fitting = used.join(limits, used["source"].eqNullSafe(limits["s"]), "left").where("size <= cap and h >= low and budget >= 1")
+    below = F.when(F.col("end").isNull() | (F.col("h") < F.col("end")), F.col("size")).otherwise(0)
+    return fitting.groupBy("source").agg(F.sum(below).cast("double").alias("used"), F.first("end").alias("end")).select("source", F.coalesce("end", F.lit((1 << 63) - 1)).alias("end"), "used")
 
 
 def plan_mix(sizes: DataFrame, weights: list[float], most: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.llm.mixture import plan_mix
 from tessera.llm.quotes import linked_quotes, reply_ordered
 from tessera.llm.toxicity import ToxicityModel, fit_toxicity, places_of, score_toxicity, words_of
 
@@ -93,3 +94,13 @@ def test_quotes_of_parts(spark):
     assert got[3, 2] == (0, 0, [0])
     links = {(r.conv_id, r.turn, r.line, r.passage, r.source) for r in linked_quotes(messages).collect()}
     assert {x for x in links if x[:2] in ((2, 1), (2, 4), (3, 2))} == {(2, 1, 0, "p one\np more", 0), (2, 1, 3, "r three", 0), (2, 4, 0, "not said\nat all", None), (3, 2, 0, "x\ny", 0)}
+
+
+def test_mix_goes_on_after_a_first_document_beyond_the_budget(spark):
+    step = (1 << 62) // 100
+    rows = [("a", 1000, 1), *(("a", 10, step * k) for k in range(1, 51)), *(("b", 10, step // 2 * k) for k in range(1, 301))]
+    plan = {r.source: r for r in plan_mix(spark.createDataFrame(rows, "source string, size long, h long"), [1.0, 9.0]).collect()}
+    assert plan["a"].target == 450 and plan["a"].whole == 0
+    for source, r in plan.items():
+        taken = sum(size * (r.whole + any(size <= x.cap and x.low <= h < x.end for x in r.rules)) for own, size, h in rows if own == source)
+        assert r.target - 10 < taken <= r.target
