@@ -12,19 +12,27 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from tessera.functions.text import MONTHS
 
-# Codes of currencies, ordinals of instalments, and how numbers, dates and years are written.
+# Codes of currencies, ordinals of instalments, how numbers, dates and years are written, the words near a number or a name of a month that
+# make it a point in time, and how many characters away they may stand.
 CODES = "(?:EUR|USD|GBP)"
 ORDINALS = {"first": "first|1st", "second": "second|2nd", "third": "third|3rd", "final": "final"}
 NUMBER = r"(?:\d{1,3}(?:[ ,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 ISO_DATE = r"(?<!\d)(20\d{2})-(0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)"
 YEAR = r"(?<![\d.,])20\d{2}(?![\d.,])"
-#: How many characters around a year may hold a word that makes it one.
-CUE_REACH = 24
+CUES = r"\bq[1-4]\b|\b(?:year|term|semester|installment|instalment)\b"
+CONTEXT = r"\b(?:month|monthly|period|term|semester|quarter|due)\b"
+CUE_REACH, MONTH_REACH = 24, 20
+SIGNS = {"€": "EUR", "$": "USD", "£": "GBP"}
+#: As far from a year a currency is looked for, without and with signs.
+CODE_REACH, SIGN_REACH = 8, 10
 
 MONTH_NUMBERS = {name[:k]: n for n, name in enumerate(MONTHS, 1) for k in (3, len(name))} | {"sept": 9}
-_month = re.compile(rf"\b(?:{'|'.join(sorted(MONTH_NUMBERS, key=len, reverse=True))})\b", re.I)
-_cue = re.compile(rf"{_month.pattern}|\bq[1-4]\b|\b(?:year|term|semester|installment|instalment)\b", re.I)
-_context = re.compile(rf"{YEAR}|{ISO_DATE}|\b(?:month|monthly|period|term|semester|quarter|due)\b", re.I)
+_MONTH = rf"\b(?:{'|'.join(sorted(MONTH_NUMBERS, key=len, reverse=True))})\b"
+_cue = re.compile(f"{_MONTH}|{CUES}", re.I)
+_context = re.compile(f"{YEAR}|{ISO_DATE}|{CONTEXT}", re.I)
+_ordinal = "|".join(rf"(?P<{name}>{words})" for name, words in ORDINALS.items())
+#: A point in time of any kind; kinds do not overlap.
+_time = re.compile(rf"\bq(?P<quarter>[1-4])\b|\b(?:{_ordinal})\s+(?:installment|instalment)\b|(?P<month>{_MONTH})|(?P<date>{ISO_DATE})|(?P<year>{YEAR})")
 
 
 class Style(NamedTuple):
@@ -36,11 +44,8 @@ class Style(NamedTuple):
     reach: int
 
 
-CODES_ONLY = Style(CODES, r"\b", r"\b", 8)
-WITH_SIGNS = Style(r"(?:EUR|USD|GBP|€|\$|£)", "(?<![A-Za-z])", "(?![A-Za-z])", 10)
-SIGNS = {"€": "EUR", "$": "USD", "£": "GBP"}
-#: How many characters around a month may hold a word or number that makes it one.
-MONTH_REACH = 20
+CODES_ONLY = Style(CODES, r"\b", r"\b", CODE_REACH)
+WITH_SIGNS = Style(r"(?:EUR|USD|GBP|€|\$|£)", "(?<![A-Za-z])", "(?![A-Za-z])", SIGN_REACH)
 
 
 def amount_of(number: str) -> float:
@@ -73,26 +78,34 @@ def money_in(text: str | None, known_years: set[int], style: Style = CODES_ONLY)
 
 
 def times_in(text: str | None, known_years: set[int], style: Style = CODES_ONLY, months: set[int] | None = None) -> set[str]:
-    """Quarters, months, instalments and years in a text. A year after a currency is money; before one it must be known or words near it speak of time.
+    """Quarters, months, instalments and years in a text, in one pass over them. A year after a currency is money; before one it must be known or words near it speak of time.
     With ``months`` a month must be among them or near a year or a word of time, as names of people may be like months."""
-    low = (text or "").lower()
-    found = {f"quarter:{x}" for x in re.findall(r"\bq([1-4])\b", low)}
-    found |= {f"installment:{name}" for name, words in ORDINALS.items() if re.search(rf"\b(?:{words})\s+(?:installment|instalment)\b", low)}
-    for hit in _month.finditer(low):
-        number = MONTH_NUMBERS[hit[0]]
-        if months is None or number in months or _context.search(low[max(0, hit.start() - MONTH_REACH) : hit.end() + MONTH_REACH]):
-            found.add(f"month:{number}")
-    for year, month in re.findall(ISO_DATE, low):
-        found |= {f"year:{year}", f"month:{int(month)}"}
-    for hit in re.finditer(YEAR, low):
+    low, found = (text or "").lower(), set()
+    for hit in _time.finditer(low):
         start, end = hit.span()
-        priced = re.search(rf"{style.before}{style.code}[ \t]*\Z", low[max(0, start - style.reach) : start], re.I)
-        doubtful = re.match(rf"[ \t]*{style.code}{style.after}", low[end : end + style.reach], re.I)
-        if not priced and (not doubtful or _meant_as_year(low, start, end, known_years)):
-            found.add(f"year:{hit[0]}")
+        if hit["quarter"]:
+            found.add(f"quarter:{hit['quarter']}")
+        elif hit["month"]:
+            number = MONTH_NUMBERS[hit["month"]]
+            if months is None or number in months or _context.search(low[max(0, start - MONTH_REACH) : end + MONTH_REACH]):
+                found.add(f"month:{number}")
+        elif hit["date"]:
+            found |= {f"year:{hit['date'][:4]}", f"month:{int(hit['date'][5:7])}"}
+        elif hit["year"]:
+            if not _priced(low, start, end, known_years, style):
+                found.add(f"year:{hit['year']}")
+        else:
+            found |= {f"installment:{name}" for name in ORDINALS if hit[name]}
     return found
 
 
+def _priced(low: str, start: int, end: int, known_years: set[int], style: Style) -> bool:
+    """Whether what looks like a year is an amount of money."""
+    if re.search(rf"{style.before}{style.code}[ \t]*\Z", low[max(0, start - style.reach) : start], re.I):
+        return True
+    return bool(re.match(rf"[ \t]*{style.code}{style.after}", low[end : end + style.reach], re.I)) and not _meant_as_year(low, start, end, known_years)
+
+
 def _set(values: list[int] | None) -> set[int]:
     return set(values or ())
 
@@ -129,6 +142,38 @@ def money_with_signs_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
     return _amounts(text, known_years, WITH_SIGNS)
 
 
+STATEMENTS = StructType([StructField("allowed", ArrayType(StringType())), StructField("times", ArrayType(StringType())), StructField("money", AMOUNTS), StructField("event", ArrayType(StringType()))])
+
+
+def statements_of(text: str | None, given: str | None, source: str | None, event: str | None, signs: bool) -> tuple[set[str], set[str], list[tuple[str, float]], set[str]]:
+    """(allowed, times, money, event): the points in time that a record allows, by what it gives and by all that it says, those and the amounts
+    that its reply names, and those of its event."""
+    style = WITH_SIGNS if signs else CODES_ONLY
+    number = lambda times, kind: {int(x.split(":")[1]) for x in times if x.startswith(kind)}
+    limited = lambda times: number(times, "month:") if signs else None
+    sure = times_in(given, set(), style)
+    allowed = sure | times_in(source, number(sure, "year:"), style, limited(sure))
+    years = number(allowed, "year:")
+    return allowed, times_in(text, years, style, limited(allowed)), money_in(text, years, style), times_in(event, set(), style)
+
+
+def _statements(signs: bool, *columns: pa.Array) -> pa.Array:
+    amounts = pa.list_(pa.struct([("currency", pa.string()), ("amount", pa.float64())]))
+    names, rows = pa.list_(pa.string()), [statements_of(*x, signs) for x in zip(*(c.to_pylist() for c in columns), strict=True)]
+    times = lambda k: pa.array([sorted(r[k]) for r in rows], names)
+    return pa.StructArray.from_arrays([times(0), times(1), pa.array([[{"currency": c, "amount": a} for c, a in r[2]] for r in rows], amounts), times(3)], names=["allowed", "times", "money", "event"])
+
+
+@F.arrow_udf(STATEMENTS)
+def statements_udf(text: pa.Array, given: pa.Array, source: pa.Array, event: pa.Array) -> pa.Array:
+    return _statements(False, text, given, source, event)
+
+
+@F.arrow_udf(STATEMENTS)
+def statements_with_signs_udf(text: pa.Array, given: pa.Array, source: pa.Array, event: pa.Array) -> pa.Array:
+    return _statements(True, text, given, source, event)
+
+
 def years_of(times: Column) -> Column:
     """The years among markers."""
     return F.transform(F.filter(times, lambda x: x.startswith("year:")), lambda x: F.substring(x, 6, 4).cast("int"))

@@ -14,9 +14,13 @@ from pyspark.sql.types import DoubleType, StringType
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
+#: All white space, as a list of characters, which needs no regular expression.
+SPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def category_slug(c: Column) -> Column:
@@ -36,7 +40,7 @@ def normalised_for_copies(c: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """Lower case, marks as blanks. Compatibility forms are left as they are; see ``nfkc_udf``."""
+    """Lower case, marks as blanks. Compatibility forms are left as they are; where texts may have them, give ``nfkc(c)``."""
     return collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "))
 
 
@@ -45,6 +49,16 @@ def nfkc_udf(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
+def nfkc(c: Column) -> Column:
+    """The compatibility form. Texts of ASCII are that already, and are not looked at."""
+    return F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(nfkc_udf(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)))
+
+
+def signature(*parts: Column) -> Column:
+    """What tells a record from others for near copies: its parts, null ones left out, as one normalised text. A list is its items in a row."""
+    return normalised_for_copies(F.concat_ws(" ", *parts))
+
+
 @F.arrow_udf(DoubleType())
 def similarity_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     """The ratio of matching blocks, which depends on the order: a is the earlier text."""
@@ -98,9 +112,10 @@ def repetition(c: Column) -> Column:
 
 
 def suggestions(c: Column) -> Column:
-    """The last ``1.`` and the last ``2.`` line, both or those there are."""
-    last = lambda k: F.element_at(F.filter(numbered(c), lambda x: x["number"] == k), -1)["text"]
-    return F.array_compact(F.array(F.try_element_at(F.transform(F.filter(numbered(c), lambda x: x["number"] == 1), lambda x: x["text"]), F.lit(-1)), F.try_element_at(F.transform(F.filter(numbered(c), lambda x: x["number"] == 2), lambda x: x["text"]), F.lit(-1))))
+    """The last ``1.`` and the last ``2.`` line, both or those there are. No blank is needed after the point."""
+    found = F.filter(lines(c), lambda x: x.rlike(r"^[12]\.\s*\S"))
+    last = lambda k: F.try_element_at(F.transform(F.filter(found, lambda x: F.startswith(x, F.lit(k))), lambda x: strip(F.substring(x, 3, 1 << 30))), F.lit(-1))
+    return F.array_compact(F.array(last("1"), last("2")))
 
 
 def after_marker(c: Column, marker: str = "Output:\n") -> Column:
@@ -109,7 +124,12 @@ def after_marker(c: Column, marker: str = "Output:\n") -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower-case letters and digits with ``_`` between them, of the compatibility form."""
+    return F.regexp_replace(F.regexp_replace(F.lower(nfkc(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def prediction_filename(model: Column, test_set: Column) -> Column:
+    return F.concat(slug(model), F.lit("__"), slug(test_set), F.lit(".jsonl"))
 
 
 def truncated(c: Column, most: int = 12_000, mark: str = "\n[truncated]") -> Column:
@@ -117,8 +137,9 @@ def truncated(c: Column, most: int = 12_000, mark: str = "\n[truncated]") -> Col
 
 
 def prompt_boundary(c: Column) -> Column:
-    """One blank line after the prompt, whatever line ends it had."""
-    return F.concat(F.regexp_replace(c, r"[\r\n]+\z", ""), F.lit("\n\n"))
+    """One blank line after the prompt, whatever line ends it had. Fails, when it runs, if that leaves three line breaks or more at the end."""
+    out = F.concat(F.regexp_replace(c, r"[\r\n]+\z", ""), F.lit("\n\n"))
+    return F.when(out.rlike(r"\n{3,}\z"), F.raise_error(F.lit("a prompt ends with more than one blank line")).cast("string")).otherwise(out)
 
 
 def exact_ci(a: Column, b: Column) -> Column:
@@ -137,3 +158,8 @@ def contains_normalised(text: Column, part: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
     return F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
+
+
+def reworded(a: Column, b: Column, words: float = 0.94, ratio: float = 0.95) -> Column:
+    """Whether two texts have nearly the same words and letters: the share of common words and the similarity of the texts both reach their bounds."""
+    return F.when(jaccard(a, b) >= words, similarity_udf(a, b) >= ratio).otherwise(F.lit(False))

@@ -55,3 +55,24 @@ def diversity(rows: DataFrame, by: str, value: str) -> DataFrame:
 def split_overlaps(rows: DataFrame, id_col: str, split: str = "split") -> DataFrame:
     """Ids that are in more than one split, with those splits."""
     return rows.groupBy(id_col).agg(F.array_sort(F.collect_set(split)).alias("splits")).where("size(splits) > 1").select(id_col, F.array_join("splits", ",").alias("splits"))
+
+
+def side_by_side(outputs: DataFrame, key: str, variant: str, text: str, variants: list[str]) -> DataFrame:
+    """One row for each key with a column for each variant's output, null where it has none; one shuffle, whatever the number of variants."""
+    return outputs.groupBy(key).pivot(variant, variants).agg(F.first(text))
+
+
+def run_pairs(a: DataFrame, b: DataFrame, key: list[str], measures: list[str]) -> DataFrame:
+    """Two runs over the same records joined by key: ``key``, and each measure of both (``_a``, ``_b``), and whether the raw texts are equal (``same``). The
+    first measure is the raw text."""
+    left, right = (rows.select(*key, *(F.col(m).alias(f"{m}_{x}") for m in measures)) for rows, x in ((a, "a"), (b, "b")))
+    return left.join(right, key).withColumn("same", F.col(f"{measures[0]}_a").eqNullSafe(F.col(f"{measures[0]}_b")))
+
+
+def audit_summary(pairs: DataFrame, by: list[str], text: str, distinct: str, hit: str) -> DataFrame:
+    """For each group of ``run_pairs``: records, equal ones and their rate, and for either run how many outputs are empty, have two distinct alternatives, or
+    went on to the limit."""
+    flags = {}
+    for x in ("a", "b"):
+        flags |= {f"empty_{x}": F.length(F.trim(F.coalesce(F.col(f"{text}_{x}"), F.lit("")))) == 0, f"two_distinct_{x}": F.col(f"{distinct}_{x}"), f"hit_max_{x}": F.col(f"{hit}_{x}")}
+    return run_summary(pairs, by, F.col("same"), flags)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import format_amount, valid_date
-from tessera.functions.text import category_slug, normalised, normalised_for_copies, similarity_udf, strip
-from tessera.session import ship
+from tessera.functions.text import category_slug, normalised, normalised_for_copies, similarity_udf, strip, tokens
+from tessera.operators.stats import numbered
+from tessera.session import fresh, materialise, ship
 
 ACTIVITIES = ["GENERATION", "COMPLETION", "NORMALIZATION"]
 CURRENCIES = ["EUR", "USD", "GBP"]
@@ -29,8 +32,12 @@ def cleaned(records: DataFrame) -> DataFrame:
     return records.withColumns(own | {"expected_output": F.transform("expected_output", strip), "calendar_context": context})
 
 
+def _empty(c: Column) -> Column:
+    return F.length(strip(c)) == 0
+
+
 def _blank(c: str) -> Column:
-    return F.col(c).isNull() | (F.length(strip(F.col(c))) == 0)
+    return F.col(c).isNull() | _empty(F.col(c))
 
 
 def rules() -> list[tuple[str, Column]]:
@@ -50,12 +57,12 @@ def rules() -> list[tuple[str, Column]]:
         ("split_null", F.col("split").isNotNull()),
         ("outputs_is_list", outputs.isNull()),
         ("outputs_len2", F.size(outputs) != 2),
-        ("outputs_items_nonempty", F.exists(outputs, lambda x: x.isNull() | (F.length(strip(x)) == 0))),
+        ("outputs_items_nonempty", F.size(F.filter(outputs, lambda x: x.isNull() | _empty(x)))),
         ("outputs_distinct", (F.size(outputs) == 2) & (normalised_for_copies(F.get(outputs, 0)) == normalised_for_copies(F.get(outputs, 1)))),
         ("gen_input_null", (activity == "GENERATION") & F.col("input_text").isNotNull()),
         ("cn_input_nonempty", other & _blank("input_text")),
         ("cn_calendar_null", other & calendar.isNotNull()),
-        ("calendar_only_generation", (activity != "GENERATION") & calendar.isNotNull()),
+        ("calendar_only_generation", ~activity.eqNullSafe("GENERATION") & calendar.isNotNull()),
         ("calendar_title", blank_in("event_title")),
         ("calendar_category", blank_in("event_category")),
         ("calendar_date", calendar.isNotNull() & valid_date(F.col("calendar_context.event_date")).isNull()),
@@ -63,9 +70,11 @@ def rules() -> list[tuple[str, Column]]:
 
 
 def violations(records: DataFrame) -> DataFrame:
-    """(id_example, rule): a row for each rule that a record breaks, in one pass."""
-    broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules())))
-    return records.select("id_example", F.explode(broken).alias("rule"))
+    """(id_example, rule): a row for each time that a record breaks a rule, in one pass; a record has one for each bad output."""
+    times = lambda name, c: F.array_repeat(F.lit(name), F.coalesce(c if name == "outputs_items_nonempty" else c.cast("int"), F.lit(0)))
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules() if name != "outputs_items_nonempty")))
+    items = next(times(name, c) for name, c in rules() if name == "outputs_items_nonempty")
+    return records.select("id_example", F.explode(F.concat(broken, items)).alias("rule"))
 
 
 def duplicate_ids(rows: DataFrame, id_col: str, seq: str, most: int = 20) -> DataFrame:
@@ -92,24 +101,46 @@ def exact_copies(rows: DataFrame, id_col: str, content: list[str], seq: str) ->
     return keyed.join(first, "_key").where("_seq > first._seq").select(F.col(id_col), F.col("first.id").alias("first_id"))
 
 
+# the characters that are counted one by one; all others count together
+_COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 <>"
+
+
+def character_counts(text: Column) -> Column:
+    """How often a text has each counted character, and how many others. Sums of the smaller counts bound from above what two texts have in common."""
+    each = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in _COUNTED]
+    return F.array(*each, F.length(F.translate(text, _COUNTED, "")))
+
+
 def near_copies(rows: DataFrame, id_col: str, block: list[str], text: str, threshold: float = 0.93) -> DataFrame:
-    """(id_a, id_b, similarity) of texts in one block, a before b, whose ratio reaches the threshold. Lengths too
-    different for it are ruled out before the ratio is computed."""
+    """(id_a, id_b, similarity) of texts in one block, a before b, whose ratio reaches the threshold. A block is dealt by lengths, so that only texts meet whose lengths allow
+    it, and the ratio, which is computed in Python, is asked only for pairs whose counts of characters allow it, too. Neither loses a pair."""
     ship(rows.sparkSession)  # the ratio is computed in Python workers
-    own = rows.select(*block, F.col(id_col).alias("id"), normalised_for_copies(F.col(text)).alias("s")).where("s != ''").withColumn("n", F.length("s"))
-    a, b = (own.select(*block, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "n"))) for x in ("a", "b"))
-    pairs = a.join(b, block).where((F.col("id_a") < F.col("id_b")) & (2 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
-    found = pairs.withColumn("similarity", similarity_udf("s_a", "s_b")).where(F.col("similarity") >= threshold)
+    text = normalised_for_copies(F.col(text))
+    own = rows.select(*block, F.col(id_col).alias("id"), text.alias("s")).where("s != ''").withColumn("n", F.length("s"))
+    # lengths of a pair differ by this factor at most, so by one bucket of lengths
+    factor = (2 - threshold) / threshold
+    own = own.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(factor) + 1e-9)).cast("int")).withColumn("c", character_counts(F.col("s")))
+    a, b = (own.select(*block, "bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "n", "c"))) for x in ("a", "b"))
+    near = b.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    pairs = a.join(near, [*block, "bucket"]).where((F.col("id_a") < F.col("id_b")) & (2 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
+    common = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.where(2 * common >= threshold * (F.col("n_a") + F.col("n_b")))
+    found = pairs.select("id_a", "id_b", similarity_udf("s_a", "s_b").alias("similarity")).where(F.col("similarity") >= threshold)
     return found.select("id_a", "id_b", F.round("similarity", 4).alias("similarity"))
 
 
 def stratified_split(rows: DataFrame, id_col: str, strata: list[str], seed: str = "42", train: float = 0.8, validation: float = 0.1) -> DataFrame:
     """``split`` for each row: in each stratum, in the order of a seeded digest, the first share trains, the next validates, the rest tests.
-    Sizes are rounded half to even. The same rows are chosen on every run, though not those of another generator."""
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-    place, n = F.row_number().over(order), F.count("*").over(Window.partitionBy(*strata))
-    first = F.bround(n * train).cast("int")
-    return rows.withColumn("split", F.when(place <= first, "train").when(place <= first + F.bround(n * validation).cast("int"), "validation").otherwise("test"))
+    Sizes are rounded half to even. Rows are numbered by ranges of stratum and digest, so a large stratum is spread over tasks. The same rows are chosen on every
+    run, though not those of another generator."""
+    at, stratum = fresh(rows, "_number"), fresh(rows, "_stratum")
+    keyed = rows.withColumn(stratum, F.struct(*strata, F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).alias("_digest")))
+    kept = numbered(keyed, [stratum], at).withColumn(stratum, F.struct(*(F.col(f"{stratum}.{c}") for c in strata)))
+    sizes = kept.groupBy(F.col(stratum).alias("_s")).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
+    placed = kept.join(sizes, kept[stratum].eqNullSafe(sizes["_s"]))
+    place, first = F.col(at) - F.col("_first") + 1, F.bround(F.col("_n") * train)
+    split = F.when(place <= first, "train").when(place <= first + F.bround(F.col("_n") * validation), "validation").otherwise("test")
+    return placed.withColumn("split", split).drop(at, stratum, "_s", "_first", "_n")
 
 
 def prompt(activity: str = "activity_type") -> Column:
@@ -126,7 +157,9 @@ def prompt(activity: str = "activity_type") -> Column:
 
 
 def completion(outputs: str = "expected_output") -> Column:
-    return F.concat(F.lit("1. "), strip(F.get(F.col(outputs), 0)), F.lit("\n2. "), strip(F.get(F.col(outputs), 1)))
+    """The two outputs as a numbered list. Fails, when it runs, on a list of another length."""
+    two = F.concat(F.lit("1. "), strip(F.get(F.col(outputs), 0)), F.lit("\n2. "), strip(F.get(F.col(outputs), 1)))
+    return F.when(F.size(outputs) == 2, two).otherwise(F.raise_error(F.lit("a completion takes exactly two outputs")).cast("string"))
 
 
 def references_contained(text: Column, references: Column) -> Column:
@@ -136,16 +169,30 @@ def references_contained(text: Column, references: Column) -> Column:
 
 
 def contained_items(items: DataFrame, rows: DataFrame, item_id: str, item: str, row_id: str, text: str, most_bytes: int = 1 << 24) -> DataFrame:
-    """(item_id, row_id) of items, a query set, that are part of a row's text, whatever the case. Items are broadcast in blocks of at most ``most_bytes``
-    (an item beyond that alone), and each block is searched in all rows, so the set may have any size."""
-    own = items.where(F.col(item).isNotNull()).select(item_id, F.lower(item).alias("_item"))
-    total = own.agg(F.sum(F.octet_length("_item") + 64)).first()[0] or 0
-    blocks = 1 if total <= most_bytes else 2 * int(total // most_bytes + 1)  # twice as many, as digests fill them unevenly
-    out = None
+    """(item_id, row_id), once each, of items that are part of a row's text, whatever the case. An item's anchor is that of its inner words which the fewest rows have:
+    where the item is, that word is a word of the text, so anchors are joined to the words of the rows, and the pairs that meet are verified. Items
+    without inner words are searched in all rows, in blocks of at most ``most_bytes``; so the set may have any size."""
+    own = items.where(F.col(item).isNotNull()).select(F.col(item_id).alias("_item_id"), F.lower(item).alias("_item")).distinct()
+    # a word at the beginning or end of an item may be a part of one in a text
+    inner = F.array_distinct(F.regexp_extract_all("_item", F.lit(r"(?<=[^\p{L}\p{N}_])[\p{L}\p{N}_]+(?=[^\p{L}\p{N}_])"), 0))
+    own = materialise(own.withColumn("_inner", inner), "items")
+    anchored = own.where(F.size("_inner") > 0)
+    low = rows.select(F.col(row_id).alias("_row_id"), F.lower(text).alias("_low")).where("_low is not null")
+    words = low.select("_row_id", F.explode(F.array_distinct(tokens(F.col("_low")))).alias("_word"))
+    asked = anchored.select(F.explode("_inner").alias("_word")).distinct()
+    met = materialise(words.join(asked, "_word"), "words")
+    often = asked.join(met.groupBy("_word").agg(F.count("*").alias("_often")), "_word", "left").select("_word", F.coalesce("_often", F.lit(0)).alias("_often"))
+    each = anchored.select("_item_id", "_item", F.explode("_inner").alias("_word")).join(often, "_word")
+    anchors = each.groupBy("_item_id", "_item").agg(F.min_by("_word", F.struct("_often", "_word")).alias("_word"))
+    pairs = met.join(anchors, "_word").select("_item_id", "_item", "_row_id").distinct()
+    found = pairs.join(low, "_row_id").where(F.contains("_low", F.col("_item"))).select("_item_id", "_row_id").distinct()
+
+    bare = own.where(F.size("_inner") == 0).select("_item_id", "_item")
+    total = bare.agg(F.sum(F.octet_length("_item") + 64)).first()[0] or 0
+    blocks = 0 if not total else 1 if total <= most_bytes else 2 * int(total // most_bytes + 1)  # twice as many, as digests fill them unevenly
     for k in range(blocks):
-        part = own.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k) if blocks > 1 else own
-        every = part.agg(F.collect_list(F.struct(item_id, "_item")).alias("_items"))
-        low = rows.select(row_id, F.lower(text).alias("_low")).join(F.broadcast(every))
-        found = low.select(row_id, F.explode(F.filter("_items", lambda i: F.contains(F.col("_low"), i["_item"]))).alias("_i")).select(f"_i.{item_id}", row_id)
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = bare.where(F.pmod(F.xxhash64("_item_id"), F.lit(blocks)) == k) if blocks > 1 else bare
+        every = part.agg(F.collect_list(F.struct("_item_id", "_item")).alias("_items"))
+        searched = low.join(F.broadcast(every)).select("_row_id", F.explode(F.filter("_items", lambda i: F.contains(F.col("_low"), i["_item"]))).alias("_i"))
+        found = found.unionByName(searched.select("_i._item_id", "_row_id"))
+    return found.select(F.col("_item_id").alias(item_id), F.col("_row_id").alias(row_id))

@@ -114,3 +114,81 @@ def rouge_rows(rows: DataFrame, keys: list[str], prediction: str, reference: str
     sums = counts.groupBy(*keys).agg(F.sum(F.least("p", "r")).alias("both"), F.sum("p").alias("p"), F.sum("r").alias("r"))
     found = rows.select(*keys).join(sums, keys, "left")
     return found.select(*keys, F.round(F.when((F.col("p") > 0) & (F.col("r") > 0), 2.0 * F.col("both") / (F.col("p") + F.col("r"))).otherwise(0.0), 6).alias(name))
+
+
+def amount_stats(rows: DataFrame, amount: str) -> DataFrame:
+    """(min, max, avg) of amounts given as text or numbers, two decimals; what is no number is left out. One row, of nulls without numbers."""
+    own = F.col(amount).cast("string").try_cast("double")
+    return rows.select(own.alias("a")).where("a is not null and not isnan(a)").agg(F.min("a").alias("min"), F.max("a").alias("max"), F.round(F.avg("a"), 2).alias("avg"))
+
+
+def describe_by_prompt(rows: DataFrame, key: str, seq: str, task: str, measures: list[str]) -> DataFrame:
+    """``describe_by`` with the task of each key's first row."""
+    return rows.groupBy(key).agg(F.min_by(task, seq).alias(task), F.count("*").alias("runs"), *(x for m in measures for x in describe(m)))
+
+
+def first_last_medians(rows: DataFrame, seq: str, measures: list[str], k: int, by: list[str] | None = None) -> DataFrame:
+    """Medians of the first and last ``k`` rows of each measure and the change in per cent. Each task keeps ``k`` rows of a group before anything is shuffled."""
+    by, ends = by or [], []
+    for end, order in (("first", F.col(seq).asc()), ("last", F.col(seq).desc())):
+        top = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(f"_place <= {k}") if by else rows.orderBy(order).limit(k)
+        ends.append(top.select(*by, *measures, F.lit(end).alias("_end")))
+    of = lambda m, end: F.median(F.when(F.col("_end") == end, F.col(m))).alias(f"{m}_{end}_median")
+    found = ends[0].unionByName(ends[1]).groupBy(*by).agg(*(of(m, end) for m in measures for end in ("first", "last")))
+    change = {f"{m}_median_change_pct": F.round(pct_change(F.col(f"{m}_first_median"), F.col(f"{m}_last_median")), 6) for m in measures}
+    return found.select(*by, *(F.round(f"{m}_{end}_median", 6).alias(f"{m}_{end}_median") for m in measures for end in ("first", "last")), *(c.alias(name) for name, c in change.items()))
+
+
+def elapsed(rows: DataFrame, ts: str, name: str = "elapsed_s") -> DataFrame:
+    """``rows`` with the seconds since the first sample, three decimals. The first is found by an aggregate and sent around as one row."""
+    first = rows.agg(F.min(ts).alias("_first"))
+    return rows.join(F.broadcast(first)).withColumn(name, F.round((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))) / 1e6, 3)).drop("_first")
+
+
+def thermal_summary(samples: DataFrame, seq: str, elapsed_col: str, temperature: str, battery: str, status: str) -> DataFrame:
+    """One row: samples, duration, first, last, least and largest temperature, first and last battery level, the highest and all states. Blank measures are skipped."""
+    has = lambda c, of: F.when(F.col(c).isNotNull(), F.col(of))
+    return samples.agg(
+        F.count("*").alias("samples"), F.max_by(elapsed_col, seq).alias("duration_s"),
+        F.min_by(temperature, has(temperature, seq)).alias("first_temperature"), F.max_by(temperature, has(temperature, seq)).alias("last_temperature"), F.min(temperature).alias("min_temperature"), F.max(temperature).alias("max_temperature"),
+        F.min_by(battery, has(battery, seq)).alias("first_battery"), F.max_by(battery, has(battery, seq)).alias("last_battery"),
+        F.max(status).alias("max_status"), F.array_join(F.array_sort(F.collect_set(status)), ",").alias("states"),
+    )
+
+
+#: The measures of a scored record: numbers as they are, flags as shares; a null is skipped.
+SCORES = ["rouge1_f1", "rouge2_f1", "bertscore_f1", "normalized_exact_match"]
+FLAGS = {
+    "two_distinct_alternatives": "two_distinct_alternatives_rate", "structured_consistent": "automatic_structured_consistency_rate", "currency_consistent": "currency_consistency_rate",
+    "amount_consistent": "amount_consistency_rate", "temporal_consistent": "temporal_consistency_rate", "beneficiary_mentioned": "beneficiary_mention_rate", "calendar_reflected": "calendar_context_reflection_rate",
+}
+
+
+def evaluation_metrics(scored: DataFrame, sets: list[list[str]], keys: list[str]) -> DataFrame:
+    """records and all means of scored records in grouping sets, as [["model", "test_set"], ["model", "test_set", "activity_type"]]; a key that a set
+    leaves out is ``ALL``. Measures that the rows do not have are null."""
+    have = set(scored.columns)
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6) if c in have else F.lit(None).cast("double")
+    means = [mean(c).alias(c) for c in SCORES] + [mean(c).alias(name) for c, name in FLAGS.items()]
+    levels = [F.grouping(k).alias(f"_g_{k}") for k in keys]
+    found = scored.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.count("*").alias("records"), *levels, *means)
+    return found.select(*(F.when(F.col(f"_g_{k}") == 0, F.col(k)).otherwise("ALL").alias(k) for k in keys), "records", *SCORES, *FLAGS.values())
+
+
+def variant_summary(rows: DataFrame, variant: str, means: list[str], flags: list[str]) -> DataFrame:
+    """For each variant: records, means, and for each flag the count and per cent of rows; nought, not null, where nothing is there."""
+    found = rows.groupBy(variant).agg(F.count("*").alias("records"), *(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(f"avg_{m}") for m in means), *(F.count_if(F.col(f)).alias(f) for f in flags))
+    return found.withColumns({f"{f}_pct": F.round(F.coalesce(100.0 * F.col(f) / F.nullif(F.col("records"), F.lit(0)), F.lit(0.0)), 6) for f in flags})
+
+
+def review_first(scored: DataFrame, consistent: str, distinct: str, scores: list[str], order: list[str], most: int = 60) -> DataFrame:
+    """The ``most`` records to be looked at first: ten points if inconsistent, five if their alternatives are not distinct; then those with the lowest of the first score
+    that is not null, then in ``order``."""
+    no = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), 0).otherwise(1)
+    ranked = scored.withColumn("priority", 10 * no(consistent) + 5 * no(distinct)).withColumn("score", F.coalesce(*scores))
+    return ranked.orderBy(F.desc("priority"), F.col("score").asc_nulls_last(), *order).limit(most)
+
+
+def sorted_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups by name, with their sizes."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(*keys)

@@ -24,6 +24,20 @@ def before_end(ids: Column, end: int) -> Column:
     return F.when(at > 0, F.slice(ids, F.lit(1), at - 1)).otherwise(ids)
 
 
+def seen_end(ids: Column, end: int) -> Column:
+    """Whether the end id occurs at all."""
+    return F.coalesce(F.array_contains(ids, F.lit(end)), F.lit(False))
+
+
+def within_limit(rows: DataFrame, prompt: str, completion: str, limit: int, name: str) -> DataFrame:
+    """The rows as they are. Refuses, at once, a set in which a sequence exceeds the limit, and names up to five of them."""
+    long = rows.select(name, (F.size(prompt) + F.size(completion)).alias("_n")).where(F.col("_n") > limit)
+    found = long.orderBy(name).limit(5).collect()
+    if found:
+        raise ValueError(f"sequences beyond {limit} tokens: " + ", ".join(f"{r[0]} ({r[1]})" for r in found))
+    return rows
+
+
 def trainable(ids: Column, own: Column) -> Column:
     """As many labels as ids, and one at least that is not ignored."""
     return F.coalesce((F.size(ids) == F.size(own)) & F.exists(own, lambda x: x != IGNORED), F.lit(False))
