@@ -11,9 +11,11 @@ are joined where the bound on their points allows a link, so what forms a block
 from joining blocks; texts of little else have keys with them, too. A large block is split into tiles
 of pairs of chunks. Each block or tile has its own tree.
 
+Shingles are told apart by hashes of 64 bits and whole sets by digests of 128 bits; texts are not compared word by word.
+
 Defined cases: a null or empty text, or one without words, has no shingles and no links; a text of fewer words than
 a shingle is one shingle; texts with equal sets are linked; rows with the same id are one node; a row with a null id keeps
-a null component. Columns besides the id and the text are left alone, whatever their names."""
+a null component; an empty table gives no rows. Columns besides the id and the text are left alone, whatever their names."""
 
 from __future__ import annotations
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.rtree import CountRTree, count_vectors, group_number, overlap
 from tessera.llm.wordhash import mix, text_slices
-from tessera.session import map_arrow, materialise, ship
+from tessera.session import fresh, map_arrow, materialise, ship
 
 #: Shingles that a task looks at together, in memory.
 CHUNK = 1 << 20
@@ -42,6 +44,8 @@ PLACE = 21
 FEW, TOGETHER, LOCAL = 8, 4096, 256
 #: Buckets of keys for each shuffle partition.
 BUCKETS = 2
+#: Tasks to which the keys of one group of like texts are dealt.
+DEALT = 32
 #: A tile's chunk has so many sets or so many shingles, or a 32nd of its block.
 TILE_SETS, TILE_SHINGLES, MOST_CHUNKS = 128, 1 << 21, 32
 
@@ -436,6 +440,19 @@ def _join_tiles(num: int, den: int):
     return run
 
 
+def most_common(reported: DataFrame, most: int) -> DataFrame:
+    """The rows of ``reported`` (shingle, n) with the largest n, at most ``most``: rows are counted by n in a histogram of some thousand bins, and the bins
+    taken from above as long as they fit. No rows are sorted."""
+    n = F.col("n").cast("double")
+    of = F.when(n < 1024, n).otherwise(1024 + F.floor(F.log2(n / 1024) * 64)).cast("int")
+    left, least = most, None
+    for r in sorted(reported.groupBy(of.alias("bin")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["bin"]):
+        if r["rows"] > left:
+            break
+        left, least = left - r["rows"], r["bin"]
+    return reported.where(of >= least) if least is not None else reported.limit(0)
+
+
 def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts are linked when |A & B| / |A | B| >= num / den for their sets of distinct ``words``-word shingles of
     lower-cased words. Returns (doc_id, n_shingles, component_id) for every row."""
@@ -444,7 +461,7 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     reported = texts.transform(map_arrow, _common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # at most MOST_COMMON numbers reach the driver; which they are changes only the blocks, not the links
-    top = reported.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toPandas()["shingle"]
+    top = most_common(materialise(reported, "common"), MOST_COMMON).orderBy(F.desc("n"), "shingle").select("shingle").toPandas()["shingle"]
     table = spark.sparkContext.broadcast(common_table([x % (1 << 64) for x in top.tolist()]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.transform(map_arrow, _keyed(words, num, den, table, n * BUCKETS), _SHAPE)
@@ -454,8 +471,8 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
     tried = found.where("kind = 1").select("a", "b").distinct().join(points.select("a", "n", F.col("point").alias("p")).hint("shuffle_hash"), "a")
     tried = tried.join(points.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")).hint("shuffle_hash"), "b").select("a", "b", "n", "m", "p", "q")
     together = found.where("kind = 3").select(F.col("n").alias("first"), F.col("a").alias("key"), F.col("b").alias("a")).join(points.hint("shuffle_hash"), "a")
-    # keys of one group of copies have few first ids, and meet in a few tasks that each join the group once
-    together = together.select("first", "key", "a", "n", "point").repartition(n, "first", F.pmod("key", F.lit(4)))
+    # keys of one group of copies have few first ids, and meet in some tasks that each join the group once
+    together = together.select("first", "key", "a", "n", "point").repartition(n, "first", F.pmod("key", F.lit(DEALT)))
     compared = together.sortWithinPartitions("first", "key", "a").transform(map_arrow, _compared(num, den), "a long, b long")
     shared = found.where("kind = 0").select("a", "b").union(tried.transform(map_arrow, _possible(num, den), "a long, b long")).union(compared)
     blocks = materialise(connected_components(shared), "blocks")
@@ -479,8 +496,10 @@ def ngram_jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those near-copies of which the group has a smaller id. A row with a null id stays."""
+    """The rows of ``docs``, with all their columns, whatever the names of these, without those near-copies of which the group has a smaller id. Rows with
+    a null id or without words stay; rows with equal ids are kept or dropped together; an empty table stays empty."""
     id_col = options.get("id_col", "doc_id")
     groups = ngram_jaccard_components(docs, **options)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
