@@ -12,8 +12,8 @@ from tessera.operators.consistency import consistency
 from tessera.operators.hooks import with_model
 from tessera.operators.records import contained_items
 
-NAMED = "Normalized description 1:\n11.08 EUR from Riverside Transit Co. Services for commuting.\n\nNormalized description 2:\n11.08 EUR commuting fare.\n\nExplanation:\nextra text"
-PAIR = ["11.08 EUR from Riverside Transit Co. Services for commuting.", "11.08 EUR commuting fare."]
+NAMED = "Normalized description 1:\n7.45 EUR to Harbour Ferries Ltd. Tickets for the crossing.\n\nNormalized description 2:\n7.45 EUR ferry ticket.\n\nExplanation:\nextra text"
+PAIR = ["7.45 EUR to Harbour Ferries Ltd. Tickets for the crossing.", "7.45 EUR ferry ticket."]
 
 
 def column(spark, values, f):
@@ -38,12 +38,12 @@ def test_alternatives_loosely(spark):
     ("text", "found"),
     [
         (NAMED, PAIR),
-        ("Here are two:\n\n**Alternative 1:**\nApril 2027 water bill EUR 90\n\n**Alternative 2:**\nEUR 90 water payment for April 2027", ["April 2027 water bill EUR 90", "EUR 90 water payment for April 2027"]),
-        ("### **Option 1 (Concise):**\nConsulting fee EUR 100\n\n- **Option 2 (More Formal):**\nEUR 100 consulting payment", ["Consulting fee EUR 100", "EUR 100 consulting payment"]),
+        ("Here are two:\n\n**Alternative 1:**\nMarch 2029 garden tools GBP 64\n\n**Alternative 2:**\nGBP 64 paid for tools in March 2029", ["March 2029 garden tools GBP 64", "GBP 64 paid for tools in March 2029"]),
+        ("### **Option 1 (Concise):**\nPiano lesson USD 35\n\n- **Option 2 (More Formal):**\nUSD 35 for a piano lesson", ["Piano lesson USD 35", "USD 35 for a piano lesson"]),
         ("**Bank-Transfer Description 1:** a b\n**Bank-Transfer Description 2:** c d", ["a b", "c d"]),
         ("1. one\n2. two\n\nAlternative 1: cut", ["one", "two"]),
         ("Option 1: x\nOption 2: y\n\n1. one\n2. two", ["x", "y"]),
-        ("**Alternative 1:**\nFirst valid description only", ["First valid description only"]),
+        ("**Alternative 1:**\nOnly one of the two came", ["Only one of the two came"]),
         ("**Category:** a\n**Amount:** b\n**Date:** c", []),
         ("1.\n**Category:** Rent\n2.\n**Category:** House", ["**Category:** Rent", "**Category:** House"]),
         ("```text\n1. a\n2. b\n```", ["a", "b"]),
@@ -55,14 +55,14 @@ def test_alternatives_in_markdown(text, found):
 
 
 def test_money_and_times():
-    assert money_in("water bill April 2027 EUR 90", {2027}) == [("EUR", 90.0)]
-    assert money_in("Other EUR 444.68 for June 2026\nEUR 444.68 for June 2026", {2026}) == [("EUR", 444.68)] * 2
-    assert money_in("Paid €201.28 and $1420.75 and £50", set(), WITH_SIGNS) == [("EUR", 201.28), ("USD", 1420.75), ("GBP", 50.0)]
+    assert money_in("garden tools March 2029 GBP 64", {2029}) == [("GBP", 64.0)]
+    assert money_in("Half of EUR 81.30 for June 2026\nEUR 81.30 for June 2026", {2026}) == [("EUR", 81.3)] * 2
+    assert money_in("Sent €77.05 and $3140.50 and £9", set(), WITH_SIGNS) == [("EUR", 77.05), ("USD", 3140.5), ("GBP", 9.0)]
     assert money_in("2027 EUR", set()) == [("EUR", 2027.0)] and money_in("2027 EUR for the term", set()) == [] and money_in(None, set()) == []
     assert [amount_of(x) for x in ("1,200", "444,68", "1.200", "444.68", "1 200,50", "1,200.50")] == [1200, 444.68, 1200, 444.68, 1200.5, 1200.5]
-    assert times_in("professional service EUR 2095.93", set()) == set() == times_in("EUR 2027", set())
-    assert times_in("Family Transfer - 955 EUR to Daniel Nov", set(), WITH_SIGNS, {5}) == set()
-    assert times_in("Phone payment for Nov 2026", set(), WITH_SIGNS, {11}) == {"month:11", "year:2026"}
+    assert times_in("roof repair EUR 2041.17", set()) == set() == times_in("EUR 2027", set())
+    assert times_in("gift of 310 EUR for Alma Sep", set(), WITH_SIGNS, {5}) == set()
+    assert times_in("Rowing club for Sep 2028", set(), WITH_SIGNS, {9}) == {"month:9", "year:2028"}
     assert times_in("Q3, 1st instalment, due 2026-04-30, Sept", set()) == {"quarter:3", "installment:first", "year:2026", "month:4", "month:9"}
 
 
@@ -70,9 +70,9 @@ def test_money_and_times():
 def test_consistency(spark, signs):
     schema = "k int, operation_category string, beneficiary string, amount double, currency string, reference_period string, input_text string, calendar_context struct<event_title:string,event_date:string,event_category:string>, reply string"
     rows = [
-        (0, "BILL", "City Water", 90.0, "EUR", "April 2027", None, None, "April 2027 water bill EUR 90"),
-        (1, "BILL", "City Water", 2011.28, "EUR", "2026 Q4", None, None, "Transferred EUR 201.28 on 2026 Q4."),
-        (2, "BILL", "City Water", 90.0, "EUR", None, None, ("Garden party", "2027-04-03", "x"), "90 USD to City Water for the garden in May 2027"),
+        (0, "BILL", "Green Sheds", 64.0, "GBP", "March 2029", None, None, "March 2029 garden tools GBP 64"),
+        (1, "BILL", "Green Sheds", 1310.4, "EUR", "2028 Q2", None, None, "Sent EUR 131.04 for 2028 Q2."),
+        (2, "BILL", "Green Sheds", 64.0, "EUR", None, None, ("Garden party", "2029-03-03", "x"), "64 USD to Green Sheds for the garden in May 2029"),
         (3, None, None, None, None, None, None, None, None),
     ]
     found = {r.k: r for r in consistency(spark.createDataFrame(rows, schema), "reply", signs).collect()}
