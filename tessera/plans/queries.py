@@ -157,6 +157,13 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.missing_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 2000)
 
 
+@query("SELECT i AS c_custkey FROM generate_series(1, (SELECT max(c_custkey) FROM customer)) t(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
+def missing_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``missing_ids``, up to the last id that there is."""
+    last = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    return R.missing_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", last)
+
+
 @query("SELECT doc_id, first_id FROM (SELECT doc_id, first_value(doc_id) OVER w AS first_id, row_number() OVER w AS k FROM documents WINDOW w AS (PARTITION BY text, lang, source ORDER BY doc_id)) WHERE k > 1")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exact_copies(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"], "doc_id")
