@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import month_number
 from tessera.functions.text import collapse
 
-# The words of each category, in the order in which they are tried.
+# The words of each category, in the order in which they are tried. Phrases that a shorter one of their category is part of are left out, as that finds them.
 KEYWORDS = {
     "Accommodation": ["hotel", "hostel", "accommodation", "room booking"],
     "Charity": ["charity", "donation", "fundraiser"],
