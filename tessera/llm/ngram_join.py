@@ -45,7 +45,7 @@ FEW, TOGETHER, LOCAL = 8, 4096, 256
 #: Buckets of keys for each shuffle partition.
 BUCKETS = 2
 #: Tasks to which the keys of one group of like texts are dealt.
-DEALT = 32
+DEALT = 16
 #: A tile's chunk has so many sets or so many shingles, or a 32nd of its block.
 TILE_SETS, TILE_SHINGLES, MOST_CHUNKS = 128, 1 << 21, 32
 
