@@ -6,11 +6,13 @@ can write, and are read back as binary files.
 
 ARC: a file opens with a version block, whose second line names the version and whose third line names the fields of the
 header lines that follow; version 1 and version 2 differ in those fields. A record is its header line, then as many bytes
-as the line's last field declares.
+as the line's last field declares. A record whose content is an HTTP response becomes a ``response``, or a ``revisit`` of one; any other (as ``dns:``)
+becomes a ``resource`` with the whole content as its block and its own content type, and is never a revisit.
 
 Defined cases: a null payload is empty; a null or empty URL is written as ``unknown:``; blanks and control characters in a URL are
 percent-encoded, as they would end a header field; rows with equal ids stay separate records; of these the later one in
-archive order counts as larger; a null id stays null and counts as smallest; an archive without records gives no rows."""
+archive order, by archive and then by offset, counts as larger; a null id stays null and counts as smallest; an archive without records gives no rows;
+columns besides the id, the URL and the payload are left alone."""
 
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import map_arrow, materialise, shared_path, ship
+from tessera.session import delete, map_arrow, materialise, shared_path, ship
 
 #: Compressed bytes after which a new archive begins; a longer record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
@@ -36,6 +38,9 @@ BATCH_BYTES = 4 << 20
 #: The namespace of record identifiers.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tessera:warc")
 
+#: The field that holds the length of a revisit's payload.
+PAYLOAD_LENGTH = "WARC-X-Payload-Length"
+
 # The header fields of the two versions of the ARC format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -162,6 +167,10 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
     _write(rows.transform(map_arrow, run, "archive binary"), path)
 
 
+def is_http(uri: str, content: bytes) -> bool:
+    return content.startswith(b"HTTP/") and not re.match(r"(?i)(dns|filedesc|ftp|whois):", uri)
+
+
 def _http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     """(header as it is, its fields by lower-case name, payload) of an archived response."""
     head, gap, payload = block.partition(b"\r\n\r\n")
@@ -174,13 +183,14 @@ def _number(text: str | None) -> int | None:
 
 
 def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    """(record, page_id, uri, ip, date, payload_digest, payload_bytes, length, member) of each record; record is the place,
-    archive and offset; length is that of its content; member is the record as it lies in the archive, packed, if ``whole``, else null."""
+    """(record, archive, offset, page_id, uri, ip, date, kind, http, payload_digest, payload_bytes, length, member) of each record; record is the
+    place, archive and offset; kind is the content type; http whether it is a response, whose payload then follows its header, else all of it is
+    payload; length is that of its content; member is the record as it lies in the archive, packed, if ``whole``, else null."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record", "page_id", "uri", "ip", "date", "payload_digest", "payload_bytes", "length", "member"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["record", "archive", "offset", "page_id", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "length", "member"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         rows, held = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -190,8 +200,9 @@ def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
             for i in range(batch.num_rows):
                 place, data = batch.column(0)[i].as_py().rsplit("/", 1)[-1], batch.column(1)[i].as_py()
                 for offset, end, header, content in parse_arc(members(data)):
-                    _, fields, payload = _http(content)
-                    rows.append((f"{place}#{offset}", _number(fields.get("x-page-id")), header["URL"], header["IP-address"], header["Archive-date"], digest(payload), len(payload), len(content), data[offset:end] if whole else None))
+                    http = is_http(header["URL"], content)
+                    _, fields, payload = _http(content) if http else (b"", {}, content)
+                    rows.append((f"{place}#{offset}", place, offset, _number(fields.get("x-page-id")), header["URL"], header["IP-address"], header["Archive-date"], header["Content-type"], http, digest(payload), len(payload), len(content), data[offset:end] if whole else None))
                     held += end - offset if whole else 0
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield flush()
@@ -199,7 +210,7 @@ def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
         if rows:
             yield flush()
 
-    return _read(spark, path).transform(map_arrow, run, "record string, page_id long, uri string, ip string, date string, payload_digest string, payload_bytes long, length long, member binary")
+    return _read(spark, path).transform(map_arrow, run, "record string, archive string, offset long, page_id long, uri string, ip string, date string, kind string, http boolean, payload_digest string, payload_bytes long, length long, member binary")
 
 
 def record_id(record: str) -> str:
@@ -230,9 +241,9 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0)
     """Write the ARC archives under ``arc`` as WARC. Of records with equal payloads of at least ``least_bytes`` bytes the one
     with the largest id becomes the response, the others revisit records that refer to it."""
     ship(spark)
-    seen = read_arc(spark, arc, whole=False).select("record", "page_id", "uri", "payload_digest", "payload_bytes")
+    seen = read_arc(spark, arc, whole=False).where("http").select("record", "archive", "offset", "page_id", "uri", "payload_digest", "payload_bytes")
     seen = materialise(seen.where(F.col("payload_bytes") >= least_bytes), "seen")
-    last = seen.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record", "uri")).alias("last"), F.count("*").alias("n")).where("n > 1")
+    last = seen.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "archive", "offset", "record", "uri")).alias("last"), F.count("*").alias("n")).where("n > 1")
     refers = seen.join(last, ["payload_digest", "payload_bytes"]).where(F.col("record") != F.col("last.record")).select("record", F.col("last.record").alias("to_record"), F.col("last.uri").alias("to_uri"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,23 +253,26 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0)
                     row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                     fields = {"WARC-Record-ID": record_id(row["record"]), "WARC-Date": warc_date(row["date"]), "WARC-Target-URI": row["uri"], "WARC-IP-Address": row["ip"], "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "Content-Type": "application/http; msgtype=response"}
                     content = zlib.decompress(row["member"], 31).split(b"\n", 1)[1][: row["length"]]
-                    if row["to_record"] is None:
+                    if not row["http"]:
+                        data = warc_record("resource", fields | {"Content-Type": row["kind"]}, content)
+                    elif row["to_record"] is None:
                         data = warc_record("response", fields, content)
                     else:
-                        fields |= {"WARC-Refers-To": record_id(row["to_record"]), "WARC-Refers-To-Target-URI": row["to_uri"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                        # the payload is not here, so a field of the record's own says how long it was
+                        fields |= {PAYLOAD_LENGTH: str(row["payload_bytes"]), "WARC-Refers-To": record_id(row["to_record"]), "WARC-Refers-To-Target-URI": row["to_uri"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
                         data = warc_record("revisit", fields, _http(content)[0])
                     yield lambda name, size, data=data: data
 
         about = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
         yield from _packed(records(), lambda name: warc_record("warcinfo", {"WARC-Record-ID": record_id(name), "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Filename": f"{name}.warc.gz", "Content-Type": "application/warc-fields"}, about))
 
-    whole = read_arc(spark, arc, whole=True).join(refers, "record", "left")
+    whole = read_arc(spark, arc, whole=True).select("record", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "length", "member").join(refers, "record", "left")
     _write(whole.transform(map_arrow, run, "archive binary"), path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, page_id, record_type, refers_to_id, payload_bytes, payload_digest) of each response and revisit. A
-    response's length and digest are those of the bytes read, which must equal the declared digest; a revisit's are declared."""
+    """(record_id, page_id, record_type, refers_to_id, payload_bytes, payload_digest) of each response, revisit and resource. Lengths and
+    digests are those of the bytes read, which must equal the declared digest; a revisit's are declared."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +281,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for _, _, data in members(batch.column(1)[i].as_py()):
                     fields, block = parse_warc(data)
-                    if (kind := fields["warc-type"]) not in ("response", "revisit"):
+                    if (kind := fields["warc-type"]) not in ("response", "revisit", "resource"):
                         continue
-                    _, http, payload = _http(block)
+                    _, http, payload = (b"", {}, block) if kind == "resource" else _http(block)
                     declared = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(payload) != declared:
+                    if kind != "revisit" and digest(payload) != declared:
                         raise ValueError(f"{fields['warc-record-id']}: the payload does not have its digest")
-                    size = len(payload) if kind == "response" else int(http["content-length"])
+                    size = int(fields[PAYLOAD_LENGTH.lower()]) if kind == "revisit" else len(payload)
                     rows.append((fields["warc-record-id"], _number(http.get("x-page-id")), kind, fields.get("warc-refers-to"), size, declared))
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
@@ -288,6 +302,7 @@ def pages_through_archives(pages: DataFrame, least_bytes: int = 0, version: int
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages, arc, version)
     convert_arc(spark, arc, warc, least_bytes)
+    delete(spark, arc)  # the WARC files are written
     found = materialise(read_warc(spark, warc), "warc-index")
     targets = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     return found.join(targets, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
