@@ -5,13 +5,14 @@ mostly share a part. A small classifier, a softmax regression, learns the part f
 probable part and sends every query to its most probable parts, as many as the sample's own queries need to find
 RECALL of their neighbours. There the query is compared with all vectors of the part in double precision.
 
-Equal vectors differ in nothing but their ids, so of each group only as many of the smallest ids can be in a result as are asked
+Equal vectors differ in nothing but their ids, so of each group only as many of the smallest different ids can be in a result as are asked
 for and one more: each task keeps no more of them, and so a vector that a third of all rows share is no hot spot. Parts
 of many vectors are searched in blocks. Both prunings are exact.
 
 Defined cases: vectors that are null, empty or zero, that hold null or non-finite numbers or have not the most frequent
 length, and rows with null ids take no part; ties go to the smaller id; with fewer candidates than asked for, all are returned; a table
-without vectors gives no rows; rows with equal ids are separate candidates, but none of them is a neighbour of its own id."""
+without vectors gives no rows. An id is one query and one neighbour, however many rows have it: the query is the smallest of its vectors, the
+neighbour is as near as the nearest of them, and no id is a neighbour of its own. Columns besides the id and the vector are left alone."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import map_arrow, materialise, ship
+from tessera.session import hash_sample, map_arrow, materialise, ship
 
 #: Vectors from which the partitions are learned, at most.
 SAMPLE = 8192
@@ -159,29 +160,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _dealt(model, k: int, dim: int, every: int):
-    """Rows (kind, part, vec_id, vector): kind 0 for candidates, 1 for queries. Of equal vectors the k + 1 smallest ids stay."""
+def _rows(kind: int, part: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(ids), lists], names=["kind", "part", "vec_id", "vector"])
+
+
+def _asked(model):
+    """Rows (1, part, vec_id, vector): each query once for each part to which it goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, list[int]] = {}
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            if len(ids):
+                probed = model.value.probed(vectors)
+                yield _rows(1, probed.ravel(), np.repeat(ids, probed.shape[1]), np.repeat(vectors, probed.shape[1], axis=0))
+
+    return run
+
 
-        def rows(kind: int, part: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(ids), lists], names=["kind", "part", "vec_id", "vector"])
+def _dealt(model, k: int, dim: int):
+    """Rows (0, part, vec_id, vector) of candidates. Of equal vectors the k + 1 smallest different ids stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
             ids = np.array([i for x in kept.values() for i in x], np.int64)
             vectors = np.repeat(np.frombuffer(b"".join(kept), np.float64).reshape(-1, dim), [len(x) for x in kept.values()], axis=0)
-            return rows(0, model.value.own(vectors), ids, vectors)
+            return _rows(0, model.value.own(vectors), ids, vectors)
 
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), np.ascontiguousarray(_matrix(batch.column(1)))
-            asked = np.flatnonzero(ids % every == 0)
-            if len(asked):
-                probed = model.value.probed(vectors[asked])
-                yield rows(1, probed.ravel(), np.repeat(ids[asked], probed.shape[1]), np.repeat(vectors[asked], probed.shape[1], axis=0))
             for i, v in zip(ids.tolist(), vectors + 0.0, strict=True):
                 same = kept.setdefault(v.tobytes(), [])
+                if i in same:
+                    continue
                 if len(same) <= k:
                     same.append(i)
                 elif i < (most := max(same)):
@@ -195,6 +208,13 @@ def _dealt(model, k: int, dim: int, every: int):
     return run
 
 
+def nearest_ids(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest different ids, nearest first, ties to the smaller id; of an id its nearest place."""
+    order = np.lexsort((ids, scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def _searched(k: int):
     """Partitions come sorted by part, block and kind, queries first. Rows (query_id, vec_id, score): the k nearest of each block."""
 
@@ -220,7 +240,11 @@ def _searched(k: int):
                         near = np.flatnonzero(d <= worst + slack)
                     near = near[ci[near] != own]
                     score = np.sqrt(((cv[near] - v) ** 2).sum(1))
-                    order = np.lexsort((ci[near], score))[:k]
+                    order = nearest_ids(ci[near], score, k)
+                    if len(order) < k and len(near) < len(ci):  # rows of few ids are in the way of the others
+                        near = np.flatnonzero(ci != own)
+                        score = np.sqrt(((cv[near] - v) ** 2).sum(1))
+                        order = nearest_ids(ci[near], score, k)
                     out.append((np.full(len(order), own), ci[near][order], score[order]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -251,10 +275,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 50, id_col:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = length["n"]
     usable = usable.where(F.size("vector") == dim)
-    # the bounded sample is of different vectors, the smallest by a hash of the vector
-    sample = usable.groupBy(F.xxhash64("vector").alias("h")).agg(F.first("vector").alias("vector")).orderBy("h").limit(sample_size).select("vector").collect()
-    model = spark.sparkContext.broadcast(fit_partitions(np.array([r[0] for r in sample])))
-    dealt = materialise(usable.transform(map_arrow, _dealt(model, k, dim, every), "kind int, part int, vec_id long, vector array<double>"), "dealt")
+    # the bounded sample is of different vectors, those with the smallest hashes
+    kinds = usable.select(F.xxhash64("vector").alias("h"), "vector")
+    kinds = kinds.groupBy("h").agg(F.first("vector").alias("vector"))
+    different = {r["h"]: r["vector"] for r in hash_sample(kinds, "h", sample_size).collect()}
+    model = spark.sparkContext.broadcast(fit_partitions(np.array([different[h] for h in sorted(different)])))
+    queries = usable.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    shape = "kind int, part int, vec_id long, vector array<double>"
+    dealt = materialise(usable.transform(map_arrow, _dealt(model, k, dim), shape).unionByName(queries.transform(map_arrow, _asked(model), shape)), "dealt")
     # a row for each part
     sizes = dealt.where("kind = 0").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = dealt.join(F.broadcast(sizes), "part")
@@ -262,6 +290,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 50, id_col:
     rows = rows.withColumn("block", F.explode(block)).select("part", "block", "kind", "vec_id", "vector")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(n, "part", "block").sortWithinPartitions("part", "block", F.desc("kind")).transform(map_arrow, _searched(k), "query_id long, vec_id long, score double")
-    # a query has k rows from each block that it visited
+    # a query has k rows from each block that it visited; an id may be in several
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
