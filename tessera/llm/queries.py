@@ -40,6 +40,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_archives(table(spark, sf_dir, "pages"), least_bytes=0, version=2)
 
 
+# base32 of a SHA-1: its 160 bits by five, each a letter of A-Z2-7
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+         array_to_string(list_transform(range(0, 40, 5), lambda i: array_to_string(list_transform(range(4), lambda k:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(html), i + 1, 5) AS BIGINT) >> (15 - 5 * k)) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
@@ -117,15 +130,59 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def quoting_replies(messages: DataFrame) -> DataFrame:
+    """The messages as mails have them: two of three, by conversation and turn, first quote the last line of the message before and, one level deeper, the
+    first line of the message before that. Of repeated turns the smallest text is quoted."""
+    said = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    lines = F.split("said", r"\r\n|\n|\r")
+    one = said.select(F.col("conv_id").alias("conv1"), (F.col("turn") + 1).alias("turn1"), F.element_at(lines, -1).alias("last"))
+    two = said.select(F.col("conv_id").alias("conv2"), (F.col("turn") + 2).alias("turn2"), F.element_at(lines, 1).alias("first"))
+    rows = messages.join(one, (F.col("conv_id") == F.col("conv1")) & (F.col("turn") == F.col("turn1")), "left")
+    rows = rows.join(two, (F.col("conv_id") == F.col("conv2")) & (F.col("turn") == F.col("turn2")), "left")
+    quote = lambda marks, line: F.coalesce(F.concat(F.lit(marks), F.col(line), F.lit("\n")), F.lit(""))
+    quoting = F.concat(quote("> > ", "first"), quote("> ", "last"), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", "role", F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, quoting).otherwise(F.col("text")).alias("text"))
+
+
 def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reply_ordered(table(spark, sf_dir, "conversations"))
+    found = reply_ordered(quoting_replies(table(spark, sf_dir, "conversations")))
     return found.select("conv_id", "turn", "role", "content", "reply_to", "thread", "depth", F.array_join("sources", ",").alias("sources"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, string_split_regex(min(text), '\r\n|\n|\r') AS l FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+m AS (
+  SELECT c.conv_id, c.turn, c.role, string_split_regex(CASE WHEN (c.conv_id + c.turn) % 3 <> 0
+           THEN concat(coalesce('> > ' || p2.l[1] || chr(10), ''), coalesce('> ' || p1.l[-1] || chr(10), ''), c.text) ELSE coalesce(c.text, '') END, '\r\n|\n|\r') AS l
+  FROM conversations c LEFT JOIN t p1 ON p1.conv_id = c.conv_id AND p1.turn = c.turn - 1 LEFT JOIN t p2 ON p2.conv_id = c.conv_id AND p2.turn = c.turn - 2),
+own AS (
+  SELECT conv_id, turn, role, l, regexp_replace(regexp_replace(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)), '^(?:[ \t]*\n)+', ''), '(?:\n[ \t]*)+$', '') AS content FROM m),
+lines AS (SELECT DISTINCT conv_id, turn, md5(array_to_string(l, chr(10))) AS message, unnest(l) AS x, unnest(range(len(l))) AS line FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+quoted AS (
+  SELECT conv_id, turn, message, line, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS depth, regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '') AS said
+  FROM lines WHERE regexp_matches(x, '^(?:[ \t]*>)+')),
+passages AS (
+  SELECT conv_id, turn, depth, trim(regexp_replace(lower(string_agg(said, chr(10) ORDER BY line)), '[^\p{L}\p{N}]+', ' ', 'g')) AS key
+  FROM (SELECT *, line - row_number() OVER (PARTITION BY conv_id, turn, message, depth ORDER BY line) AS run FROM quoted) GROUP BY conv_id, turn, message, depth, run),
+parts AS (
+  SELECT conv_id, turn, unnest(list_concat([content], string_split_regex(content, '\n[ \t]*\n'), string_split_regex(content, '\r\n|\n|\r'))) AS part FROM own WHERE content <> ''),
+first AS (SELECT conv_id, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS key, min(turn) AS source FROM parts GROUP BY ALL),
+links AS (SELECT p.conv_id, p.turn, p.depth, f.source FROM passages p JOIN first f ON f.conv_id = p.conv_id AND f.key = p.key WHERE p.key <> '' AND f.source < p.turn),
+replies AS (
+  SELECT conv_id, turn, arg_max(source, -depth * 1000000000 + source) AS reply_to, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM links GROUP BY conv_id, turn),
+up(conv_id, turn, above, depth) AS (
+  SELECT conv_id, turn, reply_to, 1 FROM replies UNION ALL SELECT u.conv_id, u.turn, r.reply_to, u.depth + 1 FROM up u JOIN replies r ON r.conv_id = u.conv_id AND r.turn = u.above),
+threads AS (SELECT conv_id, turn, arg_max(above, depth) AS thread, max(depth) AS depth FROM up GROUP BY conv_id, turn)
+SELECT o.conv_id, o.turn, o.role, o.content, r.reply_to, coalesce(h.thread, o.turn) AS thread, CAST(coalesce(h.depth, 0) AS INTEGER) AS depth, coalesce(r.sources, '') AS sources
+FROM own o LEFT JOIN replies r ON r.conv_id = o.conv_id AND r.turn = o.turn LEFT JOIN threads h ON h.conv_id = o.conv_id AND h.turn = o.turn
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL}
