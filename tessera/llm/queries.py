@@ -1,4 +1,4 @@
-"""The ten operators over the whole tables, with the columns that their contracts name."""
+"""The operators over the whole tables, with the columns that their contracts name."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.archives import pages_through_archives
 from tessera.llm.decontaminate import contaminated, find_contamination
+from tessera.llm.lines import without_common_lines
 from tessera.llm.mixture import with_copies
 from tessera.llm.neighbours import nearest_neighbours
 from tessera.llm.ngram_join import ngram_jaccard_components
@@ -179,10 +180,28 @@ FROM own o LEFT JOIN replies r ON r.conv_id = o.conv_id AND r.turn = o.turn LEFT
 """
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_common_lines(table(spark, sf_dir, "documents"), least_documents=3, least_chars=20)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS place FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+many AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT r) >= 3),
+j AS (SELECT k.*, coalesce(k.doc_id <> many.last, false) AS gone FROM k LEFT JOIN many ON k.key = many.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes)
+    own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes, op11_line_dedup)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL, "op11_line_dedup": OP11_SQL}
