@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.archives import pages_through_archives
+from tessera.llm.codes import books_digest, vector_codes, with_label_error
 from tessera.llm.decontaminate import contaminated, find_contamination
 from tessera.llm.lines import without_common_lines
 from tessera.llm.mixture import with_copies
@@ -198,10 +199,36 @@ FROM j GROUP BY r
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """The rounds one after the other; floors of negative quotients by a remainder that is never negative."""
+    nearest = """d{r} AS (SELECT v.r, v.p, b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))::BIGINT AS d FROM v JOIN b{r} b ON v.p = b.p),
+a{r} AS MATERIALIZED (SELECT r, p, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM d{r} GROUP BY r, p)"""
+    step = """s{r} AS (SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS c FROM (SELECT a.p, a.e, unnest(v.x) AS x, unnest(range(1, len(v.x) + 1)) AS i FROM a{r} a JOIN v ON v.r = a.r AND v.p = a.p) GROUP BY p, e, i),
+m{r} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS x FROM s{r} GROUP BY p, e),
+b{q} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)"""
+    first = """WITH u AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, vec_id, label, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM u, (SELECT unnest(range(8)) AS p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM v WHERE r <= 16)"""
+    last = """e AS (SELECT r, string_agg(lpad(hex(e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{r} GROUP BY r),
+k AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{r})
+SELECT u.vec_id, lower(e.code) AS code, e.error, (sum(e.error) OVER (PARTITION BY u.label))::BIGINT AS label_error, k.h AS codebooks_sha256 FROM e JOIN u ON u.r = e.r, k"""
+    parts = [first]
+    for r in range(rounds):
+        parts += [nearest.format(r=r), step.format(r=r, q=r + 1)]
+    return ",\n".join([*parts, nearest.format(r=rounds), last.format(r=rounds)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes, op11_line_dedup)
+    own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes, op11_line_dedup, op12_vector_codes)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL, "op11_line_dedup": OP11_SQL}
+    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql()}
