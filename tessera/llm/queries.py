@@ -14,6 +14,7 @@ from tessera.llm.lines import without_common_lines
 from tessera.llm.mixture import with_copies
 from tessera.llm.neighbours import nearest_neighbours
 from tessera.llm.ngram_join import ngram_jaccard_components
+from tessera.llm.phrases import collocations
 from tessera.llm.quotes import reply_ordered
 from tessera.llm.substrings import without_repeats
 from tessera.llm.tokens import documents_through_files
@@ -225,10 +226,36 @@ SELECT u.vec_id, lower(e.code) AS code, e.error, (sum(e.error) OVER (PARTITION B
     return ",\n".join([*parts, nearest.format(r=rounds), last.format(r=rounds)])
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=5, least=100, share=100, best=2000)
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+k AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM w),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM k),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f),
+cuts AS (SELECT lang, phrase, w, a, unnest(range(1, k)) AS k FROM s WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, n.n, 1000 * c.a * n.n // (l.a * r.a) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 :], ' ') JOIN n ON n.lang = c.lang),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, a, w, unnest(range(2, k)) AS size FROM s WHERE k > 2),
+within AS (SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS a FROM (SELECT lang, a, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM longer) GROUP BY ALL),
+free AS (SELECT c.* FROM lowest c LEFT JOIN within i ON i.lang = c.lang AND i.phrase = c.phrase WHERE i.a IS NULL OR 100 * i.a < 100 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM free QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes, op11_line_dedup, op12_vector_codes)
+    own = (op1_ngram_jaccard_join, op2_warc, op3_decontamination, op4_toxicity, op5_url_filters, op6_source_mix, op7_substring_dedup, op8_token_files, op9_nearest_neighbours, op10_chat_quotes, op11_line_dedup, op12_vector_codes, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql()}
+    return {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_chat_quotes": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_collocations": OP13_SQL}
