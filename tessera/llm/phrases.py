@@ -3,7 +3,7 @@
 The n-grams of a corpus are too many to be counted exactly, and only those that occur often are wanted. So level by level, from single words to the longest phrases, a count-min sketch is made first:
 each task adds its n-grams to a few rows of cells, sketches are merged by adding cells, and a cell never holds less than any of its n-grams. An n-gram is a survivor if all its cells
 reach the least frequency and both its shorter n-grams survive, so no frequent one is lost; of a sketch just a bit for each cell is sent to all tasks. A last pass
-counts the survivors of all levels exactly, summed up in each chunk of text before they are shuffled. What the sketch overestimates falls out there. The exact counts of words and shorter phrases that scores
+counts the survivors of all levels exactly, summed up in each chunk of text before they are shuffled, packed by buckets of their hash. What the sketch overestimates falls out there. The exact counts of words and shorter phrases that scores
 need are among them, as parts of a frequent phrase are frequent.
 
 Sketches have CELLS cells in each of ROWS rows whatever the size of the table, so they take a bounded share of a task's memory. The more text there is, the more survivors are counted in the last pass for
@@ -16,14 +16,17 @@ columns besides text and language are left alone."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tessera.llm.wordhash import byte_slices, find_words, mix
 from tessera.session import map_arrow, materialise, ship
@@ -34,6 +37,8 @@ ROWS, CELLS = 2, 1 << 22
 CHUNK_BYTES = 4 << 20
 #: Cells that travel together.
 BLOCK = 1 << 16
+#: Buckets of survivors for each shuffle partition.
+BUCKETS = 4
 #: Tasks that each find the best phrases of a language before one merges them.
 DEALT = 16
 
@@ -42,81 +47,67 @@ _ENDS = np.arange(256, dtype=np.uint8)
 _ENDS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 0x0A
 
 
-class Level:
-    """The n-grams of one length of a chunk: ``at``, the word at which each begins; ``code``, a number for each, the same for equal n-grams; for each code the word at which it first begins
-    (``first``), how often it occurs (``n``), and a hash of its words and language."""
-
-    def __init__(self, at: np.ndarray, code: np.ndarray, hashes: np.ndarray):
-        self.at = at
-        _, first, self.code, self.n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        self.first, self.hashes = at[first], hashes[first]
-
-    def kept(self, keep: np.ndarray, words: int) -> np.ndarray:
-        """The code at each word, -1 where no n-gram of a kept code begins."""
-        out = np.full(words + 1, -1)
-        codes = np.where(keep, np.arange(len(keep)), -1)
-        out[self.at] = codes[self.code]
-        return out
-
-
 class Chunk:
-    """Words of some texts; ``langs`` has a number for each text."""
+    """Words of some texts; ``langs`` has a number for each text and ``marks`` a hash for each number."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, marks: np.ndarray):
         self.words = find_words(_ENDS[data], offsets, slice(0, len(langs)), lower=True)
-        start = self.words.start
-        breaks = np.cumsum(self.words.data == 0x0A)
         counts = np.diff(self.words.first)
-        self.counts = counts
         self.lang = np.repeat(langs, counts)
+        self.marks = marks
         # a number for each piece, the same nowhere else
-        self.piece = np.repeat(np.arange(len(langs)), counts) + (breaks[start] if len(start) else breaks[:0])
+        breaks = np.cumsum(self.words.data == 0x0A, dtype=np.int32)
+        self.piece = np.repeat(np.arange(len(langs), dtype=np.int32), counts) + breaks[self.words.start]
 
     def __len__(self) -> int:
         return len(self.words.start)
 
-    def levels(self, longest: int, keep, lang_hashes: np.ndarray) -> Iterator[Level]:
-        """The n-grams of 1 to ``longest`` words of which both shorter ones are kept. keep: from a length and a level to the codes that are."""
-        whole, offset = self.words.joined()
-        texts = pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(whole)) if len(self) else pa.array([], pa.large_string())
-        names = pc.dictionary_encode(texts)
-        number = (names.indices if isinstance(names, pa.DictionaryArray) else pa.array([], pa.int64())).to_numpy(zero_copy_only=False).astype(np.int64)
+    def levels(self, longest: int, survive) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length the words at which n-grams begin both of whose shorter ones survive, a hash of each with its language, and which of them survive. survive: from a length and hashes to a mask."""
         own = self.words.hashes()
-        level = Level(np.arange(len(self)), number * len(lang_hashes) + self.lang, mix(own + mix(lang_hashes[self.lang])))
-        before = self._next(level, keep(1, level))
-        yield level
-        for n in range(2, longest + 1):
-            at = np.flatnonzero((before[:-1] >= 0) & (before[1:] >= 0))
-            at = at[at + n <= len(self)]
-            at = at[self.piece[at] == self.piece[at + n - 1]]
-            hashes_at = np.zeros(len(self), np.uint64)
-            hashes_at[level.at] = level.hashes[level.code]
-            hashes = mix(hashes_at[at] * np.uint64(0x9E3779B97F4A7C15) + own[at + n - 1])
-            level = Level(at, before[at] * (int(number.max(initial=0)) + 1) + number[at + n - 1], hashes)
-            before = self._next(level, keep(n, level))
-            yield level
-
-    def _next(self, level: Level, keep: np.ndarray) -> np.ndarray:
-        return level.kept(keep, len(self))
-
-    def phrases(self, level: Level, codes: np.ndarray, n: int) -> pa.Array:
-        """The words of some codes, joined by single blanks."""
+        at, hashes = np.arange(len(own)), mix(own + mix(self.marks)[self.lang])
+        alive, every = np.zeros(len(own), bool), np.zeros(len(own), np.uint64)  # of the n-grams one word shorter, by the word at which they begin
+        for n in range(1, longest + 1):
+            if n > 1:
+                at = np.flatnonzero(alive[:-1] & alive[1:])
+                at = at[at + n <= len(own)]
+                at = at[self.piece[at] == self.piece[at + n - 1]]
+                hashes = mix(every[at] * np.uint64(0x9E3779B97F4A7C15) + own[at + n - 1])
+            kept = survive(n, hashes)
+            yield at, hashes, kept
+            alive[:] = False
+            alive[at[kept]], every[at] = True, hashes
+
+    def counted(self, longest: int, survive) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """For each length the languages, hashes, numbers and words of the different survivors."""
         whole, offset = self.words.joined()
-        low, high = offset[level.first[codes]], offset[level.first[codes] + n] - 1
-        return pa.array([whole[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()).cast(pa.string())
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str], np.ndarray]]:
-    """(chunk, its languages, a hash of each) from rows (lang, text)."""
-    from xxhash import xxh3_64_intdigest
-
-    def chunk_of(parts: list[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str], np.ndarray]]:
+        texts = pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(whole)) if len(self) else pa.array([], pa.large_string())
+        word = pc.dictionary_encode(texts).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        different = int(word.max(initial=0)) + 1
+        codes = self.lang.astype(np.int64)
+        for n, (at, hashes, kept) in enumerate(self.levels(longest, survive), 1):
+            at, hashes = at[kept], hashes[kept]
+            # equal words before the last one, and equal last words
+            code, names = pd.factorize(codes[at] * different + word[at + n - 1])
+            first = np.zeros(len(names), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            codes = np.zeros(len(self), np.int64)
+            codes[at] = code
+            low = at[first]
+            ends = zip(offset[low].tolist(), (offset[low + n] - 1).tolist(), strict=True)
+            yield self.lang[low], hashes[first], np.bincount(code, minlength=len(names)), [whole[a:b] for a, b in ends]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str]]]:
+    """(chunk, its languages) from rows (lang, text)."""
+
+    def chunk_of(parts: list[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str]]]:
         table = pa.Table.from_batches(parts).combine_chunks()
         names = table.column(0).combine_chunks().dictionary_encode()
         langs, numbers = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         marks = np.array([xxh3_64_intdigest(x) for x in langs], np.uint64)
         for rows, data, offsets in byte_slices(table.column(1).combine_chunks(), CHUNK_BYTES):
-            yield Chunk(data, offsets, numbers[rows]), langs, marks
+            yield Chunk(data, offsets, numbers[rows], marks), langs
 
     held, size = [], 0
     for batch in batches:
@@ -135,25 +126,27 @@ def _cells(hashes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
         yield (mix(hashes + np.uint64(row * 0x632BE59BD9B4E019 % (1 << 64))) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _survive(bits: list[np.ndarray], level: Level, cells: int) -> np.ndarray:
-    """Codes all of whose cells reach the least frequency."""
-    keep = np.ones(len(level.n), bool)
-    for row, at in zip(bits, _cells(level.hashes, cells), strict=True):
-        keep &= row[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-    return keep
+def _surviving(known: list[list[np.ndarray]], cells: int):
+    """A function of a length and hashes: whether all cells of each reach the least frequency. All of a length that has no sketch yet do."""
+
+    def survive(n: int, hashes: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(hashes), bool)
+        for row, at in zip(known[n - 1], _cells(hashes, cells), strict=True) if n <= len(known) else ():
+            keep &= row[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        return keep
+
+    return survive
 
 
 def _sketched(n: int, bits, cells: int):
     """Rows (block, cells, counts) of this task's sketch of n-grams of n words whose shorter ones survive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
         total = np.zeros((ROWS, cells), np.int64)
-        for chunk, _, marks in _chunks(batches):
-            keep = lambda k, level: _survive(known[k - 1], level, cells) if k < n else np.zeros(len(level.n), bool)
-            *_, last = chunk.levels(n, keep, marks)
-            for row, at in zip(total, _cells(last.hashes, cells), strict=True):
-                np.add.at(row, at, last.n)
+        for chunk, _ in _chunks(batches):
+            *_, (_, hashes, _) = chunk.levels(n, _surviving(bits.value, cells))
+            for row, at in zip(total, _cells(hashes, cells), strict=True):
+                np.add.at(row, at, 1)
         pack = zstandard.ZstdCompressor(level=1).compress
         for block, counts in enumerate(total.reshape(-1, BLOCK)):
             used = np.flatnonzero(counts)
@@ -201,27 +194,54 @@ def surviving_cells(texts: DataFrame, longest: int, least: int, cells: int) -> l
     return known
 
 
-def _exact(longest: int, bits, cells: int):
-    """Rows (lang, words, phrase, n): the survivors of a chunk, and with no words the number of words of each language."""
+def _exact(longest: int, bits, cells: int, buckets: int):
+    """Rows (bucket, langs, phrases, counts), packed, of the survivors of a chunk; the empty phrase stands for all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "words", "phrase", "n"]
-        for chunk, langs, marks in _chunks(batches):
-            kept = []
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for chunk, langs in _chunks(batches):
+            have = np.unique(chunk.lang)
+            found = [(have, chunk.marks[have], np.bincount(chunk.lang)[have], [b""] * len(have)), *chunk.counted(longest, _surviving(bits.value, cells))]
+            lang, hashes, counts = (np.concatenate([x[k] for x in found]) for k in range(3))
+            phrases = [p for x in found for p in x[3]]
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = order[cuts[k] : cuts[k + 1]]
+                rows.append((k, "\n".join([langs[x] for x in lang[mine].tolist()]).encode(), b"\n".join([phrases[i] for i in mine.tolist()]), counts[mine].astype(np.int64).tobytes()))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array([pack(x) for x in c], pa.binary()) for c in columns[1:])], names=["bucket", "langs", "phrases", "counts"])
 
-            def keep(k: int, level: Level) -> np.ndarray:
-                kept.append(_survive(bits.value[k - 1], level, cells))
-                return kept[-1]
+    return run
 
-            have = np.unique(chunk.lang)
-            totals = np.bincount(chunk.lang, minlength=len(langs))
-            yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in have], pa.string()), pa.array(np.zeros(len(have), np.int32)), pa.array([""] * len(have), pa.string()), pa.array(totals[have].astype(np.int64))], names=names)
-            for k, level in enumerate(chunk.levels(longest, keep, marks), 1):
-                codes = np.flatnonzero(kept[-1])
-                for a in range(0, len(codes), 1 << 14):
-                    some = codes[a : a + (1 << 14)]
-                    lang = pa.array(langs, pa.string()).take(pa.array(chunk.lang[level.first[some]]))
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(some), k, np.int32)), chunk.phrases(level, some, k), pa.array(level.n[some].astype(np.int64))], names=names)
+
+def _added(least: int):
+    """Partitions come sorted by bucket. Rows (lang, words, phrase, n) of phrases that occur ``least`` times, and of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        bucket: int | None = None
+        total: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            kept = [(lang, phrase.count(" ") + 1 if phrase else 0, phrase, n) for (lang, phrase), n in total.items() if n >= least or not phrase]
+            columns = list(zip(*kept, strict=True)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "words", "phrase", "n"])
+
+        for batch in batches:
+            for own, *packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if own != bucket:
+                    if total:
+                        yield flush()
+                    bucket, total = own, Counter()
+                langs, phrases, counts = (unpack(x) for x in packed)
+                for key, n in zip(zip(langs.decode().split("\n"), phrases.decode().split("\n"), strict=True), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    total[key] += n
+        if total:
+            yield flush()
 
     return run
 
@@ -232,8 +252,9 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text_c
     ship(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bits = spark.sparkContext.broadcast(surviving_cells(texts, longest, least, cells))
-    counted = texts.transform(map_arrow, _exact(longest, bits, cells), "lang string, words int, phrase string, n long")
-    return materialise(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.transform(map_arrow, _exact(longest, bits, cells, parts * BUCKETS), "bucket int, langs binary, phrases binary, counts binary")
+    return materialise(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").transform(map_arrow, _added(least), "lang string, words int, phrase string, n long"), "phrases")
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, best: int = 2000, text_col: str = "text", lang_col: str = "lang", cells: int = CELLS) -> DataFrame:
