@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import format_amount, valid_date
-from tessera.functions.text import category_slug, normalised, normalised_for_copies, similarity_udf, strip, tokens
+from tessera.functions.text import category_slug, normalised, normalised_for_copies, strip, tokens
+from tessera.operators.similar import near_texts
 from tessera.operators.stats import numbered
-from tessera.session import fresh, materialise, ship
+from tessera.session import fresh, materialise
 
 ACTIVITIES = ["GENERATION", "COMPLETION", "NORMALIZATION"]
 CURRENCIES = ["EUR", "USD", "GBP"]
@@ -101,32 +100,9 @@ def exact_copies(rows: DataFrame, id_col: str, content: list[str], seq: str) ->
     return keyed.join(first, "_key").where("_seq > first._seq").select(F.col(id_col), F.col("first.id").alias("first_id"))
 
 
-# the characters that are counted one by one; all others count together
-_COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 <>"
-
-
-def character_counts(text: Column) -> Column:
-    """How often a text has each counted character, and how many others. Sums of the smaller counts bound from above what two texts have in common."""
-    each = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in _COUNTED]
-    return F.array(*each, F.length(F.translate(text, _COUNTED, "")))
-
-
 def near_copies(rows: DataFrame, id_col: str, block: list[str], text: str, threshold: float = 0.93) -> DataFrame:
-    """(id_a, id_b, similarity) of texts in one block, a before b, whose ratio reaches the threshold. A block is dealt by lengths, so that only texts meet whose lengths allow
-    it, and the ratio, which is computed in Python, is asked only for pairs whose counts of characters allow it, too. Neither loses a pair."""
-    ship(rows.sparkSession)  # the ratio is computed in Python workers
-    text = normalised_for_copies(F.col(text))
-    own = rows.select(*block, F.col(id_col).alias("id"), text.alias("s")).where("s != ''").withColumn("n", F.length("s"))
-    # lengths of a pair differ by this factor at most, so by one bucket of lengths
-    factor = (2 - threshold) / threshold
-    own = own.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(factor) + 1e-9)).cast("int")).withColumn("c", character_counts(F.col("s")))
-    a, b = (own.select(*block, "bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "n", "c"))) for x in ("a", "b"))
-    near = b.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    pairs = a.join(near, [*block, "bucket"]).where((F.col("id_a") < F.col("id_b")) & (2 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
-    common = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = pairs.where(2 * common >= threshold * (F.col("n_a") + F.col("n_b")))
-    found = pairs.select("id_a", "id_b", similarity_udf("s_a", "s_b").alias("similarity")).where(F.col("similarity") >= threshold)
-    return found.select("id_a", "id_b", F.round("similarity", 4).alias("similarity"))
+    """(id_a, id_b, similarity) of texts in one block, a before b, whose ratio reaches the threshold when they are normalised."""
+    return near_texts(rows, id_col, block, normalised_for_copies(F.col(text)), threshold)
 
 
 def stratified_split(rows: DataFrame, id_col: str, strata: list[str], seed: str = "42", train: float = 0.8, validation: float = 0.1) -> DataFrame:

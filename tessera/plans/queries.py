@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numbers as N
 from tessera.functions import text as T
 from tessera.operators import records as R
+from tessera.operators import similar as M
 from tessera.operators import stats as S
 from tessera.sources.readers import metric_lines
 
@@ -277,7 +278,54 @@ def metric_log_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("prompt_tokens").cast("long").alias("prompt_tokens"), "generated_tokens", "total_ms", "eog")
 
 
-@query()
+def _blocks_sql(pairs: str) -> str:
+    """``pairs`` (x, y) with m, the letters in the matching blocks of x and y: the longest block that both have, the first in x and then in y, and the same before and after it. For texts of less than 200 letters."""
+    longest = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j:
+      struct_pack(k := len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: x[i + 1 : i + n] = y[j + 1 : j + n])), i := -i, j := -j)))))"""
+    return f"""parts(x, y, alo, ahi, blo, bhi, k) AS (
+  SELECT x, y, 0::BIGINT, length(x), 0::BIGINT, length(y), 0::BIGINT FROM {pairs}
+  UNION ALL
+  SELECT x, y, CASE side WHEN 0 THEN alo WHEN 1 THEN i + k ELSE 0 END, CASE side WHEN 0 THEN i WHEN 1 THEN ahi ELSE 0 END, CASE side WHEN 0 THEN blo WHEN 1 THEN j + k ELSE 0 END, CASE side WHEN 0 THEN j WHEN 1 THEN bhi ELSE 0 END, CASE side WHEN 2 THEN k ELSE 0 END
+  FROM (SELECT x, y, alo, ahi, blo, bhi, b.k AS k, -b.i AS i, -b.j AS j FROM (SELECT *, {longest} AS b FROM parts WHERE alo < ahi AND blo < bhi) WHERE b.k > 0), (SELECT unnest([0, 1, 2]) AS side)),
+matched AS (SELECT x, y, sum(k) AS m FROM parts GROUP BY x, y)"""
+
+
+@query(f"""WITH RECURSIVE named AS (SELECT p_partkey AS id, p_brand, p_type, trim(regexp_replace(regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM part),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, a.s AS x, b.s AS y FROM named a JOIN named b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id WHERE a.s <> '' AND b.s <> '' AND 2.0 * least(length(a.s), length(b.s)) >= 0.93 * (length(a.s) + length(b.s))),
+asked AS (SELECT DISTINCT x, y FROM pairs), {_blocks_sql('asked')}
+SELECT id_a, id_b, CAST(format('{{:.4f}}', 2.0 * m / (length(x) + length(y))) AS DOUBLE) AS similarity FROM pairs JOIN matched USING (x, y) WHERE 2.0 * m / (length(x) + length(y)) >= 0.93""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole product descriptions of a brand and type whose names are alike."""
     return R.near_copies(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"], "p_name")
+
+
+def edited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, role, text): all turns, and of two in three a copy with an edit: without what follows its last blank, or with its first word twice."""
+    own = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    edit = F.when(F.col("id") % 3 == 0, F.regexp_replace("text", r" [^ ]*\z", "")).when(F.col("id") % 3 == 1, F.concat(F.regexp_extract("text", "^[^ ]*", 0), F.lit(" "), F.col("text")))
+    return own.unionByName(own.select((F.col("id") + 1_000_000_000).alias("id"), "role", edit.alias("text")))
+
+
+_EDITED = """own AS (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+edited AS (SELECT * FROM own UNION ALL SELECT id + 1000000000, role, CASE id % 3 WHEN 0 THEN regexp_replace(text, ' [^ ]*\\z', '') WHEN 1 THEN regexp_extract(text, '^[^ ]*') || ' ' || text END FROM own)"""
+
+
+@query()
+def near_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a role whose letters are nearly the same. Texts of 200 letters and more leave out letters that are frequent in them, for which SQL has no short words: tested by difflib itself."""
+    return R.near_copies(edited_turns(spark, sf_dir), "id", ["role"], "text")
+
+
+@query(f"""WITH {_EDITED}, sets AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS w, id FROM edited),
+kinds AS (SELECT w, min(id) AS id, count(DISTINCT id) AS copies FROM sets WHERE len(w) > 0 GROUP BY w), t AS (SELECT id, unnest(w) AS t FROM kinds),
+common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+found AS (SELECT id_a, id_b, a.copies AS copies_a, b.copies AS copies_b, k / (len(a.w) + len(b.w) - k) AS jaccard FROM common JOIN kinds a ON a.id = id_a JOIN kinds b ON b.id = id_b)
+SELECT id_a, id_b, copies_a, copies_b, round(jaccard, 6) AS jaccard FROM found WHERE jaccard >= 0.94""")
+def alike_word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.alike_word_sets(edited_turns(spark, sf_dir), "id", "text").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query()
+def reworded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with nearly the same words and nearly the same letters. Tested by difflib itself, as ``near_turns``."""
+    return M.reworded_texts(edited_turns(spark, sf_dir), "id", "text")
