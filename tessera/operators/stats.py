@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import pct_change
 from tessera.functions.text import ngrams, tokens
+from tessera.operators.quantiles import with_quantiles
 from tessera.session import materialise
 
 
-def describe(c: str) -> list[Column]:
-    """mean, median, p95, min, max and sample deviation (0 of a single value), six decimals."""
-    own = F.col(c)
-    found = {"mean": F.avg(own), "median": F.median(own), "p95": F.percentile(own, 0.95), "min": F.min(own), "max": F.max(own), "std_dev": F.coalesce(F.stddev_samp(own), F.lit(0.0))}
-    return [F.round(v, 6).alias(f"{c}_{k}") for k, v in found.items()]
+def described(rows: DataFrame, by: list[str], measures: list[str], *first: Column) -> DataFrame:
+    """(by, first, runs, and of each measure mean, median, p95, min, max and sample deviation, 0 of a single value), six decimals. The quantiles are exact, whatever a group's size."""
+    sums = {"mean": F.avg, "min": F.min, "max": F.max, "std_dev": lambda m: F.coalesce(F.stddev_samp(m), F.lit(0.0))}
+    found = rows.groupBy(*by).agg(*first, F.count("*").alias("runs"), *(f(m).alias(f"{m}_{name}") for m in measures for name, f in sums.items()))
+    found = with_quantiles(found, rows, by, measures, [0.5, 0.95])
+    out = [F.round(F.col(f"_q_{m}")[0 if k == "median" else 1] if k in ("median", "p95") else F.col(f"{m}_{k}"), 6).alias(f"{m}_{k}") for m in measures for k in ("mean", "median", "p95", "min", "max", "std_dev")]
+    return found.select(*found.columns[: len(by) + len(first) + 1], *out)
 
 
 def describe_by(rows: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("runs"), *(x for m in measures for x in describe(m)))
+    return described(rows, [key], measures)
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -84,15 +87,24 @@ def series_summary(rows: DataFrame, seq: str, value: str, status: str, by: str)
 
 def cold_warm(rows: DataFrame, condition: str, value: str) -> DataFrame:
     """The first value when cold, statistics when warm, and the saving in per cent."""
-    cold, warm = (F.when(F.col(condition) == x, F.col(value)) for x in ("cold", "warm"))
-    found = rows.agg(F.max(cold).alias("cold"), F.avg(warm).alias("warm_mean"), F.median(warm).alias("warm_median"), F.min(warm).alias("warm_min"), F.max(warm).alias("warm_max"))
-    return found.withColumn("saving_pct", 100 * (F.col("cold") - F.col("warm_mean")) / F.col("cold"))
+    own = rows.select(*(F.when(F.col(condition) == x, F.col(value)).alias(x) for x in ("cold", "warm")))
+    found = own.agg(F.max("cold").alias("cold"), F.avg("warm").alias("warm_mean"), F.min("warm").alias("warm_min"), F.max("warm").alias("warm_max"))
+    found = with_quantiles(found, own, [], ["warm"], [0.5])
+    return found.select("cold", "warm_mean", F.col("_q_warm")[0].alias("warm_median"), "warm_min", "warm_max", (100 * (F.col("cold") - F.col("warm_mean")) / F.col("cold")).alias("saving_pct"))
 
 
 def amount_profile(rows: DataFrame, amount: str, by: str) -> DataFrame:
-    q = F.percentile(amount, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    found = rows.groupBy(by).agg(F.count(amount).alias("n"), F.round(F.min(amount), 2).alias("min_amount"), F.round(F.max(amount), 2).alias("max_amount"), F.round(F.avg(amount), 4).alias("avg_amount"), q.alias("q"))
-    return found.select(by, "n", "min_amount", "max_amount", "avg_amount", *(F.round(F.col("q")[k], 4).alias(name) for k, name in enumerate(("p10", "median_amount", "p90"))))
+    found = rows.groupBy(by).agg(F.count(amount).alias("n"), F.round(F.min(amount), 2).alias("min_amount"), F.round(F.max(amount), 2).alias("max_amount"), F.round(F.avg(amount), 4).alias("avg_amount"))
+    found = with_quantiles(found, rows, [by], [amount], [0.1, 0.5, 0.9])
+    return found.select(by, "n", "min_amount", "max_amount", "avg_amount", *(F.round(F.col(f"_q_{amount}")[k], 4).alias(name) for k, name in enumerate(("p10", "median_amount", "p90"))))
+
+
+def word_lengths(rows: DataFrame, text: str, by: str) -> DataFrame:
+    """(by, n, min_words, max_words, mean_words, median_words): lengths of texts in words; six decimals."""
+    own = rows.select(by, F.size(tokens(F.col(text))).alias("k"))
+    found = own.groupBy(by).agg(F.count("*").alias("n"), F.min("k").alias("min_words"), F.max("k").alias("max_words"), F.round(F.avg("k"), 6).alias("mean_words"))
+    found = with_quantiles(found, own, [by], ["k"], [0.5])
+    return found.select(by, "n", "min_words", "max_words", "mean_words", F.round(F.col("_q_k")[0], 6).alias("median_words"))
 
 
 def best_checkpoint(log: DataFrame) -> DataFrame:
@@ -124,7 +136,7 @@ def amount_stats(rows: DataFrame, amount: str) -> DataFrame:
 
 def describe_by_prompt(rows: DataFrame, key: str, seq: str, task: str, measures: list[str]) -> DataFrame:
     """``describe_by`` with the task of each key's first row."""
-    return rows.groupBy(key).agg(F.min_by(task, seq).alias(task), F.count("*").alias("runs"), *(x for m in measures for x in describe(m)))
+    return described(rows, [key], measures, F.min_by(task, seq).alias(task))
 
 
 def first_last_medians(rows: DataFrame, seq: str, measures: list[str], k: int, by: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import with_quantiles
+
 IGNORED = -100
 
 
@@ -46,10 +48,9 @@ def trainable(ids: Column, own: Column) -> Column:
 def length_stats(rows: DataFrame, prompt: str, completion: str, limit: int) -> DataFrame:
     """One row on the lengths of the sequences, prompts and completions, and how many sequences exceed the limit."""
     sizes = rows.select(F.size(prompt).alias("p"), F.size(completion).alias("c")).withColumn("s", F.col("p") + F.col("c"))
-    return sizes.agg(
-        F.count("*").alias("n"), F.min("s").alias("min_length"), F.round(F.median("s"), 6).alias("median_length"), F.round(F.percentile("s", 0.95), 6).alias("p95_length"),
-        F.max("s").alias("max_length"), F.max("p").alias("max_prompt"), F.max("c").alias("max_completion"), F.count_if(F.col("s") > limit).alias("over_limit"),
-    )
+    found = sizes.agg(F.count("*").alias("n"), F.min("s").alias("min_length"), F.max("s").alias("max_length"), F.max("p").alias("max_prompt"), F.max("c").alias("max_completion"), F.count_if(F.col("s") > limit).alias("over_limit"))
+    found = with_quantiles(found, sizes, [], ["s"], [0.5, 0.95])
+    return found.select("n", "min_length", *(F.round(F.col("_q_s")[k], 6).alias(name) for k, name in enumerate(("median_length", "p95_length"))), "max_length", "max_prompt", "max_completion", "over_limit")
 
 
 def chat(shots: list[tuple[str, str]], prompt: Column) -> Column:

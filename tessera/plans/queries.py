@@ -238,8 +238,7 @@ def lead_in_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT role, count(*) AS n, CAST(min(k) AS INTEGER) AS min_words, CAST(max(k) AS INTEGER) AS max_words, round(avg(k), 6) AS mean_words, round(median(k), 6) AS median_words FROM (SELECT role, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS k FROM conversations) GROUP BY role")
 def length_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "conversations").select("role", F.size(T.tokens(F.col("text"))).alias("k"))
-    return k.groupBy("role").agg(F.count("*").alias("n"), F.min("k").alias("min_words"), F.max("k").alias("max_words"), F.round(F.avg("k"), 6).alias("mean_words"), F.round(F.median("k"), 6).alias("median_words"))
+    return S.word_lengths(table(spark, sf_dir, "conversations"), "text", "role")
 
 
 _WORDS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
