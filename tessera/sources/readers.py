@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import locale_number
 from tessera.functions.text import strip
 from tessera.session import map_arrow, materialise, ship
+from tessera.sources.jsonl import json_lines
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,21 +26,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, errors): errors has a row (file, line, value, error) for each blank line and each line that is no JSON object; records have
-    their file and line, too."""
-    text = numbered_lines(spark, path)
-    parsed = text.select("*", F.json_object_keys("value").alias("keys"), F.try_parse_json("value").alias("whole"))
-    fine = F.col("keys").isNotNull() & F.col("whole").isNotNull()
-    error = F.when(F.length(F.trim("value")) == 0, "Empty line").otherwise("Invalid JSON")
-    return parsed.where(fine).select(F.from_json("value", schema).alias("r"), "keys", "file", "line").select("r.*", "keys", "file", "line"), parsed.where(~fine).select("file", "line", "value", error.alias("error"))
+    """(records, errors): errors has a row (file, line, value, error, reason) for each blank line and each line that is no JSON object; records have
+    their keys, file and line, too. Of a repeated key the last one counts, and NaN is a number."""
+    text = json_lines(spark, path)
+    good = text.where("error is null").select(F.from_json("value", schema).alias("r"), "keys", "file", "line")
+    return good.select("r.*", "keys", "file", "line"), text.where("error is not null").select("file", "line", "value", "error", "reason")
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank lines are skipped; any other line that is no JSON object fails the read and is named."""
-    rows = numbered_lines(spark, path).where(F.length(F.trim("value")) > 0)
-    bad = F.json_object_keys("value").isNull() | F.try_parse_json("value").isNull()
-    where = F.concat(F.lit("invalid JSON in "), F.col("file"), F.lit(", line "), F.col("line").cast("string"))
-    checked = rows.select(F.when(bad, F.raise_error(where).cast("string")).otherwise(F.col("value")).alias("value"))
+    rows = json_lines(spark, path).where("error is null or error <> 'Empty line'")
+    where = F.concat(F.lit("invalid JSON in "), F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.col("reason"))
+    checked = rows.select(F.when(F.col("error").isNotNull(), F.raise_error(where).cast("string")).otherwise(F.col("value")).alias("value"))
     return checked.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
