@@ -1,7 +1,7 @@
 """Raw JSON records, before they have a schema: which keys they have, of which types their values are, and the rules that they break.
 
 A record read with a schema no longer tells a missing key from a null, nor a number from a text that looks like one. So a raw record
-is kept as a variant, with its keys and the types of its values beside the typed and trimmed fields."""
+is parsed once, into its keys and values as variants, and these and the types of its values stay beside the typed and trimmed fields."""
 
 from __future__ import annotations
 
@@ -34,22 +34,35 @@ def _once(rows: DataFrame, *columns: Column | str) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(*columns))).alias("_once")).select("_once.*")
 
 
+def entries(value: Column) -> Column:
+    """(key, value) of a line that is one JSON object, in order, the values as variants; null for other lines. This is the one parse of a line: keys, types and values come from it. NaN and Infinity are
+    numbers. Repeated keys are all there; an object within that repeats a key makes a line none (``json_lines`` gives such lines with the last one)."""
+    inner = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"})
+    return F.when(F.endswith(strip(value), F.lit("}")), F.get(F.transform(F.filter(F.array(inner), lambda x: F.size(x) == 1), lambda x: F.map_entries(F.get(x, 0))), 0))
+
+
+def value_of(entries: str, name: str) -> Column:
+    """The value of a key, of a repeated one the last; null if there is none."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+
+
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(raw, keys, kinds, calendar_keys, calendar_kinds, and the typed fields, trimmed) of each line that is a JSON object; other lines are left out.
-    A value of another type than its field's is null as a field; ``kinds`` tells what it was. split is kept as JSON."""
-    raw = F.try_parse_json(value)
-    rows = _once(lines, raw.alias("raw"), F.json_object_keys(value).alias("keys")).where("raw is not null and keys is not null")
-    of = lambda name: F.variant_get("raw", f"$.{name}", "variant")
-    within = lambda name: F.try_variant_get("raw", f"$.calendar_context.{name}", "variant")
-    kinds = F.struct(*(kind_of(of(x)).alias(x) for x in KEYS)).alias("kinds")
-    rows = _once(rows, "raw", "keys", kinds, F.struct(*(kind_of(within(x)).alias(x) for x in CALENDAR)).alias("calendar_kinds"))
-    has_calendar = F.col("kinds.calendar_context") == "object"
-    amount = F.when(F.col("kinds.amount") == "number", F.try_variant_get("raw", "$.amount", "double"))
-    outputs = F.when(F.col("kinds.expected_output") == "array", F.transform(F.try_variant_get("raw", "$.expected_output", "array<variant>"), _text))
+    """(entries, keys, kinds, calendar_keys, calendar_kinds, and the typed fields, trimmed) of each line that is a JSON object; other lines are left out.
+    A value of another type than its field's is null as a field; ``kinds`` tells what it was. split is kept as JSON, and so are outputs that are no texts, in outputs_whole."""
+    rows = _once(lines, entries(F.col(value)).alias("entries")).where("entries is not null")
+    rows = _once(rows, "entries", F.array_distinct(F.transform("entries", lambda e: e["key"])).alias("keys"), F.struct(*(value_of("entries", x).alias(x) for x in KEYS)).alias("of"))
+    of = lambda name: F.col(f"of.{name}")
+    context = F.when(kind_of(of("calendar_context")) == "object", F.try_variant_get(of("calendar_context"), "$", "map<string,variant>"))
+    rows = _once(rows, "entries", "keys", "of", F.struct(*(kind_of(of(x)).alias(x) for x in KEYS)).alias("kinds"), context.alias("context"))
+    within = lambda name: F.col("context")[name]
+    has_calendar = F.col("context").isNotNull()
+    amount = F.when(F.col("kinds.amount") == "number", F.try_variant_get(of("amount"), "$", "double"))
+    outputs = F.when(F.col("kinds.expected_output") == "array", F.transform(F.try_variant_get(of("expected_output"), "$", "array<variant>"), _text))
+    whole = F.when(F.col("kinds.expected_output") == "array", F.transform(F.try_variant_get(of("expected_output"), "$", "array<variant>"), lambda v: F.when(kind_of(v) == "string", _text(v)).when(kind_of(v) != "null", F.to_json(v))))
     typed = _once(
-        rows, "raw", "keys", "kinds", "calendar_kinds", F.when(has_calendar, F.json_object_keys(F.to_json(of("calendar_context")))).alias("calendar_keys"),
+        rows, "entries", "keys", "kinds", F.struct(*(kind_of(within(x)).alias(x) for x in CALENDAR)).alias("calendar_kinds"), F.map_keys("context").alias("calendar_keys"),
         *(_text(of(x)).alias(x) for x in FIELDS), amount.alias("amount"), F.when(has_calendar, F.struct(*(_text(within(x)).alias(x) for x in CALENDAR))).alias("calendar_context"),
-        outputs.alias("expected_output"), F.when(F.col("kinds.split") != "null", F.to_json(of("split"))).alias("split"),
+        outputs.alias("expected_output"), whole.alias("outputs_whole"), F.when(F.col("kinds.split") != "null", F.to_json(of("split"))).alias("split"),
     )
     return _once(cleaned(typed), "*")
 
@@ -92,7 +105,7 @@ def raw_rules() -> list[tuple[str, Column]]:
         ("outputs_is_list", ~is_list),
         ("outputs_len2", is_list & (F.size(outputs) != 2)),
         ("outputs_items_nonempty", F.when(is_list, F.size(F.filter(outputs, lambda x: x.isNull() | (F.length(strip(x)) == 0)))).otherwise(0)),
-        ("outputs_distinct", is_list & (F.size(outputs) == 2) & (normalised_for_copies(F.get(outputs, 0)) == normalised_for_copies(F.get(outputs, 1)))),
+        ("outputs_distinct", is_list & (F.size(outputs) == 2) & (normalised_for_copies(F.get("outputs_whole", 0)) == normalised_for_copies(F.get("outputs_whole", 1)))),
         ("gen_input_null", of("GENERATION") & _given("input_text")),
         ("cn_input_nonempty", of("COMPLETION", "NORMALIZATION") & _bare("input_text")),
         ("cn_calendar_null", of("COMPLETION", "NORMALIZATION") & _given("calendar_context")),
@@ -133,9 +146,10 @@ def rendered_rules() -> list[tuple[str, Column]]:
 
 def rendered_violations(lines: DataFrame, name: str = "id_example", value: str = "value") -> DataFrame:
     """(name, rule) of each rule that a rendered row, a line of JSON, breaks. A line that is no object breaks all."""
-    raw = F.try_parse_json(value)
-    of = lambda x: _text(F.try_variant_get(raw, f"$.{x}", "variant"))
-    rows = lines.select(name, F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")).alias("keys"), of("prompt").alias("prompt"), of("completion").alias("completion"))
+    rows = _once(lines, name, entries(F.col(value)).alias("entries"))
+    of = lambda x: _text(value_of("entries", x))
+    keys = F.array_distinct(F.transform("entries", lambda e: e["key"]))
+    rows = rows.select(name, F.coalesce(keys, F.array().cast("array<string>")).alias("keys"), of("prompt").alias("prompt"), of("completion").alias("completion"))
     broken = F.array_compact(F.array(*(F.when(c, F.lit(rule)) for rule, c in rendered_rules())))
     return rows.select(name, F.explode(broken).alias("rule"))
 

@@ -13,6 +13,8 @@ from tessera.operators import records as R
 from tessera.operators import stats as S
 from tessera.plans.queries import RECORDS, RUNS, query, runs, stratified_split, table, transfer_records
 from tessera.plans.reviews import _norm
+from tessera.session import shared_path
+from tessera.sources import jsonl as J
 from tessera.sources import readers as I
 from tessera.streaming.metrics import distinct_runs, windowed
 
@@ -67,6 +69,32 @@ def raw_record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.raw_violations(raw_lines(spark, sf_dir))
 
 
+def lines_of_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): records as lines of JSON that only a lenient reader takes, and lines that none takes; the record's number, modulo 12, decides."""
+    k, v = F.col("seq"), F.col("seq") % 12
+    amount = {0: '"amount":true,"amount":5', 1: '"amount":5,"amount":"5"', 2: '"amount":NaN', 3: '"amount":Infinity', 4: '"amount":-Infinity', 5: '"amount":{"amount":[5]}', 6: '"amount":123456789012345678901234567890.5', 7: '"amount":0,"amount":1e400'}
+    chosen = F.lit('"amount":12.5')
+    for n, text in amount.items():
+        chosen = F.when(v == n, text).otherwise(chosen)
+    context = F.when(v == 8, '{"event_title":"t","event_title":"","event_date":"2026-02-03","event_category":{"x":1}}').when(v == 9, "[1]").otherwise("null")
+    outputs = F.when(v == 10, '[["a"],{"b":NaN}]').otherwise('["one thing","another"]')
+    head = F.concat(F.lit('{"id_example":"'), F.col("id_example"), F.lit('","activity_type":"GENERATION","operation_category":"C","beneficiary":"B","currency":"EUR","reference_period":null,"input_text":null,"language":"en","split":null,'))
+    whole = F.concat(head, chosen, F.lit(',"calendar_context":'), context, F.lit(',"expected_output":'), outputs, F.lit("}"))
+    value = F.when(v == 11, F.when(k % 36 == 11, F.lit("\t\u00a0")).when(k % 36 == 23, F.concat(whole, F.lit(" x"))).otherwise(F.concat(F.lit("[]"), whole))).otherwise(F.concat(F.lit(" \t"), whole, F.lit("\x0b")))
+    return transfer_records(spark, sf_dir).select(value.alias("value"))
+
+
+@query(f"""WITH {RECORDS} SELECT id_example, r.rule, CAST(NULL AS VARCHAR) AS detail FROM rec, (VALUES (1, 'amount_positive'), (4, 'amount_positive'), (5, 'amount_positive'), (8, 'calendar_title'), (8, 'calendar_category'), (9, 'calendar_object'), (10, 'outputs_items_nonempty'), (10, 'outputs_items_nonempty')) r(v, rule) WHERE seq % 12 = r.v
+UNION ALL SELECT NULL, CASE WHEN seq % 36 = 11 THEN 'Empty line' ELSE 'Invalid JSON' END, CAST(count(*) AS VARCHAR) FROM rec WHERE seq % 12 = 11 GROUP BY 2""")
+def raw_rules_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on lines as files have them: written as a batch, read back with their numbers, and parsed once."""
+    path = shared_path(spark, "lines")
+    lines_of_all_forms(spark, sf_dir).write.format(J.source(spark)).option("path", path).option("batch", "all").mode("append").save()
+    read = J.json_lines(spark, path)
+    errors = read.where("error is not null").groupBy("error").agg(F.count("*").cast("string").alias("detail")).select(F.lit(None).cast("string").alias("id_example"), F.col("error").alias("rule"), "detail")
+    return W.raw_violations(read.where("error is null")).unionByName(errors)
+
+
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_example, value): rendered rows as lines of JSON, of which the record's number, modulo 11, decides what is wrong."""
     v = F.col("seq") % 11

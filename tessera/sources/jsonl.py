@@ -101,7 +101,7 @@ def lines_from(stream: pa.NativeFile, start: int, end: int, block: int = BLOCK)
 
 
 def parsed(line: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
-    """(text, keys, error, reason) of a line: keys of an object, in order, or why it is none."""
+    """(text, keys, error, reason) of a line: keys of an object, in order, or why it is none. Text with repeated keys is written again with the last of each."""
     try:
         text = line.decode()
     except UnicodeDecodeError as bad:
@@ -109,8 +109,18 @@ def parsed(line: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
     text = text.strip()
     if not text:
         return text, None, "Empty line", "Empty line"
+    repeated = False
+
+    def last(pairs: list[tuple]) -> dict:
+        nonlocal repeated
+        own = dict(pairs)
+        repeated |= len(own) < len(pairs)
+        return own
+
     try:
-        found = json.loads(text)
+        found = json.loads(text, object_pairs_hook=last)
+        if repeated:
+            text = json.dumps(found, ensure_ascii=False)
     except (ValueError, RecursionError) as bad:
         return text, None, "Invalid JSON", str(bad)
     return (text, list(found), None, None) if isinstance(found, dict) else (text, None, "Invalid JSON", f"a {type(found).__name__} is no record")
