@@ -5,14 +5,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessera.functions.text import normalised, strip
+from tessera.functions.text import bound, normalised_items, plain_form, strip
 
 # Headers and field labels that are no alternative, list marks, and what starts a commentary.
 HEADERS = ["alternatives", "alternative descriptions", "bank transfer descriptions", "output", "response"]
@@ -29,9 +28,22 @@ MARK = r"\s*[.):\-]\s*"
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
+def _as_header() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form is one ASCII character, and those whose form is several that stand in a header, with their forms."""
+    forms = {c: unicodedata.normalize("NFKC", c).lower() for c in map(chr, range(0x80, 0x20000)) if unicodedata.decomposition(c)}
+    plain = {c: form for c, form in forms.items() if form.isascii()}
+    return {c: x for c, x in plain.items() if len(x) == 1}, {c: x for c, x in plain.items() if len(x) > 1 and any(x in h for h in HEADERS + MORE_HEADERS)}
+
+
+_ONE, _SEVERAL = _as_header()
+
+
+def is_header(line: Column, headers: list[str]) -> Column:
+    """Whether a line is a header when it is normalised. Headers are ASCII, so only characters whose compatibility forms are ASCII need to be replaced, which built-in functions do."""
+    out = F.translate(line, "".join(_ONE), "".join(_ONE.values()))
+    for c, form in _SEVERAL.items():
+        out = F.replace(out, F.lit(c), F.lit(form))
+    return plain_form(F.when(line.rlike(r"[^\p{ASCII}]"), out).otherwise(line)).isin(headers)
 
 
 def without_commentary(c: Column) -> Column:
@@ -81,7 +93,7 @@ def alternatives(c: Column) -> Column:
 
     def plain(text: Column) -> Column:
         fields = rf"(?iU)^\s*(?:{'|'.join(LABELS)})\s*:"
-        kept = F.filter(F.transform(F.split(text, LINE_END), strict_item), lambda x: (x != "") & ~normalised(x).isin(HEADERS + MORE_HEADERS) & ~x.rlike(fields))
+        kept = F.filter(F.transform(F.split(text, LINE_END), strict_item), lambda x: (x != "") & ~is_header(x, HEADERS + MORE_HEADERS) & ~x.rlike(fields))
         parts = lambda line: bound(_some(F.transform(F.split(line, r"[ \t]*\|[ \t]*"), strict_item)), lambda p: F.when(F.size(p) >= 2, F.slice(p, 1, 2)).otherwise(F.array(line)))
         return bound(kept, lambda k: F.when(F.size(k) == 2, k).when(F.size(k) == 1, parts(F.get(k, 0))).otherwise(F.array().cast("array<string>")))
 
@@ -96,7 +108,7 @@ def alternatives_loose(c: Column) -> Column:
     """As ``alternatives`` by older rules: marks count anywhere, commentary stays, and of two plain lines or more the first two are taken."""
 
     def plain(text: Column) -> Column:
-        kept = F.filter(F.transform(F.split(text, LINE_END), loose_item), lambda x: (x != "") & ~normalised(x).isin(HEADERS))
+        kept = F.filter(F.transform(F.split(text, LINE_END), loose_item), lambda x: (x != "") & ~is_header(x, HEADERS))
         some = lambda line: F.filter(F.split(line, r"(?U)\s*\|\s*"), lambda x: strip(x) != "")
         parts = lambda line: bound(F.transform(some(line), loose_item), lambda p: F.when(F.size(p) >= 2, F.slice(p, 1, 2)).otherwise(F.array(line)))
         return bound(kept, lambda k: F.when(F.size(k) >= 2, F.slice(k, 1, 2)).when(F.size(k) == 1, parts(F.get(k, 0))).otherwise(F.array().cast("array<string>")))
@@ -112,14 +124,15 @@ def alternatives_loose(c: Column) -> Column:
 
 def two_distinct(items: Column) -> Column:
     """Two alternatives, neither empty, that differ when normalised."""
-    a, b = (normalised(F.get(items, k)) for k in (0, 1))
-    return F.coalesce((F.size(items) == 2) & (a != "") & (b != "") & (a != b), F.lit(False))
+    same = lambda n: (F.size(n) == 2) & (F.get(n, 0) != "") & (F.get(n, 1) != "") & (F.get(n, 0) != F.get(n, 1))
+    return F.coalesce(bound(normalised_items(items), same), F.lit(False))
 
 
 def exact_pair(items: Column, references: Column) -> Column:
     """The share of two references met by alternatives of the same normalised text, in the better order."""
-    same = lambda i, j: F.coalesce((normalised(F.get(items, i)) == normalised(F.get(references, j))) & (normalised(F.get(items, i)) != ""), F.lit(False)).cast("double")
-    return F.greatest(same(0, 0) + same(1, 1), same(0, 1) + same(1, 0)) / 2
+    same = lambda n, i, j: F.coalesce((F.get(n["a"], i) == F.get(n["b"], j)) & (F.get(n["a"], i) != ""), F.lit(False)).cast("double")
+    both = F.struct(normalised_items(items).alias("a"), normalised_items(references).alias("b"))
+    return bound(both, lambda n: F.greatest(same(n, 0, 0) + same(n, 1, 1), same(n, 0, 1) + same(n, 1, 0)) / 2)
 
 
 # How a line of Markdown may begin, and the names of alternatives there.

@@ -1,14 +1,19 @@
-"""Text functions on columns. All are built-in expressions, but for those that end in ``_udf``."""
+"""Text functions on columns. All are built-in expressions, but for those that end in ``_udf`` and the compatibility forms of texts that are not ASCII."""
 
 from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from tessera.session import ship
 
 # Names of months.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -18,6 +23,11 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 SPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends."""
     return F.btrim(c, F.lit(SPACE))
@@ -39,19 +49,54 @@ def normalised_for_copies(c: Column) -> Column:
     return collapse(text)
 
 
-def normalised(c: Column) -> Column:
-    """Lower case, marks as blanks. Compatibility forms are left as they are; where texts may have them, give ``nfkc(c)``."""
+def plain_form(c: Column) -> Column:
+    """Lower case, marks as blanks. For texts that are in their compatibility form."""
     return collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "))
 
 
+def _forms(texts: pa.Array) -> pa.Array:
+    """The compatibility form of each different text. Arrow's own kernel leaves letters and their accents apart, so it is not the same."""
+    different = texts.dictionary_encode()
+    return pa.array([unicodedata.normalize("NFKC", x) for x in different.dictionary.to_pylist()], pa.string()).take(different.indices)
+
+
 @F.arrow_udf(StringType())
 def nfkc_udf(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
+    return _forms(text)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def nfkc_items_udf(items: pa.Array) -> pa.Array:
+    flat = _forms(items.flatten())
+    sizes = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False)])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), flat, mask=items.is_null())
+
+
+#: What is not ASCII. Only such texts are looked at in Python.
+_OTHER = r"[^\p{ASCII}]"
 
 
 def nfkc(c: Column) -> Column:
     """The compatibility form. Texts of ASCII are that already, and are not looked at."""
-    return F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(nfkc_udf(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)))
+    ship(SparkSession.active())  # the executors' Python imports this module
+    return F.when(c.rlike(_OTHER), nfkc_udf(F.when(c.rlike(_OTHER), c))).otherwise(c)
+
+
+def nfkc_items(c: Column) -> Column:
+    """The compatibility forms of the texts of a list, in one call."""
+    ship(SparkSession.active())
+    other = F.exists(c, lambda x: x.rlike(_OTHER))
+    return F.when(other, nfkc_items_udf(F.when(other, c))).otherwise(c)
+
+
+def normalised(c: Column) -> Column:
+    """Compatibility form, lower case, marks as blanks. Not for use within functions on the items of a list, which take no Arrow function: see ``normalised_items``."""
+    return plain_form(nfkc(c))
+
+
+def normalised_items(c: Column) -> Column:
+    """The texts of a list, each normalised."""
+    return F.transform(nfkc_items(c), plain_form)
 
 
 def signature(*parts: Column) -> Column:
@@ -152,7 +197,8 @@ def pair_assignment(m00: Column, m01: Column, m10: Column, m11: Column) -> Colum
 
 
 def contains_normalised(text: Column, part: Column) -> Column:
-    return (normalised(part) != "") & F.contains(normalised(text), normalised(part))
+    whole, own = normalised(text), normalised(part)
+    return (own != "") & F.contains(whole, own)
 
 
 def jaccard(a: Column, b: Column) -> Column:

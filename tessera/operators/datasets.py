@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalised, strip
+from tessera.functions.text import bound, normalised, normalised_items, strip
 from tessera.operators.compare import quotas
 from tessera.operators.records import ACTIVITIES, duplicate_ids, references_contained
 
@@ -80,8 +80,8 @@ def aligned(raw: DataFrame, other: DataFrame, key: str, *further: DataFrame) ->
 
 def contained_either_way(references: Column, completion: Column) -> Column:
     """Each reference is part of the completion or holds it, both normalised; empty references never are."""
-    own = normalised(completion)
-    return F.forall(references, lambda r: (normalised(r) != "") & (F.contains(own, normalised(r)) | F.contains(normalised(r), own)))
+    both = F.struct(normalised(completion).alias("text"), normalised_items(references).alias("refs"))
+    return bound(both, lambda n: F.forall(n["refs"], lambda r: (r != "") & (F.contains(n["text"], r) | F.contains(r, n["text"]))))
 
 
 def alignment_report(pairs: DataFrame, key: str, references: str = "expected_output", prompt: str = "prompt", completion: str = "completion") -> DataFrame:

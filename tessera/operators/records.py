@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import format_amount, valid_date
-from tessera.functions.text import category_slug, normalised, normalised_for_copies, strip, tokens
+from tessera.functions.text import bound, category_slug, normalised, normalised_for_copies, normalised_items, strip, tokens
 from tessera.operators.similar import near_texts
 from tessera.operators.stats import numbered
 from tessera.session import fresh, materialise
@@ -140,8 +140,8 @@ def completion(outputs: str = "expected_output") -> Column:
 
 def references_contained(text: Column, references: Column) -> Column:
     """All normalised references are part of the normalised text."""
-    own = normalised(text)
-    return F.forall(references, lambda r: (normalised(r) != "") & F.contains(own, normalised(r)))
+    both = F.struct(normalised(text).alias("text"), normalised_items(references).alias("refs"))
+    return bound(both, lambda n: F.forall(n["refs"], lambda r: (r != "") & F.contains(n["text"], r)))
 
 
 def contained_items(items: DataFrame, rows: DataFrame, item_id: str, item: str, row_id: str, text: str, most_bytes: int = 1 << 24) -> DataFrame:

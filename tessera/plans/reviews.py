@@ -14,6 +14,7 @@ from tessera.operators import compare as O
 from tessera.operators import stats as S
 from tessera.operators import training as L
 from tessera.operators.consistency import consistency
+from tessera.operators.records import references_contained
 from tessera.plans.queries import RECORDS, REPLIES, query, replies, table, transfer_records
 from tessera.session import ship
 
@@ -130,6 +131,21 @@ def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("activity_type").agg(F.count("*").alias("n"), F.count_if("two").alias("two_distinct"), F.round(F.avg("exact"), 6).alias("exact_match"))
 
 
+# wide letters, a ligature and a letter with its accent apart have the compatibility forms that are written out here
+@query(f"""WITH {RECORDS}, w AS (SELECT id_example, seq, {_norm('out1')} AS a, {_norm('out2')} AS b FROM rec)
+SELECT id_example, a <> b AND seq % 4 <> 3 AS two_distinct, CASE WHEN seq % 4 IN (0, 3) THEN 1.0 WHEN seq % 4 = 1 THEN 0.5 ELSE 0.0 END AS exact_match, seq % 4 <> 2 AS contained, seq % 4 = 1 AS named, seq % 4 = 1 AS header FROM w""")
+def compatibility_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of texts that differ in their code points only."""
+    a, b, k = F.get("expected_output", 0), F.get("expected_output", 1), F.col("seq") % 4
+    narrow = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    wide = lambda c: F.translate(c, narrow, "".join(chr(ord(x) + 0xFEE0) for x in narrow))
+    items = F.when(k == 0, F.array(wide(a), b)).when(k == 1, F.array(F.concat(F.lit("ﬁne "), a), wide(b))).when(k == 2, F.array(F.concat(F.lit("Cafe\u0301 "), a), F.concat(b, F.lit(" Ⅳ")))).otherwise(F.array(a, wide(a)))
+    references = F.when(k == 3, F.array(a, a)).otherwise(F.array(a, b))
+    rows = transfer_records(spark, sf_dir).select("id_example", "seq", items.alias("items"), references.alias("refs"), F.when(k == 2, F.lit("nothing")).otherwise(wide(F.concat(a, F.lit(" / "), b))).alias("text"), k.alias("k"))
+    header = F.size(A.alternatives(F.when(F.col("k") == 1, F.lit("ｏｕｔｐｕｔ:\none line\nalternative descriptio㎱")).otherwise(F.lit("one line\nother line")))) == 1
+    return rows.select("id_example", A.two_distinct(F.col("items")).alias("two_distinct"), A.exact_pair(F.col("items"), F.col("refs")).alias("exact_match"), references_contained(F.col("text"), F.col("refs")).alias("contained"), T.contains_normalised(F.get("items", 0), F.lit("fine")).alias("named"), header.alias("header"))
+
+
 @query(f"""WITH {WRITTEN}, {_STRICT_SQL} SELECT activity_type, count(*) AS n, count_if(done = t) AS equal, round(count_if(done = t) / count(*), 6) AS equal_rate,
   count_if(len(a) = 0) AS empty_replies, count_if(len(t) >= 60) AS hit_max FROM (SELECT *, '1. ' || out1 || chr(10) || '2. ' || out2 || CASE WHEN seq % 2 = 0 THEN chr(10) || '3. another' ELSE '' END AS done FROM alts) GROUP BY activity_type""")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
