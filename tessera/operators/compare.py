@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import exact_ci
-from tessera.operators.stats import rouge_rows
+from tessera.functions.grams import runs, runs_overlap, text_scores
+from tessera.functions.text import bound, exact_ci, ngrams, strip, tokens
 
 
 def variant_pairs(outputs: DataFrame, key: str, variant: str, order: str, text: str) -> DataFrame:
@@ -16,13 +16,26 @@ def variant_pairs(outputs: DataFrame, key: str, variant: str, order: str, text:
     return a.join(b, key).where("o_a < o_b").select(key, F.concat("v_a", F.lit("-"), "v_b").alias("pair"), "text_a", "text_b")
 
 
+def scored_pairs(outputs: DataFrame, key: str, variant: str, order: str, text: str) -> DataFrame:
+    """(key, pair, same, rouge1, rouge2) of each two variants of a record, in their order: whether they are the same, and F1 of their words and word pairs. A record's
+    few variants are brought together once; each is written as runs of grams once, and the runs are merged for each pair, all in the record's row."""
+    # much work for little data, so that small partitions are not put together
+    dealt = outputs.repartition(int(outputs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    some = dealt.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(variant).alias("v"), F.col(text).alias("t")))).alias("all"))
+    told = lambda x: bound(tokens(x["t"]), lambda w: F.struct(x["o"].alias("o"), x["v"].alias("v"), F.lower(strip(x["t"])).alias("t"), runs(w).alias("r1"), runs(ngrams(w, 2)).alias("r2")))
+    some = some.select(key, F.explode(F.array(F.transform("all", told))).alias("all"))  # once, not for each use
+    pair = lambda a, b: F.struct(F.concat(a["v"], F.lit("-"), b["v"]).alias("pair"), (a["t"] == b["t"]).cast("int").alias("same"), *(F.round(runs_overlap(b[f"r{n}"], a[f"r{n}"]), 6).alias(f"rouge{n}") for n in (1, 2)))
+    pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: a["o"] < b["o"]), lambda b: pair(a, b))))
+    return some.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
+
+
 def pair_summary(pairs: DataFrame, key: str) -> DataFrame:
-    """For each pair of variants: records, mean F1 of words and of word pairs, and how many outputs are the same."""
-    keys = [key, "pair"]
-    scored = pairs.select(*keys, exact_ci(F.col("text_a"), F.col("text_b")).cast("int").alias("same"))
-    for n in (1, 2):
-        scored = scored.join(rouge_rows(pairs, keys, "text_b", "text_a", n, f"rouge{n}"), keys)
-    found = scored.groupBy("pair").agg(F.count("*").alias("n"), F.round(F.avg("rouge1"), 5).alias("rouge1"), F.round(F.avg("rouge2"), 5).alias("rouge2"), F.sum("same").alias("same"))
+    """For each pair of variants: records, mean F1 of words and of word pairs, and how many outputs are the same. pairs: as of ``variant_pairs`` or ``scored_pairs``."""
+    if "rouge1" not in pairs.columns:
+        scores = text_scores(F.col("text_b"), F.col("text_a"), [1, 2])
+        pairs = pairs.select("pair", exact_ci(F.col("text_a"), F.col("text_b")).cast("int").alias("same"), scores.alias("s"))
+        pairs = pairs.select("pair", "same", *(F.round(f"s.rouge{n}", 6).alias(f"rouge{n}") for n in (1, 2)))
+    found = pairs.groupBy("pair").agg(F.count("*").alias("n"), F.round(F.avg("rouge1"), 5).alias("rouge1"), F.round(F.avg("rouge2"), 5).alias("rouge2"), F.sum("same").alias("same"))
     return found.withColumn("same_pct", F.round(100.0 * F.col("same") / F.col("n"), 6))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.grams import text_scores
 from tessera.functions.numbers import pct_change
 from tessera.functions.text import ngrams, tokens
 from tessera.operators.quantiles import with_quantiles
@@ -117,9 +118,19 @@ def grouped_means(rows: DataFrame, measures: list[str], key: str) -> DataFrame:
     return found.select(F.when(F.col("level") == 0, F.col(key)).otherwise("ALL").alias(key), "records", *measures)
 
 
-def rouge_rows(rows: DataFrame, keys: list[str], prediction: str, reference: str, n: int, name: str) -> DataFrame:
-    """(keys, name): F1 of common n-grams of two texts with multiplicity, for texts of any length: grams are counted in groups
-    instead of being compared with each other. Keys tell rows apart."""
+#: Bytes of a text beyond which its n-grams are counted in groups instead of in its row.
+LONG_TEXT = 8 << 20
+
+
+def rouge_rows(rows: DataFrame, keys: list[str], prediction: str, reference: str, n: int, name: str, long: int = LONG_TEXT) -> DataFrame:
+    """(keys, name): F1 of common n-grams of two texts with multiplicity, six decimals. Texts are scored in their rows; only those of more than ``long`` bytes
+    have their grams dealt to groups, with the same result, so a text may be of any length. Keys tell rows apart."""
+    fits = F.coalesce(F.greatest(F.octet_length(prediction), F.octet_length(reference)) <= long, F.lit(True))
+    short = rows.where(fits).select(*keys, F.round(text_scores(F.col(prediction), F.col(reference), [n])[f"rouge{n}"], 6).alias(name))
+    return short.unionByName(_rouge_of_long_texts(rows.where(~fits), keys, prediction, reference, n, name))
+
+
+def _rouge_of_long_texts(rows: DataFrame, keys: list[str], prediction: str, reference: str, n: int, name: str) -> DataFrame:
     grams = lambda c, p, r: F.transform(ngrams(tokens(F.col(c)), n), lambda g: F.struct(g.alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r")))
     each = rows.select(*keys, F.explode(F.concat(grams(prediction, 1, 0), grams(reference, 0, 1))).alias("g"))
     counts = each.groupBy(*keys, "g.gram").agg(F.sum("g.p").alias("p"), F.sum("g.r").alias("r"))

@@ -9,7 +9,7 @@ from tessera.functions import alternatives as A
 from tessera.functions import calendar as C
 from tessera.functions import numbers as N
 from tessera.functions import text as T
-from tessera.functions.stems import rouge_stemmed_udf
+from tessera.functions.stems import stemmed_scores
 from tessera.operators import compare as O
 from tessera.operators import stats as S
 from tessera.operators import training as L
@@ -184,13 +184,12 @@ grams AS (SELECT *, {_two('p')} AS p2, {_two('r')} AS r2 FROM pairs)
 SELECT pair, count(*) AS n, round(avg({_overlap_sql('p', 'r')}), 5) AS rouge1, round(avg({_overlap_sql('p2', 'r2')}), 5) AS rouge2, count_if(lower({_strip('ta')}) = lower({_strip('tb')})) AS same,
   round(100.0 * count_if(lower({_strip('ta')}) = lower({_strip('tb')})) / count(*), 6) AS same_pct FROM grams GROUP BY pair""")
 def pairwise_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.pair_summary(O.variant_pairs(variants(spark, sf_dir), "key", "variant", "ord", "text"), "key")
+    return O.pair_summary(O.scored_pairs(variants(spark, sf_dir), "key", "variant", "ord", "text"), "key")
 
 
 @query()
 def rouge_stemmed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)  # stems are found in Python workers
-    found = replies(spark, sf_dir).withColumn("r", rouge_stemmed_udf("prediction", "reference"))
+    found = replies(spark, sf_dir).withColumn("r", stemmed_scores(F.col("prediction"), F.col("reference")))
     return found.select("conv_id", "turn", F.round("r.rouge1", 6).alias("rouge1"), F.round("r.rouge2", 6).alias("rouge2"))
 
 

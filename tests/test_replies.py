@@ -1,10 +1,15 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import alternatives as A
 from tessera.functions import calendar as C
+from tessera.functions import grams as G
 from tessera.functions.markers import WITH_SIGNS, amount_of, money_in, times_in
-from tessera.functions.stems import overlap, stem, stems
+from tessera.functions.stems import overlap, stem, stemmed_scores, stems
 from tessera.operators import compare as O
 from tessera.operators import stats as S
 from tessera.operators import training as L
@@ -143,3 +148,40 @@ def test_model_hook(spark):
     rows = spark.createDataFrame([(k, f"p{k}") for k in range(150)], "k int, prompt string")
     got = with_model(rows, ["prompt"], lambda: lambda prompts: [p.upper() for p in prompts], "reply", "string", batch=40).collect()
     assert all(r.reply == r.prompt.upper() for r in got) and len(got) == 150
+
+
+def test_stems_by_extended_rules():
+    """Words that the published algorithm and its extended rules stem in other ways, and some that they do not."""
+    words = "dying lying tying skies news innings proceed dies ties flies spied died enjoy happily day say dynamically sensibly possibly hopefully gloriously psychology geology rationally cats agreed"
+    want = "die lie tie sky news inning proceed die tie fli spi die enjoy happili day say dynam sensibl possibl hope glorious psycholog geolog ration cat agre"
+    plain = [stem(x) for x in words.split()]
+    assert [stem(x, True) for x in words.split()] == want.split()
+    assert plain[:4] == ["dy", "ly", "ty", "ski"] and plain[8:10] == ["ti", "fli"] and stem("enjoy") == "enjoi" != stem("enjoy", True)
+
+
+def test_overlaps_by_counters(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.choice("abcde") * rng.randint(1, 2) for _ in range(rng.randint(0, 9))], [rng.choice("abcde") for _ in range(rng.randint(0, 9))]) for k in range(150)] + [(200, None, ["a"]), (201, [], [])]
+    frame = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    got = {r.k: (r.s.rouge1, r.s.rouge2, r.c) for r in frame.select("k", G.gram_scores(F.col("a"), F.col("b"), [1, 2]).alias("s"), G.common(G.runs(F.col("a")), G.runs(F.col("b"))).alias("c")).collect()}
+    for k, a, b in rows:
+        a = a or []
+        pairs = lambda x: [" ".join(p) for p in zip(x, x[1:], strict=False)]
+        assert got[k] == (overlap(a, b), overlap(pairs(a), pairs(b)), sum((Counter(a) & Counter(b)).values()))
+
+
+def test_long_texts_are_scored_alike(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = spark.createDataFrame([(k, say(k), say(30 - k)) for k in range(31)] + [(40, None, "a"), (41, None, None)], "k int, p string, r string")
+    for n in (1, 2):
+        score = lambda long: {r.k: r.s for r in S.rouge_rows(rows, ["k"], "p", "r", n, "s", long).collect()}
+        assert score(0) == score(20) == score(1 << 20) and len(score(20)) == 33
+
+
+def test_stemmed_scores_in_the_row(spark):
+    rows = spark.createDataFrame([(1, "The cats were dying", "a cat is dying and dies"), (2, None, "x"), (3, "", ""), (4, "Running runs", "runs running RUNNING")], "k int, p string, r string")
+    got = {r.k: tuple(r.s) for r in rows.select("k", stemmed_scores(F.col("p"), F.col("r")).alias("s")).collect()}
+    for k, p, r in [tuple(x) for x in rows.collect()]:
+        a, b = ([stem(w, True) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", (t or "").lower())] for t in (p, r))
+        assert got[k] == (overlap(a, b), overlap(list(zip(a, a[1:], strict=False)), list(zip(b, b[1:], strict=False))))
