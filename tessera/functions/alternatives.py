@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessera.functions.text import bound, normalised_items, plain_form, strip
+from tessera.functions.text import bound, normalised_items, plain_form, split_lines, strip
 
 # Headers and field labels that are no alternative, list marks, and what starts a commentary.
 HEADERS = ["alternatives", "alternative descriptions", "bank transfer descriptions", "output", "response"]
@@ -25,7 +25,6 @@ STRICT_NAMES = r"(?:alternative|option|normalized\s+description|description)"
 LOOSE_NAMES = "(?:alternative|option)"
 BULLET = r"^\s*[-*•]\s*"
 MARK = r"\s*[.):\-]\s*"
-LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
 def _as_header() -> tuple[dict[str, str], dict[str, str]]:
@@ -93,7 +92,7 @@ def alternatives(c: Column) -> Column:
 
     def plain(text: Column) -> Column:
         fields = rf"(?iU)^\s*(?:{'|'.join(LABELS)})\s*:"
-        kept = F.filter(F.transform(F.split(text, LINE_END), strict_item), lambda x: (x != "") & ~is_header(x, HEADERS + MORE_HEADERS) & ~x.rlike(fields))
+        kept = F.filter(F.transform(split_lines(text), strict_item), lambda x: (x != "") & ~is_header(x, HEADERS + MORE_HEADERS) & ~x.rlike(fields))
         parts = lambda line: bound(_some(F.transform(F.split(line, r"[ \t]*\|[ \t]*"), strict_item)), lambda p: F.when(F.size(p) >= 2, F.slice(p, 1, 2)).otherwise(F.array(line)))
         return bound(kept, lambda k: F.when(F.size(k) == 2, k).when(F.size(k) == 1, parts(F.get(k, 0))).otherwise(F.array().cast("array<string>")))
 
@@ -108,7 +107,7 @@ def alternatives_loose(c: Column) -> Column:
     """As ``alternatives`` by older rules: marks count anywhere, commentary stays, and of two plain lines or more the first two are taken."""
 
     def plain(text: Column) -> Column:
-        kept = F.filter(F.transform(F.split(text, LINE_END), loose_item), lambda x: (x != "") & ~is_header(x, HEADERS))
+        kept = F.filter(F.transform(split_lines(text), loose_item), lambda x: (x != "") & ~is_header(x, HEADERS))
         some = lambda line: F.filter(F.split(line, r"(?U)\s*\|\s*"), lambda x: strip(x) != "")
         parts = lambda line: bound(F.transform(some(line), loose_item), lambda p: F.when(F.size(p) >= 2, F.slice(p, 1, 2)).otherwise(F.array(line)))
         return bound(kept, lambda k: F.when(F.size(k) >= 2, F.slice(k, 1, 2)).when(F.size(k) == 1, parts(F.get(k, 0))).otherwise(F.array().cast("array<string>")))

@@ -1,14 +1,12 @@
-"""Amounts of money and points in time that a text names. Both depend on where words stand, so they are Arrow functions."""
+"""Amounts of money and points in time that a text names: the rules as plain functions of one text, and their patterns. ``mentions`` has them for columns."""
 
 from __future__ import annotations
 
 import re
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tessera.functions.text import MONTHS
 
@@ -106,74 +104,6 @@ def _priced(low: str, start: int, end: int, known_years: set[int], style: Style)
     return bool(re.match(rf"[ \t]*{style.code}{style.after}", low[end : end + style.reach], re.I)) and not _meant_as_year(low, start, end, known_years)
 
 
-def _set(values: list[int] | None) -> set[int]:
-    return set(values or ())
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def times_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
-    pairs = zip(text.to_pylist(), known_years.to_pylist(), strict=True)
-    return pa.array([sorted(times_in(t, _set(y))) for t, y in pairs], pa.list_(pa.string()))
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def times_with_signs_udf(text: pa.Array, known_years: pa.Array, months: pa.Array) -> pa.Array:
-    """Null months: every month counts."""
-    rows = zip(text.to_pylist(), known_years.to_pylist(), months.to_pylist(), strict=True)
-    return pa.array([sorted(times_in(t, _set(y), WITH_SIGNS, None if m is None else set(m))) for t, y, m in rows], pa.list_(pa.string()))
-
-
-def _amounts(text: pa.Array, known_years: pa.Array, style: Style) -> pa.Array:
-    pairs = zip(text.to_pylist(), known_years.to_pylist(), strict=True)
-    kind = pa.list_(pa.struct([("currency", pa.string()), ("amount", pa.float64())]))
-    return pa.array([[{"currency": c, "amount": a} for c, a in money_in(t, _set(y), style)] for t, y in pairs], kind)
-
-
-AMOUNTS = ArrayType(StructType([StructField("currency", StringType()), StructField("amount", DoubleType())]))
-
-
-@F.arrow_udf(AMOUNTS)
-def money_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
-    return _amounts(text, known_years, CODES_ONLY)
-
-
-@F.arrow_udf(AMOUNTS)
-def money_with_signs_udf(text: pa.Array, known_years: pa.Array) -> pa.Array:
-    return _amounts(text, known_years, WITH_SIGNS)
-
-
-STATEMENTS = StructType([StructField("allowed", ArrayType(StringType())), StructField("times", ArrayType(StringType())), StructField("money", AMOUNTS), StructField("event", ArrayType(StringType()))])
-
-
-def statements_of(text: str | None, given: str | None, source: str | None, event: str | None, signs: bool) -> tuple[set[str], set[str], list[tuple[str, float]], set[str]]:
-    """(allowed, times, money, event): the points in time that a record allows, by what it gives and by all that it says, those and the amounts
-    that its reply names, and those of its event."""
-    style = WITH_SIGNS if signs else CODES_ONLY
-    number = lambda times, kind: {int(x.split(":")[1]) for x in times if x.startswith(kind)}
-    limited = lambda times: number(times, "month:") if signs else None
-    sure = times_in(given, set(), style)
-    allowed = sure | times_in(source, number(sure, "year:"), style, limited(sure))
-    years = number(allowed, "year:")
-    return allowed, times_in(text, years, style, limited(allowed)), money_in(text, years, style), times_in(event, set(), style)
-
-
-def _statements(signs: bool, *columns: pa.Array) -> pa.Array:
-    amounts = pa.list_(pa.struct([("currency", pa.string()), ("amount", pa.float64())]))
-    names, rows = pa.list_(pa.string()), [statements_of(*x, signs) for x in zip(*(c.to_pylist() for c in columns), strict=True)]
-    times = lambda k: pa.array([sorted(r[k]) for r in rows], names)
-    return pa.StructArray.from_arrays([times(0), times(1), pa.array([[{"currency": c, "amount": a} for c, a in r[2]] for r in rows], amounts), times(3)], names=["allowed", "times", "money", "event"])
-
-
-@F.arrow_udf(STATEMENTS)
-def statements_udf(text: pa.Array, given: pa.Array, source: pa.Array, event: pa.Array) -> pa.Array:
-    return _statements(False, text, given, source, event)
-
-
-@F.arrow_udf(STATEMENTS)
-def statements_with_signs_udf(text: pa.Array, given: pa.Array, source: pa.Array, event: pa.Array) -> pa.Array:
-    return _statements(True, text, given, source, event)
-
-
 def years_of(times: Column) -> Column:
     """The years among markers."""
     return F.transform(F.filter(times, lambda x: x.startswith("year:")), lambda x: F.substring(x, 6, 4).cast("int"))

@@ -37,6 +37,15 @@ def category_slug(c: Column) -> Column:
     return F.replace(F.upper(strip(c)), F.lit(" "), F.lit("_"))
 
 
+#: The single characters that end a line, besides the line feed.
+LINE_ENDS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def split_lines(c: Column, ends: str = LINE_ENDS) -> Column:
+    """The lines of a text, with empty ones. Line ends become line feeds first, as a text is cut at one character without a regular expression."""
+    return F.split(F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), ends, "\n" * len(ends)), "\n")
+
+
 def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -126,7 +135,7 @@ def ngrams(words: Column, n: int) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines with something in them, stripped."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\n|\r"), strip), lambda x: x != "")
+    return F.filter(F.transform(split_lines(F.coalesce(c, F.lit("")), "\r"), strip), lambda x: x != "")
 
 
 def numbered(c: Column) -> Column:
