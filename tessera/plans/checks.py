@@ -16,7 +16,8 @@ from tessera.plans.reviews import _norm
 from tessera.session import shared_path
 from tessera.sources import jsonl as J
 from tessera.sources import readers as I
-from tessera.streaming.metrics import distinct_runs, windowed
+from tessera.streaming.metrics import DONE, FAILED, distinct_runs, windowed
+from tessera.streaming.monitor import monitored
 
 # -- raw records: of forty records in a row, one breaks each rule in its own way
 
@@ -382,6 +383,19 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("total", F.round("total", 4))
 
 
+@query("""WITH l AS (SELECT CAST(user_id AS VARCHAR) AS run, ts AS time, CASE WHEN event_id % 97 = 5 THEN 'DEPLOYMENT_BENCHMARK_COMPLETE' WHEN event_id % 89 = 7 THEN 'DEPLOYMENT_BENCHMARK_ERROR' WHEN event_type = 'click' THEN 'METRICS k=' || event_id ELSE event_type END AS value FROM events),
+r AS (SELECT run, min(time) AS started, min(time) FILTER (value LIKE 'DEPLOYMENT%') AS marked, arg_min(value, time) FILTER (value LIKE 'DEPLOYMENT%') AS marker FROM l GROUP BY run),
+e AS (SELECT run, CASE WHEN marked <= started + INTERVAL '1 day' THEN CASE WHEN marker LIKE '%ERROR' THEN 'failed' ELSE 'done' END ELSE 'timeout' END AS kind, CASE WHEN marked <= started + INTERVAL '1 day' THEN marked ELSE started + INTERVAL '1 day' END AS time FROM r)
+SELECT run, 'metrics' AS kind, time, value, CAST(NULL AS BIGINT) AS metrics FROM l WHERE value LIKE 'METRICS %'
+UNION ALL SELECT run, kind, time, NULL, (SELECT count(*) FROM l WHERE l.run = e.run AND l.value LIKE 'METRICS %' AND l.time <= e.time) FROM e WHERE time <= (SELECT max(time) - INTERVAL '1 minute' FROM l)""")
+def monitor_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs and their events as lines of a log, each line twice, as a poll repeats it. What the stream of the lines tells in the end."""
+    k = F.col("event_id")
+    line = F.when(k % 97 == 5, DONE).when(k % 89 == 7, FAILED).when(F.col("event_type") == "click", F.concat(F.lit("METRICS k="), k.cast("string"))).otherwise(F.col("event_type"))
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").alias("time"), line.alias("value"))
+    return monitored(lines.unionByName(lines), timeout="1 day").withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id AS id, 'c' || user_id AS \"calendarName\", event_type AS title, event_id * 3600000 AS \"startMillis\", event_id * 3600000 + 1 AS \"endMillis\", event_id % 2 = 0 AS \"allDay\" FROM events WHERE event_id * 3600000 BETWEEN 86400000 AND 86400000 + 7776000000")
 def calendar_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
