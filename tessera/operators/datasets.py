@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound, normalised, normalised_items, strip
-from tessera.operators.compare import quotas
-from tessera.operators.records import ACTIVITIES, duplicate_ids, references_contained
+from tessera.operators.profile import tallies
+from tessera.operators.records import ACTIVITIES, references_contained
 
 
 def _errors(rows: DataFrame, rule: str, detail: Column) -> DataFrame:
@@ -23,22 +23,26 @@ def missing_names(rows: DataFrame, id_col: str, last: int, prefix: str = "EX", d
 
 
 def dataset_errors(records: DataFrame, total: int, activities: dict[str, int], with_calendar: int, without_calendar: int, seq: str = "seq", least_categories: int = 25, share: float = 0.1, shown: int = 20, digits: int = 4) -> DataFrame:
-    """(rule, detail): a row for each constraint on the whole set that does not hold. Groups are counted before anything is compared, and lists of ids show the
+    """(rule, detail): a row for each constraint on the whole set that does not hold. The records are read once, into counts of all that is constrained; lists of ids show the
     first ``shown``. A null category is a category."""
-    counts = records.agg(F.count("*").alias("n"), F.count_if((F.col("activity_type") == "GENERATION") & F.col("calendar_context").isNotNull()).alias("with"), F.count_if((F.col("activity_type") == "GENERATION") & F.col("calendar_context").isNull()).alias("without"))
+    generation = F.col("activity_type") == "GENERATION"
+    keys = {"all": F.lit(""), "id": F.col("id_example"), "activity": F.col("activity_type"), "category": F.col("operation_category"), "calendar": F.when(F.col("calendar_context").isNotNull(), "with").otherwise("without")}
+    counts = tallies(records, keys, seq=seq, only={"calendar": generation})
+    part = lambda name: counts.where(F.col("part") == name)
+    count = lambda name, key: F.coalesce(F.sum(F.when((F.col("part") == name) & (F.col("key") == key), F.col("n"))), F.lit(0))
+    sums = counts.agg(count("all", "").alias("n"), count("calendar", "with").alias("with"), count("calendar", "without").alias("without"), F.count_if(F.col("part") == "category").alias("categories"))
     expected = lambda c, n: F.format_string(f"expected {n}, found %d", F.col(c))
-    out = [_errors(counts.where(F.col(c) != n), rule, expected(c, n)) for rule, c, n in (("total_count", "n", total), ("calendar_quota_with", "with", with_calendar), ("calendar_quota_without", "without", without_calendar))]
-    listed = lambda rows, name: rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(name)), lambda x: x["id"]), ", ").alias("ids")).where("ids != ''")
-    repeated = duplicate_ids(records, "id_example", seq, shown).select(F.struct(F.col("first_seq"), F.col("id_example").alias("id")).alias("x"))
-    out.append(_errors(listed(repeated, "x"), "duplicate_ids", F.col("ids")))
-    missing = missing_names(records, "id_example", total, digits=digits).orderBy("id_example").limit(shown).select(F.struct(F.col("id_example").alias("id")).alias("x"))
-    out.append(_errors(listed(missing, "x"), "missing_ids", F.col("ids")))
-    met = quotas(records, "activity_type", activities).where("not met")
-    out.append(_errors(met, "activity_quota", F.format_string("%s: expected %d, found %d", "activity_type", "expected", "n")))
-    categories = records.groupBy("operation_category").agg(F.count("*").alias("n"))
-    distinct = categories.agg(F.count("*").alias("n")).where(F.col("n") < least_categories)
-    out.append(_errors(distinct, "min_categories", F.format_string(f"expected {least_categories} at least, found %d", "n")))
-    out.append(_errors(categories.where(F.col("n") > share * total), "category_cap", F.format_string("%s: %d", "operation_category", "n")))
+    out = [_errors(sums.where(F.col(c) != n), rule, expected(c, n)) for rule, c, n in (("total_count", "n", total), ("calendar_quota_with", "with", with_calendar), ("calendar_quota_without", "without", without_calendar))]
+    listed = lambda rows: rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]), ", ").alias("ids")).where("ids != ''")
+    ids = part("id").select(F.col("key").alias("id_example"), "n", "first")
+    repeated = ids.where("n > 1").orderBy("first").limit(shown).select(F.struct("first", F.col("id_example").alias("id")).alias("x"))
+    out.append(_errors(listed(repeated), "duplicate_ids", F.col("ids")))
+    missing = missing_names(ids, "id_example", total, digits=digits).orderBy("id_example").limit(shown).select(F.struct(F.col("id_example").alias("id")).alias("x"))
+    out.append(_errors(listed(missing), "missing_ids", F.col("ids")))
+    wanted = records.sparkSession.createDataFrame(list(activities.items()), "key string, expected long").join(part("activity").select("key", "n"), "key", "left").select("key", "expected", F.coalesce("n", F.lit(0)).alias("n"))
+    out.append(_errors(wanted.where("n <> expected"), "activity_quota", F.format_string("%s: expected %d, found %d", "key", "expected", "n")))
+    out.append(_errors(sums.where(F.col("categories") < least_categories), "min_categories", F.format_string(f"expected {least_categories} at least, found %d", "categories")))
+    out.append(_errors(part("category").where(F.col("n") > share * total), "category_cap", F.format_string("%s: %d", "key", "n")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -11,6 +11,7 @@ from tessera.operators import datasets as D
 from tessera.operators import raw as W
 from tessera.operators import records as R
 from tessera.operators import stats as S
+from tessera.operators.profile import tallies
 from tessera.plans.queries import RECORDS, RUNS, query, runs, stratified_split, table, transfer_records
 from tessera.plans.reviews import _norm
 from tessera.session import shared_path
@@ -136,6 +137,17 @@ def dataset_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dataset_errors(rows, 5000, {"GENERATION": 2000, "COMPLETION": 1500, "NORMALIZATION": 1500}, 1000, 1000, digits=7)
 
 
+@query(f"""WITH {RECORDS} SELECT 'activity' AS part, activity_type AS key, count(*) AS n, CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most, CAST(NULL AS DOUBLE) AS mean FROM rec GROUP BY 2
+UNION ALL SELECT 'currency', currency, count(*), NULL, NULL, NULL FROM rec GROUP BY 2 UNION ALL SELECT 'category', operation_category, count(*), NULL, NULL, NULL FROM rec GROUP BY 2
+UNION ALL SELECT 'beneficiary', beneficiary, count(*), NULL, NULL, NULL FROM rec GROUP BY 2 UNION ALL SELECT 'calendar', CAST(has_calendar AS VARCHAR), count(*), NULL, NULL, NULL FROM rec WHERE activity_type = 'GENERATION' GROUP BY 2
+UNION ALL SELECT 'amount', NULL, count(*), min(amount), max(amount), round(avg(amount), 4) FROM rec WHERE amount > 0""")
+def record_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report on the records says, from one scan of them."""
+    keys = {"activity": F.col("activity_type"), "currency": F.col("currency"), "category": F.col("operation_category"), "beneficiary": F.col("beneficiary"), "calendar": F.col("calendar_context").isNotNull()}
+    found = tallies(transfer_records(spark, sf_dir), keys, {"amount": F.col("amount")}, only={"calendar": F.col("activity_type") == "GENERATION", "amount": F.col("amount") > 0})
+    return found.select("part", "key", "n", "least", "most", F.round(F.col("total") / F.col("n"), 4).alias("mean"))
+
+
 @query(f"""WITH {RECORDS} SELECT id_example, 'lost' AS problem FROM rec WHERE seq % 53 = 0 UNION ALL SELECT 'ZZ' || id_example, 'stray' FROM rec WHERE seq % 59 = 1 UNION ALL SELECT id_example, 'shared' FROM rec WHERE seq % 61 = 2 AND seq % 53 <> 0
 UNION ALL SELECT id_example, 'label' FROM rec WHERE (seq % 67 = 3 OR seq % 61 = 2) AND seq % 53 <> 0""")
 def split_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
