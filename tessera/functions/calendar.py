@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import month_number
 from tessera.functions.text import collapse
 
-# The words of each category, in the order in which they are tried. Phrases that a shorter one of their category is part of are left out, as that finds them.
+# The words of each category, in the order in which they are tried.
 KEYWORDS = {
     "Accommodation": ["hotel", "hostel", "accommodation", "room booking"],
     "Charity": ["charity", "donation", "fundraiser"],
@@ -17,11 +17,11 @@ KEYWORDS = {
     "Course": ["course", "workshop", "lesson", "class"],
     "Dining": ["lunch", "dinner", "restaurant", "brunch", "dining"],
     "Education": ["thesis", "exam", "university", "school", "lecture", "education"],
-    "Family": ["family"],
+    "Family": ["family", "family meeting"],
     "Health": ["doctor", "dentist", "dental", "therapy", "physiotherapy", "hospital", "medical", "clinic"],
-    "Insurance": ["insurance", "policy renewal"],
+    "Insurance": ["insurance", "policy renewal", "insurance premium"],
     "Maintenance": ["maintenance", "air conditioner service", "boiler service"],
-    "Membership": ["membership", "club renewal"],
+    "Membership": ["membership", "club renewal", "membership renewal"],
     "Pet care": ["veterinary", "veterinarian", "vet appointment", "pet care"],
     "Professional": ["business meeting", "client meeting", "professional meeting", "work meeting"],
     "Repair": ["repair", "fixing"],

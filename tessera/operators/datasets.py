@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.mentions import times
 from tessera.functions.text import bound, normalised, normalised_items, strip
 from tessera.operators.profile import tallies
 from tessera.operators.records import ACTIVITIES, references_contained
+from tessera.operators.stats import numbered
 
 
 def _errors(rows: DataFrame, rule: str, detail: Column) -> DataFrame:
@@ -131,6 +133,24 @@ def calendar_coherent(event_date: Column, year: Column, month: Column, quarter:
     return F.coalesce(F.year(day) == year, F.lit(True)) & F.coalesce(F.month(day) == month, F.lit(True)) & F.coalesce(F.quarter(day) == quarter, F.lit(True))
 
 
+def period_coherent(event_date: Column, period: Column) -> Column:
+    """Whether an event falls into the period that a text names: into one of its months, quarters and years, of whichever of these it names any. No text, no named time, or no valid date fits anything."""
+    day = F.try_to_date(event_date, "yyyy-M-d")
+    own = {"month": F.month(day), "quarter": F.quarter(day), "year": F.year(day)}
+
+    def fits(named: Column) -> Column:
+        of = lambda kind: F.filter(named, lambda x: F.startswith(x, F.lit(f"{kind}:")))
+        kinds = [(of(kind), F.concat(F.lit(f"{kind}:"), value.cast("string"))) for kind, value in own.items()]
+        return reduce(lambda a, b: a & b, ((F.size(some) == 0) | F.array_contains(some, marker) for some, marker in kinds))
+
+    return F.coalesce(bound(times(period, F.array().cast("array<int>")), fits), F.lit(True))
+
+
+def events_in_order(events: DataFrame, day: str, ties: list[str], name: str) -> DataFrame:
+    """The events with their place from 1 by day, those without one last. No task sorts all of them."""
+    return numbered(events, [F.col(day).asc_nulls_last(), *(F.col(c).asc() for c in ties)], name)
+
+
 def event_stats(records: DataFrame, calendar: str = "calendar_context") -> DataFrame:
     """One row: events, different titles and categories, and the first and last date."""
     c = lambda x: F.col(f"{calendar}.{x}")

@@ -25,7 +25,7 @@ def describe_by(rows: DataFrame, key: str, measures: list[str]) -> DataFrame:
     return described(rows, [key], measures)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """``rows`` with their number from 1 in an order of all rows. Ranges of the order are sorted apart and written; only the number of rows of each
     range is summed up, so no task sees all rows, and a lost executor cannot shift ranges. Keys that tie are numbered in any order."""
     at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)

@@ -23,7 +23,7 @@ from tessera.streaming.monitor import monitored
 # -- raw records: of forty records in a row, one breaks each rule in its own way
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
     """(value): the records as lines of JSON, in which the record's number, modulo 40, decides what is wrong with it."""
     v, q = F.col("seq") % 40, lambda c: F.to_json(F.struct(F.col(c).alias("x")))
     text = lambda c: F.coalesce(F.regexp_extract(q(c), r'^\{"x":(.*)\}$', 1), F.lit("null"))
@@ -53,7 +53,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v == 1, F.lit('"note":1')),
     ]
     whole = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    return transfer_records(spark, sf_dir).select(F.when(v == 25, "[1]").when(v == 26, "{bad").otherwise(whole).alias("value"))
+    return (transfer_records(spark, sf_dir) if records is None else records).select(F.when(v == 25, "[1]").when(v == 26, "{bad").otherwise(whole).alias("value"))
 
 
 _G = "activity_type = 'GENERATION'"
@@ -192,7 +192,7 @@ def alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COPIES = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang, source) AS f FROM documents"
 
 
-@query(f"WITH {RECORDS} SELECT count(*) AS errors, 2 * (SELECT count(*) FROM rec WHERE seq % 40 = 25) + 0 AS unreadable, (SELECT count(*) FROM ({_COPIES}) WHERE f < doc_id) AS copies, false AS passed FROM (SELECT 1 FROM rec WHERE seq % 40 = 23)".replace("2 * (SELECT count(*) FROM rec WHERE seq % 40 = 25) + 0", "(SELECT count(*) FROM rec WHERE seq % 40 IN (25, 26))"))
+@query(f"WITH {RECORDS} SELECT count(*) AS errors, (SELECT count(*) FROM rec WHERE seq % 40 IN (25, 26)) AS unreadable, (SELECT count(*) FROM ({_COPIES}) WHERE f < doc_id) AS copies, false AS passed FROM (SELECT 1 FROM rec WHERE seq % 40 = 23)")
 def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = raw_lines(spark, sf_dir)
     unreadable = lines.where(F.json_object_keys("value").isNull() | F.try_parse_json("value").isNull())
@@ -206,9 +206,12 @@ def pii_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", D.pii_like(F.col("text")).alias("pii"))
 
 
-@query(f"WITH {RECORDS} SELECT count(*) AS events, 1::BIGINT AS titles, 1::BIGINT AS categories, min(event_date) AS first_date, max(event_date) AS last_date FROM rec WHERE has_calendar")
+@query(f"WITH {RECORDS} SELECT count(*) AS events, count(DISTINCT seq % 37) AS titles, count(DISTINCT CASE WHEN seq % 9 > 0 THEN activity_type || seq % 5 END) AS categories, min(event_date) AS first_date, max(event_date) AS last_date FROM rec WHERE has_calendar")
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.event_stats(transfer_records(spark, sf_dir))
+    k, c = F.col("seq"), lambda x: F.col(f"calendar_context.{x}")
+    category = F.when(k % 9 > 0, F.concat("activity_type", (k % 5).cast("string")))
+    context = F.struct(F.concat(c("event_title"), (k % 37).cast("string")).alias("event_title"), c("event_date").alias("event_date"), category.alias("event_category"))
+    return D.event_stats(transfer_records(spark, sf_dir).withColumn("calendar_context", F.when(F.col("calendar_context").isNotNull(), context)))
 
 
 @query(f"WITH {RECORDS} SELECT id_example, year(CAST(event_date AS DATE)) = 1995 + seq % 4 AND (seq % 3 = 0 OR month(CAST(event_date AS DATE)) = 1 + seq % 12) AS coherent FROM rec WHERE has_calendar")
@@ -301,7 +304,7 @@ def thermal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.thermal_summary(rows, "run", "at", "temp", "bat", "st")
 
 
-@query("SELECT event_id % 50 AS unit, max(value) FILTER (event_id < 50) AS cold FROM events GROUP BY 1".replace("event_id % 50 AS unit, max(value) FILTER (event_id < 50) AS cold FROM events GROUP BY 1", "max(value) FILTER (event_id = 0) AS cold, round(avg(value) FILTER (event_id > 0), 6) AS warm_mean, round(median(value) FILTER (event_id > 0), 6) AS warm_median, min(value) FILTER (event_id > 0) AS warm_min, max(value) FILTER (event_id > 0) AS warm_max, round(100 * (max(value) FILTER (event_id = 0) - avg(value) FILTER (event_id > 0)) / max(value) FILTER (event_id = 0), 6) AS saving_pct FROM events"))
+@query("SELECT max(value) FILTER (event_id = 0) AS cold, round(avg(value) FILTER (event_id > 0), 6) AS warm_mean, round(median(value) FILTER (event_id > 0), 6) AS warm_median, min(value) FILTER (event_id > 0) AS warm_min, max(value) FILTER (event_id > 0) AS warm_max, round(100 * (max(value) FILTER (event_id = 0) - avg(value) FILTER (event_id > 0)) / max(value) FILTER (event_id = 0), 6) AS saving_pct FROM events")
 def load_cold_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.cold_warm(table(spark, sf_dir, "events").withColumn("condition", F.when(F.col("event_id") == 0, "cold").otherwise("warm")), "condition", "value")
     return found.withColumns({c: F.round(c, 6) for c in ("warm_mean", "warm_median", "saving_pct")})

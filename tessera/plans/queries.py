@@ -153,9 +153,11 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.duplicate_ids(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
 
 
-@query("SELECT i AS c_custkey FROM generate_series(1, 2000) t(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT i AS c_custkey FROM generate_series(1, (SELECT max(o_custkey) FROM orders)) t(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.missing_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 2000)
+    """Up to the last id that an order has."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return R.missing_ids(orders, "c_custkey", orders.agg(F.max("c_custkey")).first()[0] or 0)
 
 
 @query("SELECT i AS c_custkey FROM generate_series(1, (SELECT max(c_custkey) FROM customer)) t(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
@@ -224,9 +226,11 @@ def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.lines(F.col("text"))).alias("n_lines"), T.repetition(F.col("text")).alias("repeats"))
 
 
-@query(f"WITH {RECORDS} SELECT id_example, true AS valid, true AS exactly_two, lower(out1) <> lower(out2) AS two_differ FROM rec")
+@query(f"WITH {RECORDS} SELECT id_example, seq % 5 IN (0, 3, 4) AS valid, seq % 5 IN (0, 4) AS exactly_two, seq % 5 IN (0, 1, 3) AND lower(out1) <> lower(out2) AS two_differ FROM rec")
 def format_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = R.completion()
+    """Completions as they should be, in the wrong order, without numbers, with a third one, and with the same one twice."""
+    a, b, k = F.get("expected_output", 0), F.get("expected_output", 1), F.col("seq") % 5
+    done = F.when(k == 1, F.concat(F.lit("2. "), b, F.lit("\n1. "), a)).when(k == 2, F.concat(a, F.lit("\n"), b)).when(k == 3, F.concat(R.completion(), F.lit("\n3. x"))).when(k == 4, F.concat(F.lit("1. "), a, F.lit("\n2. "), F.lower(a))).otherwise(R.completion())
     return transfer_records(spark, sf_dir).select("id_example", T.valid_format(done).alias("valid"), T.exactly_two(done).alias("exactly_two"), T.distinct_alternatives(done).alias("two_differ"))
 
 

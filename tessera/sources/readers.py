@@ -116,8 +116,9 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
     return state.select(F.explode("log_history").alias("e")).select("e.*")
 
 
-def calendar_range(events: DataFrame, start: Column, days: int = 90, begin: str = "startMillis") -> DataFrame:
-    """The events that begin from ``start`` (milliseconds) up to ``days`` days later, by their beginning."""
+def calendar_range(events: DataFrame, start: Column | None = None, days: int = 90, begin: str = "startMillis") -> DataFrame:
+    """The events that begin from ``start`` (milliseconds; now, if none is given) up to ``days`` days later, by their beginning."""
+    start = F.unix_millis(F.current_timestamp()) if start is None else start
     return events.where((F.col(begin) >= start) & (F.col(begin) <= start + days * 86_400_000)).select("id", "calendarName", "title", begin, "endMillis", "allDay").orderBy(begin, "id")
 
 
