@@ -104,15 +104,3 @@ def test_mix_goes_on_after_a_first_document_beyond_the_budget(spark):
     for source, r in plan.items():
         taken = sum(size * (r.whole + any(size <= x.cap and x.low <= h < x.end for x in r.rules)) for own, size, h in rows if own == source)
         assert r.target - 10 < taken <= r.target
-
-
-def test_metric_lines_of_all_events(spark, tmp_path, monkeypatch):
-    from tessera.plans import queries
-
-    rows = [(i, kind, i / 8) for i, kind in enumerate(["click", "view", "view", "click", "buy", "buy", None])]
-    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    read, lines = queries.metric_lines, []
-    monkeypatch.setattr(queries, "metric_lines", lambda x: lines.extend(r.value for r in x.collect()) or read(x))
-    got = sorted(tuple(r) for r in queries.metric_log_extract(spark, str(tmp_path)).collect())
-    assert got == [(0, 0, 0.0, "yes"), (3, 3, 0.375, "yes")]
-    assert len(lines) == 7 and {("METRICS " in x, "total_ms=" in x) for x in lines} == {(True, True), (False, True), (True, False)}
