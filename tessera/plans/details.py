@@ -44,7 +44,7 @@ def period_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an event falls into the period that a record's text names, by months, quarters and years."""
     k, date = F.col("seq") % 8, F.to_date("calendar_context.event_date")
     own = F.concat(F.lit("early "), F.date_format(date, "MMM"))
-    period = F.when(k == 0, own).when(k == 2, "Q2 of 2001 and Q2 1997").when(k == 4, "years 2001, 2002").otherwise("the spring semester")
+    period = F.when(k == 0, own).when(k == 2, "Q2 and q3 of 2000 then 2001").when(k == 4, "years 2000 and 2002").otherwise("the spring semester")
     rows = transfer_records(spark, sf_dir).where("calendar_context is not null")
     return rows.select("id_example", D.period_coherent(F.col("calendar_context.event_date"), period).alias("coherent"))
 
