@@ -1,6 +1,9 @@
 """Web archives: writing and reading the legacy ARC format, its conversion to WARC, and reading WARC.
 
-An archive is written as one file of gzip members, a member for each record, by Spark's text writer, which takes the bytes as
+Archives are read as streams: a header line (of WARC a header block), then as many bytes as it declares, then the next one, wherever gzip members begin and end in it. So a
+file may be plain, packed as one member, or packed record by record; files may have any name. What is cut off, or is left over after the last record, is an error.
+
+An archive of this package's own is written as one file of gzip members, a member for each record, by Spark's text writer, which takes the bytes as
 they are; the zero byte that it puts after an archive is padding that gzip readers skip. So archives live wherever Spark
 can write, and are read back as binary files.
 
@@ -24,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,22 +62,80 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, end, content) of the gzip members; zero bytes between and after them are skipped."""
+#: Bytes that are unpacked at once.
+PIECE = 1 << 16
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, unpacked if they are gzip members; zero bytes between and after members are skipped."""
     view, at = memoryview(data), 0
+    while at < len(view) and view[at] == 0:
+        at += 1
+    if bytes(view[at : at + 2]) != b"\x1f\x8b":
+        for a in range(at, len(view), PIECE):
+            yield bytes(view[a : a + PIECE])
+        return
     while at < len(view):
         if view[at] == 0:
             at += 1
             continue
-        unpacker, parts, begin = zlib.decompressobj(31), [], at
+        unpacker, begin = zlib.decompressobj(31), at
         while not unpacker.eof:
             chunk = view[at : at + (1 << 15)]
             if not len(chunk):
                 raise ValueError(f"the member at {begin} is cut off")
-            parts.append(unpacker.decompress(chunk))
+            yield unpacker.decompress(chunk)
             at += len(chunk)
         at -= len(unpacker.unused_data)
-        yield begin, at, b"".join(parts)
+
+
+class Stream:
+    """An unpacked archive, read step by step. ``offset`` is the place in it."""
+
+    def __init__(self, data: bytes):
+        self.left, self.held, self.at, self.offset = pieces(data), bytearray(), 0, 0
+
+    def _more(self) -> bool:
+        piece = next(self.left, None)
+        if piece is None:
+            return False
+        del self.held[: self.at]
+        self.at = 0
+        self.held += piece
+        return True
+
+    def skip(self, unwanted: bytes) -> bool:
+        """Step over these bytes; whether others follow."""
+        while True:
+            while self.at < len(self.held) and self.held[self.at] in unwanted:
+                self.at += 1
+                self.offset += 1
+            if self.at < len(self.held):
+                return True
+            if not self._more():
+                return False
+
+    def until(self, end: bytes) -> bytes:
+        """The bytes before the next ``end``, which is stepped over."""
+        scanned = 0
+        while (found := self.held.find(end, self.at + scanned)) < 0:
+            scanned = max(0, len(self.held) - self.at - len(end) + 1)
+            if not self._more():
+                raise ValueError(f"the header at {self.offset} is cut off, or bytes are left over")
+        out = bytes(self.held[self.at : found])
+        self.offset += found + len(end) - self.at
+        self.at = found + len(end)
+        return out
+
+    def take(self, n: int) -> bytes:
+        begin = self.offset
+        while len(self.held) - self.at < n:
+            if not self._more():
+                raise ValueError(f"the record at {begin} has {len(self.held) - self.at} bytes of {n}")
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += n
+        self.offset += n
+        return out
 
 
 def _url(url: str | None) -> str:
@@ -91,30 +153,33 @@ def arc_record(name: str, version: int, date: str, offset: int, url: str | None,
     return " ".join(values[x] for x in ARC_FIELDS[version]).encode() + b"\n" + content + b"\n"
 
 
-def parse_arc(parts: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, end, header fields by name, content) of the records of an archive; the version block sets the fields."""
-    fields: list[str] | None = None
-    for offset, end, data in parts:
-        line, _, rest = data.partition(b"\n")
-        if line.startswith(b"filedesc://"):
-            about = rest.split(b"\n", 2)
-            version = int(about[0].split(b" ", 1)[0])
+def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields by name, content) of the records of an archive, by its header lines and declared lengths; the version block sets the fields."""
+    stream, fields = Stream(data), None
+    while stream.skip(b"\r\n\0"):
+        offset = stream.offset
+        line = stream.until(b"\n").rstrip(b"\r").decode("utf-8", "replace")
+        values = line.split(" ")
+        if not values[-1].isdigit():
+            raise ValueError(f"the line at {offset} of the archive declares no length: {line[:80]!r}")
+        content = stream.take(int(values[-1]))
+        if line.startswith("filedesc://"):
+            about = content.decode("utf-8", "replace").splitlines()
+            version = int(about[0].split(" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version} is not known")
-            fields = about[1].decode().split(" ")
+            fields = about[1].split(" ") if len(about) > 1 and about[1] else ARC_FIELDS[version]
             continue
         if fields is None:
             raise ValueError("an ARC file begins with a version block")
         # the type may hold blanks, so fields are taken from both ends around it
-        values = line.decode("utf-8", "replace").split(" ")
         kind = fields.index("Content-type")
         tail = len(fields) - kind - 1
+        if len(values) < len(fields):
+            raise ValueError(f"the line at {offset} of the archive has {len(values)} of {len(fields)} fields")
         header = dict(zip(fields[:kind], values[:kind], strict=True)) | dict(zip(fields[kind + 1 :], values[len(values) - tail :], strict=True))
         header["Content-type"] = " ".join(values[kind : len(values) - tail])
-        length = int(header["Archive-length"])
-        if len(rest) < length:
-            raise ValueError(f"the record at {offset} has {len(rest)} bytes of {length}")
-        yield offset, end, header, rest[:length]
+        yield offset, header, content
 
 
 def _packed(records: Iterator[bytes], opening) -> Iterator[pa.RecordBatch]:
@@ -144,8 +209,8 @@ def _write(archives: DataFrame, path: str) -> None:
     archives.select(F.col("archive").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _read(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content")
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -182,15 +247,16 @@ def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
-def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    """(record, archive, offset, page_id, uri, ip, date, kind, http, payload_digest, payload_bytes, length, member) of each record; record is the
-    place, archive and offset; kind is the content type; http whether it is a response, whose payload then follows its header, else all of it is
-    payload; length is that of its content; member is the record as it lies in the archive, packed, if ``whole``, else null."""
+def read_arc(spark: SparkSession, path: str, whole: bool, names: str = "*") -> DataFrame:
+    """(record, archive, offset, page_id, uri, ip, date, kind, http, payload_digest, payload_bytes, content) of each record of the files under a path whose names fit; record is the
+    place, archive and offset in it when unpacked; kind is the content type; http whether it is a response, whose payload then follows its header, else all of it is
+    payload; content is packed, and there if ``whole``, else null."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record", "archive", "offset", "page_id", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "length", "member"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["record", "archive", "offset", "page_id", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "content"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.binary()]
+        pack = zstandard.ZstdCompressor(level=1).compress
         rows, held = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -199,18 +265,18 @@ def read_arc(spark: SparkSession, path: str, whole: bool) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 place, data = batch.column(0)[i].as_py().rsplit("/", 1)[-1], batch.column(1)[i].as_py()
-                for offset, end, header, content in parse_arc(members(data)):
+                for offset, header, content in parse_arc(data):
                     http = is_http(header["URL"], content)
                     _, fields, payload = _http(content) if http else (b"", {}, content)
-                    rows.append((f"{place}#{offset}", place, offset, _number(fields.get("x-page-id")), header["URL"], header["IP-address"], header["Archive-date"], header["Content-type"], http, digest(payload), len(payload), len(content), data[offset:end] if whole else None))
-                    held += end - offset if whole else 0
+                    rows.append((f"{place}#{offset}", place, offset, _number(fields.get("x-page-id")), header["URL"], header["IP-address"], header["Archive-date"], header["Content-type"], http, digest(payload), len(payload), pack(content) if whole else None))
+                    held += len(rows[-1][-1]) if whole else 0
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield flush()
                         rows, held = [], 0
         if rows:
             yield flush()
 
-    return _read(spark, path).transform(map_arrow, run, "record string, archive string, offset long, page_id long, uri string, ip string, date string, kind string, http boolean, payload_digest string, payload_bytes long, length long, member binary")
+    return _read(spark, path, names).transform(map_arrow, run, "record string, archive string, offset long, page_id long, uri string, ip string, date string, kind string, http boolean, payload_digest string, payload_bytes long, content binary")
 
 
 def record_id(record: str) -> str:
@@ -223,12 +289,15 @@ def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields by lower-case name, with the version as ``version``, and the block."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = {"version": first} | {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
-    return fields, rest[: int(fields["content-length"])]
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields by lower-case name, with the version as ``version``, and the block of each record, by declared lengths."""
+    stream = Stream(data)
+    while stream.skip(b"\r\n\0"):
+        first, *lines = stream.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"a record begins with {first[:40]!r}")
+        fields = {"version": first} | {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}
+        yield fields, stream.take(int(fields["content-length"]))
 
 
 def warc_date(date: str) -> str:
@@ -237,22 +306,24 @@ def warc_date(date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
-def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0) -> None:
-    """Write the ARC archives under ``arc`` as WARC. Of records with equal payloads of at least ``least_bytes`` bytes the one
+def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0, names: str = "*") -> None:
+    """Write the ARC archives under ``arc`` whose names fit as WARC. Of records with equal payloads of at least ``least_bytes`` bytes the one
     with the largest id becomes the response, the others revisit records that refer to it."""
     ship(spark)
-    seen = read_arc(spark, arc, whole=False).where("http").select("record", "archive", "offset", "page_id", "uri", "payload_digest", "payload_bytes")
+    seen = read_arc(spark, arc, False, names).where("http").select("record", "archive", "offset", "page_id", "uri", "payload_digest", "payload_bytes")
     seen = materialise(seen.where(F.col("payload_bytes") >= least_bytes), "seen")
     last = seen.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "archive", "offset", "record", "uri")).alias("last"), F.count("*").alias("n")).where("n > 1")
     refers = seen.join(last, ["payload_digest", "payload_bytes"]).where(F.col("record") != F.col("last.record")).select("record", F.col("last.record").alias("to_record"), F.col("last.uri").alias("to_uri"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def records() -> Iterator:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                     fields = {"WARC-Record-ID": record_id(row["record"]), "WARC-Date": warc_date(row["date"]), "WARC-Target-URI": row["uri"], "WARC-IP-Address": row["ip"], "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "Content-Type": "application/http; msgtype=response"}
-                    content = zlib.decompress(row["member"], 31).split(b"\n", 1)[1][: row["length"]]
+                    content = unpack(row["content"])
                     if not row["http"]:
                         data = warc_record("resource", fields | {"Content-Type": row["kind"]}, content)
                     elif row["to_record"] is None:
@@ -266,34 +337,36 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0)
         about = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
         yield from _packed(records(), lambda name: warc_record("warcinfo", {"WARC-Record-ID": record_id(name), "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Filename": f"{name}.warc.gz", "Content-Type": "application/warc-fields"}, about))
 
-    whole = read_arc(spark, arc, whole=True).select("record", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "length", "member").join(refers, "record", "left")
+    whole = read_arc(spark, arc, True, names).select("record", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "content").join(refers, "record", "left")
     _write(whole.transform(map_arrow, run, "archive binary"), path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """(record_id, page_id, record_type, refers_to_id, payload_bytes, payload_digest) of each response, revisit and resource. Lengths and
-    digests are those of the bytes read, which must equal the declared digest; a revisit's are declared."""
+    digests are those of the bytes read, which must equal the declared digest if there is one; a revisit's are declared, and null where they are not."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for _, _, data in members(batch.column(1)[i].as_py()):
-                    fields, block = parse_warc(data)
+                for fields, block in parse_warc(batch.column(1)[i].as_py()):
                     if (kind := fields["warc-type"]) not in ("response", "revisit", "resource"):
                         continue
                     _, http, payload = (b"", {}, block) if kind == "resource" else _http(block)
-                    declared = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind != "revisit" and digest(payload) != declared:
-                        raise ValueError(f"{fields['warc-record-id']}: the payload does not have its digest")
-                    size = int(fields[PAYLOAD_LENGTH.lower()]) if kind == "revisit" else len(payload)
+                    declared = (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+                    if kind != "revisit":
+                        found = digest(payload)
+                        if declared not in (None, found):
+                            raise ValueError(f"{fields['warc-record-id']}: the payload does not have its digest")
+                        declared = found
+                    size = _number(fields.get(PAYLOAD_LENGTH.lower())) if kind == "revisit" else len(payload)
                     rows.append((fields["warc-record-id"], _number(http.get("x-page-id")), kind, fields.get("warc-refers-to"), size, declared))
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["record_id", "page_id", "record_type", "refers_to_id", "payload_bytes", "payload_digest"])
 
-    return _read(spark, path).transform(map_arrow, run, "record_id string, page_id long, record_type string, refers_to_id string, payload_bytes long, payload_digest string")
+    return _read(spark, path, names).transform(map_arrow, run, "record_id string, page_id long, record_type string, refers_to_id string, payload_bytes long, payload_digest string")
 
 
 def pages_through_archives(pages: DataFrame, least_bytes: int = 0, version: int = 1) -> DataFrame:
