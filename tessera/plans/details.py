@@ -13,9 +13,14 @@ from tessera.functions.markers import WITH_SIGNS
 from tessera.operators import datasets as D
 from tessera.operators import raw as W
 from tessera.operators import records as R
+from tessera.operators import stats as S
 from tessera.operators import training as L
 from tessera.plans.checks import raw_lines
-from tessera.plans.queries import RECORDS, SQL, query, table, transfer_records
+from tessera.plans.queries import RECORDS, SQL, query, stratified_split, table, transfer_records
+from tessera.session import materialise, shared_path
+from tessera.sources import jsonl as J
+from tessera.sources import readers as I
+from tessera.sources import writers as X
 
 # -- events
 
@@ -124,3 +129,57 @@ def validation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = documents.groupBy("text", "lang", "source").agg(F.min("doc_id").alias("doc_id"))
     passed = D.validation_passed(clean.where(W.entries(F.col("value")).isNull()), W.raw_violations(clean), copies(first))
     return broken.select(F.lit("broken").alias("set"), "*").unionByName(passed.select(F.lit("clean").alias("set"), "*"))
+
+
+# -- files: rows written as files of their kind, and read back
+
+
+@query("SELECT event_id, value, 'a \"' || event_type || '\", b' AS task, CASE WHEN event_id % 5 > 0 THEN round(value * 10, 1) END AS ms FROM events")
+def locale_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted CSV with decimal commas, quotes within fields and blank numbers."""
+    path, comma = shared_path(spark, "csv"), lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    rows = table(spark, sf_dir, "events").select("event_id", comma(F.col("value")).alias("value"), F.concat(F.lit('a "'), "event_type", F.lit('", b')).alias("task"), F.when(F.col("event_id") % 5 > 0, comma(F.round(F.col("value") * 10, 1))).otherwise("").alias("ms"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return I.locale_csv(spark, path, ["value", "ms"]).withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@query("""SELECT CASE event_id % 4 WHEN 0 THEN 'VmRSS' ELSE 'VmHWM' END AS name, event_id * 1000 AS kib, round(event_id * 1000 / 1024.0, 3) AS mib, round(event_id * 1000 / 1048576.0, 3) AS gib FROM events WHERE event_id % 4 < 2""")
+def process_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of process states, of which half speak of the memory that is asked for."""
+    k = F.col("event_id")
+    name = F.when(k % 4 == 0, "VmRSS").when(k % 4 == 1, "VmHWM").when(k % 4 == 2, "VmPeak").otherwise("x VmRSS")
+    return I.process_status(table(spark, sf_dir, "events").select(F.concat(name, F.lit(":\t "), (k * 1000).cast("string"), F.lit(" kB")).alias("value")))
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS price, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority || ' é' END AS note, o_orderkey % 2 AS batch FROM orders")
+def appended_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of lines, each written twice, as by a run that was repeated."""
+    path, k = shared_path(spark, "appended"), F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.col("o_totalprice").alias("price"), F.when(k % 3 > 0, F.concat("o_orderpriority", F.lit(" é"))).alias("note"), (k % 2).alias("batch"))
+    for batch in (0, 1, 0, 1):
+        J.append_jsonl(rows.where(F.col("batch") == batch), path, f"b{batch}")
+    return I.strict_jsonl(spark, path, "k long, price double, note string, batch long")
+
+
+@query(SQL["stratified_split"])
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a split, each written as lines of its own and read back as one set."""
+    rows, paths = materialise(stratified_split(spark, sf_dir), "split"), {}
+    for name in ("train", "validation", "test"):
+        paths[name] = shared_path(spark, name)
+        X.write_jsonl(rows.where(F.col("split") == name), paths[name])
+    return I.split_sets(spark, paths, "id_example string, split string").select("id_example", "split")
+
+
+@query(f"""WITH {RECORDS} SELECT activity_type, operation_category, count(*) AS n FROM rec WHERE seq < 5000 GROUP BY ALL""")
+def first_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of the first rows, by name, after they were put into another order."""
+    shuffled = D.final_shuffle(transfer_records(spark, sf_dir), "id_example")
+    return S.sorted_groups(D.first_rows(shuffled, "seq", 5000), ["activity_type", "operation_category"])
+
+
+@query("SELECT count(*) AS runs, count(*) FILTER (event_type <> 'error') AS ended, false AS ok FROM events")
+def runs_all_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all runs ended by themselves, which some did not."""
+    runs = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "no").otherwise("YES").alias("eog"))
+    return D.runs_all_ok(runs, runs.count())
