@@ -36,7 +36,7 @@ def _once(rows: DataFrame, *columns: Column | str) -> DataFrame:
 
 def entries(value: Column) -> Column:
     """(key, value) of a line that is one JSON object, in order, the values as variants; null for other lines. This is the one parse of a line: keys, types and values come from it. NaN and Infinity are
-    numbers. Repeated keys are all there; an object within that repeats a key makes a line none (``json_lines`` gives such lines with the last one)."""
+    numbers. Repeated keys are all there; an object within that repeats a key makes a line none (``json_lines`` has such lines with the last one of each as ``last``)."""
     inner = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"})
     return F.when(F.endswith(strip(value), F.lit("}")), F.get(F.transform(F.filter(F.array(inner), lambda x: F.size(x) == 1), lambda x: F.map_entries(F.get(x, 0))), 0))
 

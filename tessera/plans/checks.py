@@ -94,7 +94,7 @@ def raw_rules_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines_of_all_forms(spark, sf_dir).write.format(J.source(spark)).option("path", path).option("batch", "all").mode("append").save()
     read = J.json_lines(spark, path)
     errors = read.where("error is not null").groupBy("error").agg(F.count("*").cast("string").alias("detail")).select(F.lit(None).cast("string").alias("id_example"), F.col("error").alias("rule"), "detail")
-    return W.raw_violations(read.where("error is null")).unionByName(errors)
+    return W.raw_violations(read.where("error is null").select(F.coalesce("last", "value").alias("value"))).unionByName(errors)
 
 
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

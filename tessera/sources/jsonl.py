@@ -32,7 +32,7 @@ FORMAT = "tessera_jsonl"
 #: Bytes of a range, of a read, and of the lines of a batch of rows.
 RANGE, BLOCK, BATCH = 64 << 20, 1 << 20, 4 << 20
 
-_LINES = "file string, start long, at long, value string, keys array<string>, error string, reason string"
+_LINES = "file string, start long, at long, value string, keys array<string>, error string, reason string, last string"
 _COUNTS = "file string, start long, n long"
 _BREAK = re.compile(rb"\r\n|\n|\r")
 
@@ -100,16 +100,15 @@ def lines_from(stream: pa.NativeFile, start: int, end: int, block: int = BLOCK)
         yield data[begin:]
 
 
-def parsed(line: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
-    """(text, keys, error, reason) of a line: keys of an object, in order, or why it is none. Text with repeated keys is written again with the last of each."""
+def parsed(line: bytes) -> tuple[str, list[str] | None, str | None, str | None, str | None]:
+    """(text, keys, error, reason, last) of a line: keys of an object, in order, or why it is none; where keys are repeated, ``last`` is the text with the last of each."""
     try:
         text = line.decode()
     except UnicodeDecodeError as bad:
-        return line.decode(errors="replace").strip(), None, "Invalid JSON", str(bad)
-    text = text.strip()
+        return line.decode(errors="replace").strip(), None, "Invalid JSON", str(bad), None
+    text, repeated = text.strip(), False
     if not text:
-        return text, None, "Empty line", "Empty line"
-    repeated = False
+        return text, None, "Empty line", "Empty line", None
 
     def last(pairs: list[tuple]) -> dict:
         nonlocal repeated
@@ -119,11 +118,10 @@ def parsed(line: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
 
     try:
         found = json.loads(text, object_pairs_hook=last)
-        if repeated:
-            text = json.dumps(found, ensure_ascii=False)
+        again = json.dumps(found, ensure_ascii=False) if repeated else None
     except (ValueError, RecursionError) as bad:
-        return text, None, "Invalid JSON", str(bad)
-    return (text, list(found), None, None) if isinstance(found, dict) else (text, None, "Invalid JSON", f"a {type(found).__name__} is no record")
+        return text, None, "Invalid JSON", str(bad), None
+    return (text, list(found), None, None, again) if isinstance(found, dict) else (text, None, "Invalid JSON", f"a {type(found).__name__} is no record", None)
 
 
 @dataclass
@@ -161,7 +159,7 @@ class _Reader(DataSourceReader):
                 yield self._batch(held)
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"file": pa.string(), "start": pa.int64(), "at": pa.int64(), "value": pa.string(), "keys": pa.list_(pa.string()), "error": pa.string(), "reason": pa.string()}
+        kinds = {"file": pa.string(), "start": pa.int64(), "at": pa.int64(), "value": pa.string(), "keys": pa.list_(pa.string()), "error": pa.string(), "reason": pa.string(), "last": pa.string()}
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -238,13 +236,14 @@ def source(spark: SparkSession) -> str:
 
 
 def json_lines(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """(file, line, value, keys, error, reason): every line of the files under a path with its number from 1. error: null, 'Empty line' or 'Invalid JSON', and ``reason`` says why."""
+    """(file, line, value, keys, error, reason, last): every line of the files under a path with its number from 1. error: null, 'Empty line' or 'Invalid JSON', and ``reason`` says why; last: the line with the last
+    of each repeated key, where there are such, else null."""
     own = spark.read.format(source(spark)).option("path", path).option("range", range_bytes)
     counts = own.option("count", True).load()
     # a row for each range of a file
     before = counts.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))
     lines = own.option("count", False).load()
-    return lines.join(before, ["file", "start"]).select("file", (F.col("before") + F.col("at") + 1).alias("line"), "value", "keys", "error", "reason")
+    return lines.join(before, ["file", "start"]).select("file", (F.col("before") + F.col("at") + 1).alias("line"), "value", "keys", "error", "reason", "last")
 
 
 def batches_of(path: str) -> dict[str, int]:

@@ -32,7 +32,7 @@ def test_ranges_of_lines():
 ODD = ['{"a": 1}', "", "\t", "   ", '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": -Infinity}', "{bad", "[1]", "3", "null", ' {"a": 4}\x0b', "﻿{}", '{"a": "x\ty"}', '{"b": {"c": [1, null]}}', "{}", "{'a': 1}", '{"a": 1} x', "[" * 5000]
 
 
-@pytest.mark.parametrize("range_bytes", [7, 64, 1 << 20])
+@pytest.mark.parametrize("range_bytes", [29, 1 << 20])
 def test_lines_as_python_takes_them(spark, tmp_path, range_bytes):
     rng = random.Random(2)
     files = {}
@@ -55,6 +55,8 @@ def test_lines_as_python_takes_them(spark, tmp_path, range_bytes):
             want.append((name, number, line, error, None if error else list(found)))
     got = [(r.file.rsplit("/", 1)[-1], r.line, r.value, r.error, r["keys"]) for r in J.json_lines(spark, str(tmp_path), range_bytes).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    last = {(r.value, r["last"]) for r in J.json_lines(spark, str(tmp_path), range_bytes).collect() if r["last"]}
+    assert last == {('{"a": 1, "a": 2}', '{"a": 2}')}
 
 
 def test_values_as_python_takes_them(spark, tmp_path):
