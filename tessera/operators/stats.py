@@ -109,7 +109,8 @@ def word_lengths(rows: DataFrame, text: str, by: str) -> DataFrame:
 
 
 def best_checkpoint(log: DataFrame) -> DataFrame:
-    return log.where("eval_loss is not null").agg(F.min_by("step", "eval_loss").alias("step"), F.min("eval_loss").alias("eval_loss"))
+    """(step, eval_loss) of the smallest loss; of equal ones the first step's."""
+    return log.where("eval_loss is not null").agg(F.min_by("step", F.struct("eval_loss", "step")).alias("step"), F.min("eval_loss").alias("eval_loss"))
 
 
 def grouped_means(rows: DataFrame, measures: list[str], key: str) -> DataFrame:
