@@ -61,8 +61,15 @@ def pct_change(first: Column, last: Column) -> Column:
     return (last - first) / F.nullif(first, F.lit(0.0)) * 100
 
 
+def rate(count: Column, ms: Column) -> Column:
+    """Per second. What took no time at all has an infinite rate, and nothing in no time none (NaN)."""
+    instant = F.when(count > 0, float("inf")).when(count < 0, float("-inf")).when(count == 0, float("nan"))
+    return F.when(ms == 0, instant).otherwise(count / (F.nullif(ms, F.lit(0)) / 1000.0))
+
+
 def throughput(count: Column, ms: Column) -> Column:
-    return F.when(ms > 0, count / (ms / 1000.0)).otherwise(0.0)
+    """Per second, nought without time."""
+    return F.when(ms > 0, rate(count, ms)).otherwise(0.0)
 
 
 def hit_limit(seen_end: Column, generated: Column, most: Column) -> Column:

@@ -35,3 +35,9 @@ def test_first_of_equal_losses(spark, tmp_path):
     events(spark, tmp_path, [(k, 0.01 if k % 20 == 10 else 1.0) for k in range(200)])
     got, want = compared(spark, tmp_path, "best_checkpoint")
     assert got == want == ["(10, 0.01)"]
+
+
+def test_rates_without_time(spark, tmp_path):
+    events(spark, tmp_path, [(k, [0.0, 2.5, -1.0, None][k % 4 if k % 8 < 4 else 0]) for k in range(900)])
+    got, want = compared(spark, tmp_path, "generation_measures")
+    assert got == want and sum("inf" in r for r in got) > 100 and sum("None" in r for r in got) > 10
