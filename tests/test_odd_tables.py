@@ -1,9 +1,14 @@
 """Queries against their SQL, on tables with rows that the given ones have few or none of."""
 
 import datetime
+import random
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import stats as S
 from tessera.plans import checks, details, reviews  # noqa: F401  their queries join the others
 from tessera.plans.queries import QUERIES, SQL
@@ -56,3 +61,15 @@ def test_amounts_like_years(spark, tmp_path, name):
     orders(spark, tmp_path, [[2000 + k % 101, 1999 + k % 7, 2028.5, 1000 * (k % 900), k % 300 / 10][k % 5 if k % 3 else 0] for k in range(1500)])
     got, want = compared(spark, tmp_path, name)
     assert got == want
+
+
+def test_repeated_lines_by_counting(spark):
+    rng = random.Random(4)
+    texts = [rng.choice(["\n", "\r\n", "\r", "\n \n"]).join(f"{rng.choice(' .')}{rng.choice('abcd'[: rng.randint(1, 4)])} " for _ in range(rng.randint(0, 9))) for _ in range(600)] + [None, "", " \n"]
+    texts += ["\n".join(f"a line that no other one is like, {k} {'x' * 40}" for k in range(8000))]
+    lines = lambda t: [x for x in (y.strip() for y in re.split("\r\n|\n|\r", t or "")) if x]
+    want = [len(x) >= 4 and max(map(x.count, x[:400])) / len(x) >= 0.6 for x in map(lines, texts)]
+    began = time.time()
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert [r.r for r in frame.select("k", T.repetition(F.col("t")).alias("r")).orderBy("k").collect()] == want and 20 < sum(want) < 580, sum(want)
+    assert time.time() - began < 30  # lines are compared with one, not with each other
