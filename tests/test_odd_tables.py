@@ -73,3 +73,11 @@ def test_repeated_lines_by_counting(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     assert [r.r for r in frame.select("k", T.repetition(F.col("t")).alias("r")).orderBy("k").collect()] == want and 20 < sum(want) < 580, sum(want)
     assert time.time() - began < 30  # lines are compared with one, not with each other
+
+
+def test_gates_make_their_lines_once(spark, tmp_path):
+    orders(spark, tmp_path, [1000.5 + k for k in range(400)])
+    spark.createDataFrame([(1, "a", "en", "s"), (2, "a", "en", "s"), (3, "b", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "o_orderkey" not in QUERIES["validation_gates"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    got, want = compared(spark, tmp_path, "validation_gates")
+    assert got == want
