@@ -58,10 +58,16 @@ def validation_passed(unreadable: DataFrame, errors: DataFrame, copies: DataFram
 def split_cover(original: DataFrame, parts: dict[str, DataFrame], id_col: str, label: str = "split") -> DataFrame:
     """(id, problem): ids of the set that no part has (``lost``), of parts that the set does not have (``stray``), in several parts (``shared``), and rows whose label
     is not their part's name (``label``)."""
-    rows = reduce(DataFrame.unionByName, (part.select(id_col, F.col(label).alias("label"), F.lit(name).alias("part")) for name, part in parts.items()))
-    own = rows.groupBy(id_col).agg(F.count_distinct("part").alias("parts"), F.max((~F.col("label").eqNullSafe(F.col("part"))).cast("int")).alias("wrong"))
-    both = original.select(id_col, F.lit(1).alias("there")).distinct().join(own, id_col, "full")
-    problem = F.array_compact(F.array(F.when(F.col("parts").isNull(), "lost"), F.when(F.col("there").isNull(), "stray"), F.when(F.col("parts") > 1, "shared"), F.when(F.col("wrong") == 1, "label")))
+    of_part = lambda k, name: (F.lit(None).cast("int").alias("there"), F.lit(k).alias("part"), (~F.col(label).eqNullSafe(F.lit(name))).cast("int").alias("wrong"))
+    rows = [part.select(id_col, *of_part(k, name)) for k, (name, part) in enumerate(parts.items())]
+    none = F.lit(None).cast("int")
+    rows.append(original.select(id_col, F.lit(1).alias("there"), none.alias("part"), none.alias("wrong")))
+    # one aggregation of numbers by id, without a join
+    both = reduce(DataFrame.unionByName, rows).groupBy(id_col).agg(F.max("there").alias("there"), F.min("part").alias("first"), F.max("part").alias("last"), F.max("wrong").alias("wrong"))
+    # null ids are not the same
+    alone = lambda other: F.col(other).isNull() | F.col(id_col).isNull()
+    lost, stray = F.col("there").isNotNull() & alone("first"), F.col("first").isNotNull() & alone("there")
+    problem = F.array_compact(F.array(F.when(lost, "lost"), F.when(stray, "stray"), F.when(F.col("first") < F.col("last"), "shared"), F.when(F.col("wrong") == 1, "label")))
     return both.select(id_col, F.explode(problem).alias("problem"))
 
 

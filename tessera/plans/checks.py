@@ -14,7 +14,7 @@ from tessera.operators import stats as S
 from tessera.operators.profile import tallies
 from tessera.plans.queries import RECORDS, RUNS, query, runs, stratified_split, table, transfer_records
 from tessera.plans.reviews import _norm
-from tessera.session import shared_path
+from tessera.session import materialise, shared_path
 from tessera.sources import jsonl as J
 from tessera.sources import readers as I
 from tessera.streaming.metrics import DONE, FAILED, distinct_runs, windowed
@@ -152,7 +152,7 @@ def record_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT id_example, 'label' FROM rec WHERE (seq % 67 = 3 OR seq % 61 = 2) AND seq % 53 <> 0""")
 def split_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a split of which some rows were lost, renamed, put into two parts, or labelled wrongly."""
-    whole = stratified_split(spark, sf_dir).join(transfer_records(spark, sf_dir).select("id_example", "seq"), "id_example")
+    whole = materialise(stratified_split(spark, sf_dir).join(transfer_records(spark, sf_dir).select("id_example", "seq"), "id_example").select("id_example", "seq", "split"), "split")
     kept = whole.where(F.col("seq") % 53 != 0)
     label = F.when(F.col("seq") % 67 == 3, "none").otherwise(F.col("split"))
     parts = {}

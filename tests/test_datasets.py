@@ -237,3 +237,13 @@ def test_stream_equals_batch(spark, tmp_path):
     (folder / "d.json").write_text(json.dumps({"id": 1, "time": "2026-01-01T00:10:00Z", "value": "DEPLOYMENT_BENCHMARK_ERROR"}))
     with pytest.raises(RuntimeError):
         Monitor(str(tmp_path / "out2")).watch(stream(), str(tmp_path / "cp3"), timeout=60, every=0.1)
+
+
+def test_cover_of_a_split_is_one_aggregation(spark):
+    """Ids meet in one aggregation, not in joins; null ids of the set and of a part are not the same."""
+    frame = lambda rows: spark.createDataFrame(rows, "id int, split string")
+    whole = frame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (None, "b")])
+    found = D.split_cover(whole, {"a": frame([(1, "a"), (2, None), (2, "a"), (None, "a")]), "b": frame([(1, "b"), (9, "a")])}, "id")
+    want = [(1, "shared"), (2, "label"), (3, "lost"), (9, "stray"), (9, "label"), (None, "lost"), (None, "stray")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
