@@ -47,27 +47,32 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
 def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, end, used, tied) for each source of ``budgets`` (source, low, cap, budget) that has documents of sizes up to ``cap`` and hashes from
     ``low`` on: ``end`` is the first hash at which the running sum of sizes would pass the budget, ``tied`` as many of the rows of that hash as it
-    still holds, and ``used`` the sum of all these. If the budget is not passed, ``end`` is the largest number."""
-    limits = budgets.select(F.col("source").alias("s"), "low", "cap", "budget").where("budget >= 1")
-    held = rows.join(limits, rows["source"].eqNullSafe(limits["s"])).where("size > 0 and size <= cap and h >= low").select("source", "h", "size", "budget", F.lit(0.0).alias("spent"))
+    still holds, and ``used`` the sum of all these. If the budget is not passed, ``end`` is the largest number.
+
+    Each histogram is a query of its own over one scan, and what it finds for each source is written: in one plan every refinement would
+    hold all those before it twice, which the driver plans and keeps."""
+    limits = budgets.select(F.col("source").alias("s"), "low", "cap", "budget", F.lit(0.0).alias("spent")).where("budget >= 1")
+    held = rows.join(limits, rows["source"].eqNullSafe(limits["s"])).where("size > 0 and size <= cap and h >= low")
     shift, every = 63, None
     for _ in range(REFINED):
         shift -= BITS
         bucket = F.shiftright("h", shift)
-        sums = held.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("sum"), F.first("budget").alias("budget"), F.first("spent").alias("spent"))
-        every = every if every is not None else sums.groupBy("source").agg(F.sum("sum").cast("double").alias("all"))
+        limit = [F.first(c).alias(c) for c in ("low", "cap", "budget", "spent")]
+        sums = held.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("sum"), *limit)
         run = F.col("spent") + F.sum("sum").over(Window.partitionBy("source").orderBy("bucket"))
-        passed = sums.withColumn("run", run).where("run > budget").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("run") - F.col("sum")).alias("spent")), "bucket").alias("b"))
-        passed = passed.select(F.col("source").alias("s"), F.col("b.bucket").alias("at"), F.col("b.spent").alias("before"))
-        held = held.join(passed, held["source"].eqNullSafe(passed["s"])).where(bucket == F.col("at")).select("source", "h", "size", "budget", F.col("before").alias("spent"))
+        past = F.when(F.col("run") > F.col("budget"), F.col("bucket"))
+        found = sums.withColumn("run", run).groupBy(F.col("source").alias("s")).agg(*limit[:3], F.min_by(F.col("run") - F.col("sum"), past).alias("spent"), F.min(past).alias("at"), F.sum("sum").cast("double").alias("all"))
+        limits = materialise(found, "passed")
+        every = every if every is not None else limits.select("s", "all")
+        held = rows.join(limits, rows["source"].eqNullSafe(limits["s"])).where((F.col("size") > 0) & (F.col("size") <= F.col("cap")) & (F.col("h") >= F.col("low")) & (bucket == F.col("at")))
     # the refined bucket of a source holds a few hashes; rows of one hash are of one size
     hashes = held.groupBy("source", "h").agg(F.sum("size").alias("sum"), F.max("size").alias("size"), F.first("budget").alias("budget"), F.first("spent").alias("spent"))
     before = F.col("spent") + F.sum("sum").over(Window.partitionBy("source").orderBy("h")) - F.col("sum")
     last = hashes.withColumn("before", before).where("before + sum > budget").groupBy("source").agg(F.min_by(F.struct("h", "before", "size", "budget"), "h").alias("b"))
     tied = F.floor((F.col("b.budget") - F.col("b.before")) / F.col("b.size"))
-    last = last.select(F.col("source").alias("s"), F.col("b.h").alias("end"), tied.alias("tied"), (F.col("b.before") + tied * F.col("b.size")).alias("used"))
-    out = every.join(last, every["source"].eqNullSafe(last["s"]), "left")
-    return out.select("source", F.coalesce("end", F.lit((1 << 63) - 1)).alias("end"), F.coalesce("used", "all").alias("used"), F.coalesce("tied", F.lit(0)).cast("long").alias("tied"))
+    last = last.select("source", F.col("b.h").alias("end"), tied.alias("tied"), (F.col("b.before") + tied * F.col("b.size")).alias("used"))
+    out = every.join(last, every["s"].eqNullSafe(last["source"]), "left")
+    return out.select(F.col("s").alias("source"), F.coalesce("end", F.lit((1 << 63) - 1)).alias("end"), F.coalesce("used", "all").alias("used"), F.coalesce("tied", F.lit(0)).cast("long").alias("tied"))
 
 
 def plan_mix(sizes: DataFrame, weights: list[float], most: int = 3) -> DataFrame:
