@@ -220,8 +220,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    page, url, payload = (batch.column(k)[i].as_py() for k in range(3))
+                for page, url, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     payload = payload or b""
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                     yield lambda name, size, url=url, content=head + payload: arc_record(name, version, date, size, url, content)
@@ -313,32 +312,35 @@ def convert_arc(spark: SparkSession, arc: str, path: str, least_bytes: int = 0,
     seen = read_arc(spark, arc, False, names).where("http").select("record", "archive", "offset", "page_id", "uri", "payload_digest", "payload_bytes")
     seen = materialise(seen.where(F.col("payload_bytes") >= least_bytes), "seen")
     last = seen.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "archive", "offset", "record", "uri")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    refers = seen.join(last, ["payload_digest", "payload_bytes"]).where(F.col("record") != F.col("last.record")).select("record", F.col("last.record").alias("to_record"), F.col("last.uri").alias("to_uri"))
+    refers = seen.join(last, ["payload_digest", "payload_bytes"]).where(F.col("record") != F.col("last.record")).select("archive", "offset", F.col("last.record").alias("to_record"), F.col("last.uri").alias("to_uri"))
+    # what an archive's revisits refer to goes to the archive, so files meet it as they are and records stay where they are unpacked
+    refers = refers.groupBy("archive").agg(F.collect_list(F.struct("offset", "to_record", "to_uri")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-
         def records() -> Iterator:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                    fields = {"WARC-Record-ID": record_id(row["record"]), "WARC-Date": warc_date(row["date"]), "WARC-Target-URI": row["uri"], "WARC-IP-Address": row["ip"], "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "Content-Type": "application/http; msgtype=response"}
-                    content = unpack(row["content"])
-                    if not row["http"]:
-                        data = warc_record("resource", fields | {"Content-Type": row["kind"]}, content)
-                    elif row["to_record"] is None:
-                        data = warc_record("response", fields, content)
-                    else:
-                        # the payload is not here, so a field of the record's own says how long it was
-                        fields |= {PAYLOAD_LENGTH: str(row["payload_bytes"]), "WARC-Refers-To": record_id(row["to_record"]), "WARC-Refers-To-Target-URI": row["to_uri"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                        data = warc_record("revisit", fields, _http(content)[0])
-                    yield lambda name, size, data=data: data
+                    place, data, known = (batch.column(k)[i].as_py() for k in range(3))
+                    to = {r["offset"]: (r["to_record"], r["to_uri"]) for r in known or []}
+                    for offset, header, content in parse_arc(data):
+                        http = is_http(header["URL"], content)
+                        head, _, payload = _http(content) if http else (b"", {}, content)
+                        fields = {"WARC-Record-ID": record_id(f"{place}#{offset}"), "WARC-Date": warc_date(header["Archive-date"]), "WARC-Target-URI": header["URL"], "WARC-IP-Address": header["IP-address"], "WARC-Payload-Digest": f"sha1:{digest(payload)}", "Content-Type": "application/http; msgtype=response"}
+                        if not http:
+                            out = warc_record("resource", fields | {"Content-Type": header["Content-type"]}, content)
+                        elif offset not in to:
+                            out = warc_record("response", fields, content)
+                        else:
+                            # the payload is not here, so a field of the record's own says how long it was
+                            fields |= {PAYLOAD_LENGTH: str(len(payload)), "WARC-Refers-To": record_id(to[offset][0]), "WARC-Refers-To-Target-URI": to[offset][1], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                            out = warc_record("revisit", fields, head)
+                        yield lambda name, size, out=out: out
 
         about = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
         yield from _packed(records(), lambda name: warc_record("warcinfo", {"WARC-Record-ID": record_id(name), "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Filename": f"{name}.warc.gz", "Content-Type": "application/warc-fields"}, about))
 
-    whole = read_arc(spark, arc, True, names).select("record", "uri", "ip", "date", "kind", "http", "payload_digest", "payload_bytes", "content").join(refers, "record", "left")
-    _write(whole.transform(map_arrow, run, "archive binary"), path)
+    files = _read(spark, arc, names).select(F.substring_index("path", "/", -1).alias("archive"), "content").join(refers.hint("shuffle_hash"), "archive", "left")
+    _write(files.select("archive", "content", "refers").transform(map_arrow, run, "archive binary"), path)
 
 
 def read_warc(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
@@ -377,5 +379,7 @@ def pages_through_archives(pages: DataFrame, least_bytes: int = 0, version: int
     convert_arc(spark, arc, warc, least_bytes)
     delete(spark, arc)  # the WARC files are written
     found = materialise(read_warc(spark, warc), "warc-index")
+    # most records refer to none, and would all meet under a null
     targets = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return found.join(targets, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    joined = found.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long")).unionByName(found.where("refers_to_id is not null").join(targets, "refers_to_id", "left"))
+    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
