@@ -83,7 +83,9 @@ def lines_of_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit('{"id_example":"'), F.col("id_example"), F.lit('","activity_type":"GENERATION","operation_category":"C","beneficiary":"B","currency":"EUR","reference_period":null,"input_text":null,"language":"en","split":null,'))
     whole = F.concat(head, chosen, F.lit(',"calendar_context":'), context, F.lit(',"expected_output":'), outputs, F.lit("}"))
     value = F.when(v == 11, F.when(k % 36 == 11, F.lit("\t\u00a0")).when(k % 36 == 23, F.concat(whole, F.lit(" x"))).otherwise(F.concat(F.lit("[]"), whole))).otherwise(F.concat(F.lit(" \t"), whole, F.lit("\x0b")))
-    return transfer_records(spark, sf_dir).select(value.alias("value"))
+    # the lines are many times as long as the records, so as few tasks as read these would write few files
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return transfer_records(spark, sf_dir).repartition(tasks).select(value.alias("value"))
 
 
 @query(f"""WITH {RECORDS} SELECT id_example, r.rule, CAST(NULL AS VARCHAR) AS detail FROM rec, (VALUES (1, 'amount_positive'), (4, 'amount_positive'), (5, 'amount_positive'), (8, 'calendar_title'), (8, 'calendar_category'), (9, 'calendar_object'), (10, 'outputs_items_nonempty'), (10, 'outputs_items_nonempty')) r(v, rule) WHERE seq % 12 = r.v
@@ -92,9 +94,9 @@ def raw_rules_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on lines as files have them: written as a batch, read back with their numbers, and parsed once."""
     path = shared_path(spark, "lines")
     lines_of_all_forms(spark, sf_dir).write.format(J.source(spark)).option("path", path).option("batch", "all").mode("append").save()
-    read = J.json_lines(spark, path)
+    read = materialise(J.json_lines(spark, path).select("line", "error", F.coalesce("last", "value").alias("value")), "lines-read")
     errors = read.where("error is not null").groupBy("error").agg(F.count("*").cast("string").alias("detail")).select(F.lit(None).cast("string").alias("id_example"), F.col("error").alias("rule"), "detail")
-    return W.raw_violations(read.where("error is null").select(F.coalesce("last", "value").alias("value"))).unionByName(errors)
+    return W.raw_violations(read.where("error is null").select("value")).unionByName(errors)
 
 
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,7 +243,8 @@ def json_lines(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Data
     # a row for each range of a file
     before = counts.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))
     lines = own.option("count", False).load()
-    return lines.join(before, ["file", "start"]).select("file", (F.col("before") + F.col("at") + 1).alias("line"), "value", "keys", "error", "reason", "last")
+    # a source of Python's own has no size for Spark to go by; all lines would be shuffled and sorted to meet a row for each range
+    return lines.join(F.broadcast(before), ["file", "start"]).select("file", (F.col("before") + F.col("at") + 1).alias("line"), "value", "keys", "error", "reason", "last")
 
 
 def batches_of(path: str) -> dict[str, int]:
