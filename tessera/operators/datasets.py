@@ -51,7 +51,16 @@ def dataset_errors(records: DataFrame, total: int, activities: dict[str, int], w
 def validation_passed(unreadable: DataFrame, errors: DataFrame, copies: DataFrame) -> DataFrame:
     """One row: whether no line was unreadable, no rule broken and no record a copy; near copies do not count."""
     number = lambda rows, name: rows.agg(F.count("*").alias(name))
-    found = number(unreadable, "unreadable").join(number(errors, "errors")).join(number(copies, "copies"))
+    return _passed(number(unreadable, "unreadable").join(number(errors, "errors")), copies)
+
+
+def lines_passed(lines: DataFrame, copies: DataFrame) -> DataFrame:
+    """As ``validation_passed``, of lines (readable, errors: how many it has), which are counted in one pass."""
+    return _passed(lines.agg(F.count_if(~F.col("readable")).alias("unreadable"), F.coalesce(F.sum("errors").cast("long"), F.lit(0).cast("long")).alias("errors")), copies)
+
+
+def _passed(found: DataFrame, copies: DataFrame) -> DataFrame:
+    found = found.join(copies.agg(F.count("*").alias("copies")))
     return found.withColumn("passed", (F.col("unreadable") == 0) & (F.col("errors") == 0) & (F.col("copies") == 0))
 
 

@@ -30,15 +30,21 @@ def _text(value: Column) -> Column:
 
 
 def _once(rows: DataFrame, *columns: Column | str) -> DataFrame:
-    """The columns, computed once for each row, however often they are used later: what is exploded is not computed again in the uses."""
-    return rows.select(F.explode(F.array(F.struct(*columns))).alias("_once")).select("_once.*")
+    """The columns, computed once for each row, however often they are used later: what is exploded is not computed again in the uses. It is made before and only exploded by its name, as Spark
+    compiles what a projection computes and not what is exploded."""
+    return rows.select(F.array(F.struct(*columns)).alias("_once")).select(F.explode_outer("_once").alias("_once")).select("_once.*")
+
+
+def _objects(value: Column) -> Column:
+    """The objects that a line consists of, as maps of variants, repeated keys and all; null if it does not end like one. A line that is one object has one."""
+    inner = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"})
+    return F.when(F.endswith(strip(value), F.lit("}")), inner)
 
 
 def entries(value: Column) -> Column:
     """(key, value) of a line that is one JSON object, in order, the values as variants; null for other lines. This is the one parse of a line: keys, types and values come from it. NaN and Infinity are
     numbers. Repeated keys are all there; an object within that repeats a key makes a line none (``json_lines`` has such lines with the last one of each as ``last``)."""
-    inner = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"})
-    return F.when(F.endswith(strip(value), F.lit("}")), F.get(F.transform(F.filter(F.array(inner), lambda x: F.size(x) == 1), lambda x: F.map_entries(F.get(x, 0))), 0))
+    return F.get(F.transform(F.filter(F.array(_objects(value)), lambda x: F.size(x) == 1), lambda x: F.map_entries(F.get(x, 0))), 0)
 
 
 def value_of(entries: str, name: str) -> Column:
@@ -46,31 +52,39 @@ def value_of(entries: str, name: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
 
 
+def _read(lines: DataFrame, value: str, keep: list[str]) -> DataFrame:
+    """The columns of ``parsed`` for each line, with ``readable`` and the columns to keep; what is not readable has nulls. A line is parsed once; the steps after that are projections, which Spark does not merge
+    where that would compute a column twice. Fields are found by the place of their key, not by looking through all entries."""
+    rows, kept = _once(lines, *keep, _objects(F.col(value)).alias("_objects")), [F.col(c) for c in keep]
+    one = F.when(F.size("_objects") == 1, F.get("_objects", F.lit(0)))
+    keys, values = F.reverse(F.map_keys(one)), F.reverse(F.map_values(one))  # the last of repeated keys comes first
+    at = lambda name: F.get(values, (F.nullif(F.array_position(keys, F.lit(name)), F.lit(0)) - 1).cast("int"))
+    rows = rows.select(*kept, one.isNotNull().alias("readable"), F.map_entries(one).alias("entries"), F.array_distinct(F.map_keys(one)).alias("keys"), *(at(x).alias(f"_{x}") for x in KEYS))
+    context = F.when(kind_of(F.col("_calendar_context")) == "object", F.try_variant_get("_calendar_context", "$", "map<string,variant>"))
+    outputs = F.when(kind_of(F.col("_expected_output")) == "array", F.try_variant_get("_expected_output", "$", "array<variant>"))
+    rows = rows.select("*", *(kind_of(F.col(f"_{x}")).alias(f"_{x}_kind") for x in KEYS), context.alias("_context"), outputs.alias("_outputs"))
+    within = lambda name: F.col("_context")[name]
+    text = lambda name: F.when(F.col(f"_{name}_kind") == "string", F.try_variant_get(f"_{name}", "$", "string"))
+    whole = F.transform("_outputs", lambda v: F.when(kind_of(v) == "string", F.try_variant_get(v, "$", "string")).when(kind_of(v) != "null", F.to_json(v)))
+    typed = rows.select(
+        *kept, "readable", "entries", "keys", F.struct(*(F.col(f"_{x}_kind").alias(x) for x in KEYS)).alias("kinds"), F.struct(*(kind_of(within(x)).alias(x) for x in CALENDAR)).alias("calendar_kinds"),
+        F.map_keys("_context").alias("calendar_keys"), *(text(x).alias(x) for x in FIELDS), F.when(F.col("_amount_kind") == "number", F.try_variant_get("_amount", "$", "double")).alias("amount"),
+        F.when(F.col("_context").isNotNull(), F.struct(*(_text(within(x)).alias(x) for x in CALENDAR))).alias("calendar_context"),
+        F.transform("_outputs", _text).alias("expected_output"), whole.alias("outputs_whole"), F.when(F.col("_split_kind") != "null", F.to_json("_split")).alias("split"),
+    )
+    return cleaned(typed)
+
+
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
     """(entries, keys, kinds, calendar_keys, calendar_kinds, and the typed fields, trimmed) of each line that is a JSON object; other lines are left out.
     A value of another type than its field's is null as a field; ``kinds`` tells what it was. split is kept as JSON, and so are outputs that are no texts, in outputs_whole."""
-    rows = _once(lines, entries(F.col(value)).alias("entries")).where("entries is not null")
-    rows = _once(rows, "entries", F.array_distinct(F.transform("entries", lambda e: e["key"])).alias("keys"), F.struct(*(value_of("entries", x).alias(x) for x in KEYS)).alias("of"))
-    of = lambda name: F.col(f"of.{name}")
-    context = F.when(kind_of(of("calendar_context")) == "object", F.try_variant_get(of("calendar_context"), "$", "map<string,variant>"))
-    rows = _once(rows, "entries", "keys", "of", F.struct(*(kind_of(of(x)).alias(x) for x in KEYS)).alias("kinds"), context.alias("context"))
-    within = lambda name: F.col("context")[name]
-    has_calendar = F.col("context").isNotNull()
-    amount = F.when(F.col("kinds.amount") == "number", F.try_variant_get(of("amount"), "$", "double"))
-    outputs = F.when(F.col("kinds.expected_output") == "array", F.transform(F.try_variant_get(of("expected_output"), "$", "array<variant>"), _text))
-    whole = F.when(F.col("kinds.expected_output") == "array", F.transform(F.try_variant_get(of("expected_output"), "$", "array<variant>"), lambda v: F.when(kind_of(v) == "string", _text(v)).when(kind_of(v) != "null", F.to_json(v))))
-    typed = _once(
-        rows, "entries", "keys", "kinds", F.struct(*(kind_of(within(x)).alias(x) for x in CALENDAR)).alias("calendar_kinds"), F.map_keys("context").alias("calendar_keys"),
-        *(_text(of(x)).alias(x) for x in FIELDS), amount.alias("amount"), F.when(has_calendar, F.struct(*(_text(within(x)).alias(x) for x in CALENDAR))).alias("calendar_context"),
-        outputs.alias("expected_output"), whole.alias("outputs_whole"), F.when(F.col("kinds.split") != "null", F.to_json(of("split"))).alias("split"),
-    )
-    return _once(cleaned(typed), "*")
+    return _read(lines, value, []).where("readable").drop("readable")
 
 
 def key_difference(keys: Column, expected: list[str]) -> tuple[Column, Column]:
     """(missing, extra): sorted keys that are expected and not there, and the other way round."""
     wanted = F.array(*(F.lit(x) for x in expected))
-    return F.array_sort(F.array_except(wanted, keys)), F.array_sort(F.array_except(keys, wanted))
+    return F.sort_array(F.array_except(wanted, keys)), F.sort_array(F.array_except(keys, wanted))
 
 
 def _given(name: str, kinds: str = "kinds") -> Column:
@@ -82,36 +96,41 @@ def _bare(c: str) -> Column:
     return F.col(c).isNull() | (F.length(strip(F.col(c))) == 0)
 
 
+def _none(c: str) -> Column:
+    """As ``_bare``, of a field that is trimmed."""
+    return F.col(c).isNull() | (F.col(c) == "")
+
+
 def raw_rules() -> list[tuple[str, Column]]:
-    """(rule, how often a record breaks it), in the order of the report; ``outputs_items_nonempty`` counts once for each bad item."""
+    """(rule, how often a record breaks it), in the order of the report; ``outputs_items_nonempty`` counts once for each bad item.
+    They are on the columns of ``parsed``, with ``_missing`` and ``_extra`` keys."""
     activity, outputs = F.col("activity_type"), F.col("expected_output")
-    missing, extra = key_difference(F.col("keys"), KEYS)
     of = lambda *names: F.coalesce(activity.isin(*names), F.lit(False))
     is_object = F.coalesce(F.col("kinds.calendar_context") == "object", F.lit(False))
     is_list = F.coalesce(F.col("kinds.expected_output") == "array", F.lit(False))
-    calendar = lambda x: is_object & _bare(f"calendar_context.{x}")
+    calendar = lambda x: is_object & _none(f"calendar_context.{x}")
     rules = [
-        ("missing_fields", F.size(missing) > 0),
-        ("extra_fields", F.size(extra) > 0),
+        ("missing_fields", F.size("_missing") > 0),
+        ("extra_fields", F.size("_extra") > 0),
         ("id_string", F.col("id_example").isNull()),
         ("activity_enum", ~of(*ACTIVITIES)),
-        ("category_nonempty", _bare("operation_category")),
-        ("beneficiary_nonempty", _bare("beneficiary")),
+        ("category_nonempty", _none("operation_category")),
+        ("beneficiary_nonempty", _none("beneficiary")),
         ("amount_positive", F.col("amount").isNull() | (F.col("amount") <= 0)),
         ("currency_enum", ~F.coalesce(F.col("currency").isin(*CURRENCIES), F.lit(False))),
-        ("period_null_or_nonempty", _given("reference_period") & _bare("reference_period")),
+        ("period_null_or_nonempty", _given("reference_period") & _none("reference_period")),
         ("language_en", ~F.col("language").eqNullSafe("en")),
         ("split_null", _given("split")),
         ("outputs_is_list", ~is_list),
         ("outputs_len2", is_list & (F.size(outputs) != 2)),
-        ("outputs_items_nonempty", F.when(is_list, F.size(F.filter(outputs, lambda x: x.isNull() | (F.length(strip(x)) == 0)))).otherwise(0)),
+        ("outputs_items_nonempty", F.when(is_list, F.size(F.filter(outputs, lambda x: x.isNull() | (x == "")))).otherwise(0)),
         ("outputs_distinct", is_list & (F.size(outputs) == 2) & (normalised_for_copies(F.get("outputs_whole", 0)) == normalised_for_copies(F.get("outputs_whole", 1)))),
         ("gen_input_null", of("GENERATION") & _given("input_text")),
-        ("cn_input_nonempty", of("COMPLETION", "NORMALIZATION") & _bare("input_text")),
+        ("cn_input_nonempty", of("COMPLETION", "NORMALIZATION") & _none("input_text")),
         ("cn_calendar_null", of("COMPLETION", "NORMALIZATION") & _given("calendar_context")),
         ("calendar_only_generation", ~of("GENERATION") & _given("calendar_context")),
         ("calendar_object", _given("calendar_context") & ~is_object),
-        ("calendar_keys", is_object & (F.array_sort("calendar_keys") != F.array(*(F.lit(x) for x in sorted(CALENDAR))))),
+        ("calendar_keys", is_object & (F.sort_array("calendar_keys") != F.array(*(F.lit(x) for x in sorted(CALENDAR))))),
         ("calendar_title", calendar("event_title")),
         ("calendar_category", calendar("event_category")),
         ("calendar_date", is_object & valid_date(F.col("calendar_context.event_date")).isNull()),
@@ -119,15 +138,21 @@ def raw_rules() -> list[tuple[str, Column]]:
     return [(name, F.coalesce(c.cast("int"), F.lit(0))) for name, c in rules]
 
 
-def raw_violations(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(id_example, rule, detail): a row for each time that a record breaks a rule, in one pass; detail lists missing or extra keys. A record without
-    an id of its own is named ``<missing-id>`` if the key is missing."""
-    rows = parsed(lines, value)
+def checked(lines: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """(columns to keep, id_example, broken) of each line, in one pass: (rule, detail) for each time that its record breaks a rule, null if the line is no JSON object; detail lists missing
+    or extra keys. A record without an id of its own is named ``<missing-id>`` if the key is missing."""
+    keep = keep or []
     missing, extra = key_difference(F.col("keys"), KEYS)
-    detail = {"missing_fields": F.array_join(missing, ", "), "extra_fields": F.array_join(extra, ", ")}
+    rows = _read(lines, value, keep).select("*", missing.alias("_missing"), extra.alias("_extra"))
+    detail = {"missing_fields": F.array_join("_missing", ", "), "extra_fields": F.array_join("_extra", ", ")}
     each = [F.array_repeat(F.struct(F.lit(name).alias("rule"), detail.get(name, F.lit(None).cast("string")).alias("detail")), n) for name, n in raw_rules()]
     name = F.when(F.col("kinds.id_example").isNull(), "<missing-id>").otherwise(F.col("id_example"))
-    return rows.select(name.alias("id_example"), F.explode(F.concat(*each)).alias("v")).select("id_example", "v.rule", "v.detail")
+    return _once(rows, *keep, F.when(F.col("readable"), name).alias("id_example"), F.when(F.col("readable"), F.concat(*each)).alias("broken"))
+
+
+def raw_violations(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(id_example, rule, detail): a row for each time that a record breaks a rule, as ``checked`` finds them."""
+    return checked(lines, value).select("id_example", F.explode("broken").alias("v")).select("id_example", "v.rule", "v.detail")
 
 
 # -- rendered rows, and their alignment with raw ones

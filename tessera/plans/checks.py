@@ -23,8 +23,8 @@ from tessera.streaming.monitor import monitored
 # -- raw records: of forty records in a row, one breaks each rule in its own way
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
-    """(value): the records as lines of JSON, in which the record's number, modulo 40, decides what is wrong with it."""
+def raw_lines(spark: SparkSession, sf_dir: str, records: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(value, and what is kept of the records): the records as lines of JSON, in which the record's number, modulo 40, decides what is wrong with it."""
     v, q = F.col("seq") % 40, lambda c: F.to_json(F.struct(F.col(c).alias("x")))
     text = lambda c: F.coalesce(F.regexp_extract(q(c), r'^\{"x":(.*)\}$', 1), F.lit("null"))
     plain = lambda c: F.when(F.col(c).isNull(), "null").otherwise(text(c))
@@ -53,7 +53,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, records: DataFrame | None = None
         F.when(v == 1, F.lit('"note":1')),
     ]
     whole = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    return (transfer_records(spark, sf_dir) if records is None else records).select(F.when(v == 25, "[1]").when(v == 26, "{bad").otherwise(whole).alias("value"))
+    return (transfer_records(spark, sf_dir) if records is None else records).select(F.when(v == 25, "[1]").when(v == 26, "{bad").otherwise(whole).alias("value"), *(keep or []))
 
 
 _G = "activity_type = 'GENERATION'"
@@ -196,11 +196,12 @@ _COPIES = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang, source) AS
 
 @query(f"WITH {RECORDS} SELECT count(*) AS errors, (SELECT count(*) FROM rec WHERE seq % 40 IN (25, 26)) AS unreadable, (SELECT count(*) FROM ({_COPIES}) WHERE f < doc_id) AS copies, false AS passed FROM (SELECT 1 FROM rec WHERE seq % 40 = 23)")
 def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = raw_lines(spark, sf_dir)
-    unreadable = lines.where(F.json_object_keys("value").isNull() | F.try_parse_json("value").isNull())
-    errors = W.raw_violations(lines).where("rule = 'language_en' and id_example is not null").join(transfer_records(spark, sf_dir).where(F.col("seq") % 40 == 23), "id_example", "left_semi")
+    """A set of which the errors of one rule and one kind of record count. Lines are made and parsed once, and all rules are looked at for all of them."""
+    lines = W.checked(raw_lines(spark, sf_dir, keep=["seq"]), keep=["seq"])
+    counted = (F.col("seq") % 40 == 23) & F.col("id_example").isNotNull()
+    errors = F.when(counted, F.size(F.filter("broken", lambda x: x["rule"] == "language_en"))).otherwise(0)
     copies = R.exact_copies(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"], "doc_id")
-    return D.validation_passed(unreadable, errors, copies)
+    return D.lines_passed(lines.select(F.col("broken").isNotNull().alias("readable"), errors.alias("errors")), copies)
 
 
 @query("SELECT doc_id, regexp_matches(text, '\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b') OR regexp_matches(text, '(?:^|[^0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?:[^0-9]|$)') AS pii FROM documents")

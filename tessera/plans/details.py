@@ -125,12 +125,11 @@ def validation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the lines are made once, for all that is counted of them
     clean = materialise(raw_lines(spark, sf_dir, records.where(fine)), "clean")
     lines = materialise(raw_lines(spark, sf_dir, records.where(~fine)), "broken").unionByName(clean)
-    bad = lines.where(W.entries(F.col("value")).isNull())
+    counted = lambda rows: W.checked(rows).select(F.col("broken").isNotNull().alias("readable"), F.when(F.col("broken").isNotNull(), F.size("broken")).otherwise(0).alias("errors"))
     documents = table(spark, sf_dir, "documents")
     copies = lambda rows: R.exact_copies(rows, "doc_id", ["text", "lang", "source"], "doc_id")
-    broken = D.validation_passed(bad, W.raw_violations(lines), copies(documents))
     first = documents.groupBy("text", "lang", "source").agg(F.min("doc_id").alias("doc_id"))
-    passed = D.validation_passed(clean.where(W.entries(F.col("value")).isNull()), W.raw_violations(clean), copies(first))
+    broken, passed = D.lines_passed(counted(lines), copies(documents)), D.lines_passed(counted(clean), copies(first))
     return broken.select(F.lit("broken").alias("set"), "*").unionByName(passed.select(F.lit("clean").alias("set"), "*"))
 
 

@@ -81,3 +81,17 @@ def test_gates_make_their_lines_once(spark, tmp_path):
     assert "o_orderkey" not in QUERIES["validation_gates"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     got, want = compared(spark, tmp_path, "validation_gates")
     assert got == want
+
+
+def test_gate_tells_records_of_equal_ids_apart(spark, tmp_path):
+    orders(spark, tmp_path, [1000.5 + k for k in range(400)])
+    rows = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    big = tmp_path / "big"  # ids have seven digits, so keys of nine share one
+    for name in ("customer", "nation"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{big}/{name}.parquet")
+    rows.withColumn("o_orderkey", F.col("o_orderkey") + 200_000_000).write.parquet(f"{big}/orders.parquet")
+    spark.createDataFrame([(1, "a", "en", "s"), (2, "b", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{big}/documents.parquet")
+    got, want = compared(spark, big, "validation_gate")
+    assert got == want == ["(20, 10, 0, False)"]
+    plan = QUERIES["validation_gate"](spark, str(big))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 == plan.count("Relation [o_orderkey")  # lines are made and parsed once
