@@ -62,9 +62,16 @@ def pct_change(first: Column, last: Column) -> Column:
 
 
 def rate(count: Column, ms: Column) -> Column:
-    """Per second. What took no time at all has an infinite rate, and nothing in no time none (NaN)."""
-    instant = F.when(count > 0, float("inf")).when(count < 0, float("-inf")).when(count == 0, float("nan"))
-    return F.when(ms == 0, instant).otherwise(count / (F.nullif(ms, F.lit(0)) / 1000.0))
+    """Per second. What took no time at all, or too little for a number of seconds, has an infinite rate with the signs of both, and nothing in no time none (NaN)."""
+    seconds = ms / 1000.0
+    instant = F.signum(count) * F.when(seconds.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))
+    return F.when(seconds == 0, instant).otherwise(count / F.nullif(seconds, F.lit(0.0)))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as a whole number of units of the last digit, by binary arithmetic as in SQL. ``round`` looks at the shortest decimal, so it leaves numbers with no more digits than that as they are."""
+    moved = F.round(x * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(moved) < float("inf"), moved).otherwise(x)
 
 
 def throughput(count: Column, ms: Column) -> Column:

@@ -84,8 +84,9 @@ def generation_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per second, and generations that were cut off at their limit; samples with a blank measure are left out. One in four took no time, which is nought; those of the others whose
     value is nought are as fast as can be."""
     k, made = F.col("event_id"), F.col("event_id") % 300
-    rows = D.nonblank(table(spark, sf_dir, "events").withColumn("measure", F.when(k % 14 == 0, " ").when(k % 7 == 0, F.lit(None)).otherwise(F.col("event_type"))), "measure")
-    return rows.select("event_id", F.round(F.when(k % 4 == 0, N.throughput(made, F.lit(0.0))).otherwise(N.rate(made, (k % 4) * F.col("value"))), 6).alias("throughput"), N.hit_limit(k % 3 == 0, made, F.lit(256)).alias("hit"))
+    # no measure without an id; of which kind an event is says nothing
+    rows = D.nonblank(table(spark, sf_dir, "events").withColumn("measure", F.when(k % 14 == 0, " ").when(k % 7 != 0, "timed")), "measure")
+    return rows.select("event_id", N.rounded(F.when(k % 4 == 0, N.throughput(made, F.lit(0.0))).otherwise(N.rate(made, (k % 4) * F.col("value"))), 6).alias("throughput"), N.hit_limit(k % 3 == 0, made, F.lit(256)).alias("hit"))
 
 
 @query(f"""WITH {RECORDS}, s AS (SELECT *, seq % 4 AS v FROM rec)

@@ -48,6 +48,15 @@ def test_rates_without_time(spark, tmp_path):
     assert got == want and sum("inf" in r for r in got) > 100 and sum("None" in r for r in got) > 10
 
 
+def test_rates_of_odd_events(spark, tmp_path):
+    """Rates beyond ten digits, measures without an id, events of no kind, and times too short for a number of seconds."""
+    rng = random.Random(6)
+    rows = [(None if k % 50 == 9 else -k if k % 50 == 10 else k, [None, " ", "error"][k % 3], {1: 0.0, 2: -0.0, 3: 5e-324, 5: float("inf"), 6: float("nan")}.get(k % 100, 10 ** rng.uniform(-9, 2))) for k in range(3000)]
+    spark.createDataFrame([(k, datetime.datetime(2024, 1, 1), 1, kind, v, "{}") for k, kind, v in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = compared(spark, tmp_path, "generation_measures")
+    assert [r.replace("-0.0", "0.0") for r in got] == [r.replace("-0.0", "0.0") for r in want] and len(got) > 2000
+
+
 def orders(spark, sf, amounts):
     """Orders of these amounts, by customers of five regions."""
     day = lambda k: datetime.datetime(1992 + k % 7, 1 + k % 12, 1 + k % 28)
